@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.words import blank_to_null, squeezed, stripped, word32
+from siltstone.functions.words import blank_to_null, norm_id, squeezed, stripped, word32
 from siltstone.operators.diff import diff_copies
+from siltstone.operators.drift import fields_of, infer_union, records, schema_changes, steady_table
+from siltstone.operators.references import orphan_references
 from siltstone.operators.shred import Entity, Shape, child_rows, entity_table, shred
 from siltstone.sources.tables import table
 
@@ -117,3 +119,72 @@ def p2_object_nodes(spark: SparkSession, d: str) -> DataFrame:
 def p2_sites(spark: SparkSession, d: str) -> DataFrame:
     """Writer sites as a flat table whose rows point to graph, node and place."""
     return entity_table(shred(table(spark, d, "channel_graph"), "graph_id", {"object_nodes": GRAPH_DOCUMENTS["object_nodes"]}), "object_nodes/*/writer_sites", ["context", "fn", "fn_addr", "site_addr", "access_kind", "target_addr"])
+
+
+FEEDS = {"manifest": "sample_id", "artifact": "artifact_id"}
+MANIFEST_COLUMNS = ["sample_id", "dataset", "binary_path", "gt_stem", "output_stem", "unstripped_output_stem", "eval_scope", "has_gt", "n_functions", "notes"]
+ARTIFACT_COLUMNS = ["artifact_id", "artifact_name", "binary_stem", "binary_sha", "schema_version", "status", "stage_required", "row_count"]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of a field between consecutive files of a feed."""
+    parts = [schema_changes(table(spark, d, name), key).select(F.lit(name).alias("dataset"), "feed", "file_no", "change_kind", "old_field", "new_field") for name, key in FEEDS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """All manifest files as one table of steady columns."""
+    df = table(spark, d, "manifest")
+    return steady_table(df, "sample_id", MANIFEST_COLUMNS, schema_changes(df, "sample_id")).withColumn("_other", F.to_json("_other"))
+
+
+def p3_artifact(spark: SparkSession, d: str) -> DataFrame:
+    """All artifact files as one table of steady columns."""
+    df = table(spark, d, "artifact")
+    return steady_table(df, "artifact_id", ARTIFACT_COLUMNS, schema_changes(df, "artifact_id")).withColumn("_other", F.to_json("_other"))
+
+
+def p3_union_types(spark: SparkSession, d: str) -> DataFrame:
+    """The fused schema of each kind of record: per field, how many values of each type."""
+    parts = [infer_union(fields_of(records(table(spark, d, name)), []), []).withColumn("dataset", F.lit(name)) for name in FEEDS]
+    return parts[0].unionByName(parts[1])
+
+
+def _chain_references(chains: DataFrame) -> DataFrame:
+    """A row per reference of a ground-truth chain: chain, field, kind of item, normalised id, time."""
+    lists = {"required_source_ids": "source", "required_object_ids": "object", "required_root_ids": "root"}
+    one = lambda name, kind, ids: F.struct(F.lit(name).alias("ref_field"), F.lit(kind).alias("item_kind"), ids.alias("ids"))
+    groups = F.array(one("sink_id", "sink", F.array("sink_id")), *[one(n, k, F.col(n)) for n, k in lists.items()])
+    rows = chains.select("binary_stem", "chain_id", "recorded_at", F.explode(groups).alias("g")).select("binary_stem", "chain_id", "recorded_at", "g.ref_field", "g.item_kind", F.explode("g.ids").alias("id"))
+    return rows.select("binary_stem", "chain_id", "recorded_at", "ref_field", "item_kind", norm_id(F.col("id")).alias("ref_id"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every id that a ground-truth chain requires and that stands for no item at the chain's time."""
+    items = table(spark, d, "gt_items").select("binary_stem", F.col("item_kind"), norm_id(F.col("item_id")).alias("ref_id"), F.col("recorded_at").alias("born"), "deleted_at")
+    found = orphan_references(_chain_references(table(spark, d, "gt_chains")), items, ["binary_stem", "item_kind", "ref_id"], "recorded_at", "born", "deleted_at")
+    return found.select("binary_stem", "chain_id", "ref_field", "ref_id", "reason", F.date_format("recorded_at", "yyyy-MM").alias("period_month"))
+
+
+def p4_orphans_by_month(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan references per field, month and reason."""
+    return p4_found(spark, d).groupBy("ref_field", "period_month", "reason").agg(F.count("*").alias("orphans"))
+
+
+P4_SQL = r"""
+WITH refs AS (
+  SELECT DISTINCT binary_stem, chain_id, recorded_at, ref_field, kind, lower(trim(id)) ref_id FROM (
+    SELECT binary_stem, chain_id, recorded_at, 'sink_id' ref_field, 'sink' kind, sink_id id FROM gt_chains
+    UNION ALL SELECT binary_stem, chain_id, recorded_at, 'required_source_ids', 'source', unnest(required_source_ids) FROM gt_chains
+    UNION ALL SELECT binary_stem, chain_id, recorded_at, 'required_object_ids', 'object', unnest(required_object_ids) FROM gt_chains
+    UNION ALL SELECT binary_stem, chain_id, recorded_at, 'required_root_ids', 'root', unnest(required_root_ids) FROM gt_chains
+  ) WHERE id IS NOT NULL AND trim(id) <> ''
+), items AS (SELECT DISTINCT binary_stem, item_kind kind, lower(trim(item_id)) ref_id, recorded_at, deleted_at FROM gt_items),
+judged AS (
+  SELECT r.binary_stem, r.chain_id, r.ref_field, r.ref_id, r.recorded_at,
+    count(i.ref_id) n, count(CASE WHEN i.recorded_at <= r.recorded_at THEN 1 END) born,
+    count(CASE WHEN i.recorded_at <= r.recorded_at AND (i.deleted_at IS NULL OR i.deleted_at > r.recorded_at) THEN 1 END) held
+  FROM refs r LEFT JOIN items i ON i.binary_stem = r.binary_stem AND i.kind = r.kind AND i.ref_id = r.ref_id GROUP BY ALL
+)
+SELECT binary_stem, chain_id, ref_field, ref_id, CASE WHEN n = 0 THEN 'missing' WHEN born = 0 THEN 'late' ELSE 'deleted' END reason, strftime(recorded_at, '%Y-%m') period_month FROM judged WHERE held = 0"""
+P4_MONTH_SQL = f"SELECT ref_field, period_month, reason, count(*) orphans FROM ({P4_SQL}) GROUP BY ALL"

@@ -17,4 +17,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": problems.P1_SQL}
+    return {"p1_found": problems.P1_SQL, "p4_found": problems.P4_SQL, "p4_orphans_by_month": problems.P4_MONTH_SQL}
