@@ -1,3 +1,10 @@
 """Siltstone: program-fact analytics for embedded firmware images, built on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to Python workers by value, so that executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

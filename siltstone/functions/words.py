@@ -26,29 +26,29 @@ def blank_to_null(c: Column) -> Column:
 def word32(c: Column) -> Column:
     """The 32-bit word a text means, as a bigint from 0 to 2**32-1.
 
-    Understood are ``0x``/``0X`` and trailing-``h`` hexadecimal, ``0b`` binary, ``0o`` octal and decimal, each
-    with an optional sign, outer spaces and ``_`` between digits. Null where the text is none of these. Negative
-    and longer numbers are reduced modulo 2**32.
+    Understood are ``0x``/``0X`` and trailing-``h`` hexadecimal, ``0b`` binary, ``0o`` octal and decimal (also with
+    ``.0`` behind it), each with an optional sign, outer spaces and ``_`` between digits. Null where the text is
+    none of these. Negative and longer numbers are reduced modulo 2**32, longer than 18 digits after cutting the
+    leading ones.
     """
-    t = F.regexp_replace(F.lower(stripped(c.cast("string"))), "(?<=[0-9a-f])_(?=[0-9a-f])", "")
-    negative = t.startswith("-")
-    body = F.regexp_replace(t, "^[+-]", "")
-
-    def digits(pattern: str, base: int, keep: int) -> Column:
-        d = F.regexp_extract(body, pattern, 1)
-        return F.when(d != "", F.conv(F.substring(F.lpad(d, 64, "0"), 65 - keep, keep), base, 10).cast("decimal(20,0)"))
-
-    value = F.coalesce(
-        digits("^0x([0-9a-f]+)$", 16, 15),
-        digits("^0b([01]+)$", 2, 60),
-        digits("^0o([0-7]+)$", 8, 20),
-        digits("^([0-9][0-9a-f]*)h$", 16, 15),
-        F.expr("null").cast("decimal(20,0)"),
-    )
-    plain = F.regexp_extract(body, r"^([0-9]+)(?:\.0*)?$", 1)
-    value = F.coalesce(value, F.when(plain != "", F.try_to_number(F.lpad(F.substring(F.lpad(plain, 64, "0"), 46, 19), 19, "0"), F.lit("9" * 19)).cast("decimal(20,0)")))
-    signed = F.when(negative, -value).otherwise(value)
-    return F.pmod(signed, F.lit(4294967296).cast("decimal(20,0)")).cast("bigint")
+    known = F.regexp_extract(F.lower(stripped(c.cast("string"))), r"^[+-]?(?:0x[0-9a-f_]+|0b[01_]+|0o[0-7_]+|[0-9][0-9a-f_]*h|[0-9][0-9_]*(?:\.0*)?)$", 0)
+    plain = F.regexp_replace(known, r"_|\.0*$|h$", "")
+
+    # Bound once by way of a one-element list; inlined, the text expression would be repeated in every branch.
+    bound = F.transform(F.array(F.struct(plain.alias("t"), known.endswith("h").alias("h"))), _word_of)
+    return F.when(known != "", F.pmod(F.get(bound, F.lit(0)), F.lit(4294967296)))
+
+
+def _word_of(t: Column) -> Column:
+    body = F.regexp_replace(t["t"], "^[+-]", "")
+    parts = lambda base, digits, keep: F.conv(F.right(digits, F.lit(keep)), base, 10).cast("bigint")
+    rest = F.substring(body, 3, 100)
+    number = (
+        F.when(t["h"], parts(16, body, 15)).when(body.startswith("0x"), parts(16, rest, 15))
+        .when(body.startswith("0b"), parts(2, rest, 60)).when(body.startswith("0o"), parts(8, rest, 20))
+        .otherwise(F.right(body, F.lit(18)).cast("bigint"))
+    )
+    return F.when(t["t"].startswith("-"), -number).otherwise(number)
 
 
 def norm_id(c: Column) -> Column:

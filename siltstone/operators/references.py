@@ -71,9 +71,12 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
     coded = materialize(refs.join(dictionary, list(keys)).withColumn("_at", F.col(at).cast("timestamp_ntz")).withColumn("period", F.coalesce(_month("_at"), F.lit(-1))).drop(at), "references")
     held = materialize(parents.join(dictionary, list(keys)).select("code", "_born", "_died"), "parents")
 
-    span = coded.filter("period >= 0").agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))  # one row
+    low, high = coded.filter("period >= 0").agg(F.min("period"), F.max("period")).first()
     # Months a parent holds from first to last moment: those after its birth and before its end, within the span.
-    whole = held.filter("_born IS NOT NULL").join(F.broadcast(span)).withColumn("_from", F.greatest(_month("_born") + 1, "_lo")).withColumn("_till", F.least(_month("_died") - 1, "_hi")).filter("_from <= _till")
+    begins, ends = F.greatest(_month("_born") + 1, F.lit(low)), F.least(_month("_died") - 1, F.lit(high))
+    whole = held.filter("_born IS NOT NULL").withColumn("_from", begins).withColumn("_till", ends).filter("_from <= _till")
+    if low is None:
+        whole = whole.filter("false")
     whole = whole.groupBy("code", "_from", "_till").agg(F.lit(1).alias("_one")).select("code", F.explode(F.sequence("_from", "_till")).alias("period"))
     open_refs = decode(and_not(bitmaps(coded), bitmaps(whole)))
     suspects = coded.join(open_refs, ["code", "period"], "left_semi")
