@@ -7,14 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import problems
+from siltstone.plans import kernels, problems
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {n: f for n, f in vars(problems).items() if re.match(r"p\d+_", n)}
+    return {n: f for n, f in vars(problems).items() if re.match(r"p\d+_", n)} | kernels.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": problems.P1_SQL, "p4_found": problems.P4_SQL, "p4_orphans_by_month": problems.P4_MONTH_SQL}
+    return {"p1_found": problems.P1_SQL, "p4_found": problems.P4_SQL, "p4_orphans_by_month": problems.P4_MONTH_SQL} | kernels.SQL
