@@ -97,7 +97,9 @@ def schema_changes(df: DataFrame, id_field: str, feed: str = "feed", file: str =
     ident = F.try_variant_get("_v", f"$['{id_field}']", "string")
     fields = fields_of(recs.withColumn("_id", ident), [feed, file, "_id"]).withColumn("value", F.to_json("value"))
     fields = materialize(fields, "fields")  # parsed once, read by the branches below
-    schema = _steps(fields, infer_union(fields, [feed, file]), feed, file)
+    # A row per field and file: small beside the records. Written, its size is known, and where that is under the
+    # broadcast limit the values below are joined to it without a shuffle.
+    schema = materialize(_steps(fields, infer_union(fields, [feed, file]), feed, file), "schema")
     came = schema.filter(~F.col("in_before") & (F.col("file_at") > 1)).select(feed, file, "field")
     went = schema.filter(~F.col("in_after") & F.col("next_file").isNotNull()).select(feed, F.col(file).alias("before"), F.col("next_file").alias(file), "field")
     typed = schema.filter(F.col("in_before") & (F.col("tag_before") != F.col("main_tag")))
