@@ -63,13 +63,17 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
     A parent row holds from ``born`` on until before ``died`` (null: for ever). Reasons: missing (no parent row of
     that key at all), late (all were born after the reference), deleted (else). Rows of ``refs`` repeated in full
     count once; a null key part refers to nothing and gives no row; a parent whose ``born`` is null never holds and
-    counts as late; a reference without time gives no row but with a key that no parent has is missing.
+    counts as late; a reference without time gives a row only if no parent has its key, as missing. All columns of
+    ``refs`` are kept but one named ``reason``; those of ``parents`` not named here aren't read.
     """
-    refs = refs.dropna(subset=list(keys)).distinct()
-    parents = parents.dropna(subset=list(keys)).select(*keys, F.col(born).cast("timestamp_ntz").alias("_born"), F.coalesce(F.col(died).cast("timestamp_ntz"), F.expr(FAR)).alias("_died")).distinct()
-    dictionary = encode_keys([refs, parents], keys)
-    coded = materialize(refs.join(dictionary, list(keys)).withColumn("_at", F.col(at).cast("timestamp_ntz")).withColumn("period", F.coalesce(_month("_at"), F.lit(-1))).drop(at), "references")
-    held = materialize(parents.join(dictionary, list(keys)).select("code", "_born", "_died"), "parents")
+    own = [f"_k{i}" for i in range(len(keys))]
+    rest = [c for c in refs.columns if c != "reason"]
+    # The caller's columns travel as one struct, so that none can clash with those made here.
+    refs = refs.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(at).cast("timestamp_ntz").alias("_at"), F.struct(*rest).alias("_row")).dropna(subset=own).distinct()
+    parents = parents.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(born).cast("timestamp_ntz").alias("_born"), F.coalesce(F.col(died).cast("timestamp_ntz"), F.expr(FAR)).alias("_died")).dropna(subset=own).distinct()
+    dictionary = encode_keys([refs, parents], own)
+    coded = materialize(refs.join(dictionary, own).select("code", "_at", F.coalesce(_month("_at"), F.lit(-1)).alias("period"), "_row"), "references")
+    held = materialize(parents.join(dictionary, own).select("code", "_born", "_died"), "parents")
 
     low, high = coded.filter("period >= 0").agg(F.min("period"), F.max("period")).first()
     # Months a parent holds from first to last moment: those after its birth and before its end, within the span.
@@ -100,4 +104,4 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
     out = suspects.alias("s").join(verdict, ["code", "_at"], "left").join(known, "code", "left")
     out = out.filter(F.col("_latest").isNull() | (F.col("_latest") <= F.col("_at"))).filter("_at IS NOT NULL OR _known IS NULL")
     reason = F.when(F.col("_known").isNull(), "missing").when(F.col("_first").isNull() | (F.col("_first") > F.col("_at")), "late").otherwise("deleted")
-    return out.select(*[c for c in refs.columns if c != at], F.col("_at").alias(at), reason.alias("reason"))
+    return out.select("_row.*", reason.alias("reason"))

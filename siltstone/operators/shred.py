@@ -28,9 +28,6 @@ def _refuse(_: str) -> None:
     raise ValueError("not JSON")
 
 
-_DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
-
-
 def _clean(s: str) -> str:
     """Unpaired surrogates can't be stored as UTF-8."""
     return s.encode("utf-8", "replace").decode("utf-8") if not s.isascii() else s
@@ -39,7 +36,7 @@ def _clean(s: str) -> str:
 def parse(text: str) -> tuple[bool, object]:
     """Whether ``text`` is valid JSON that can be walked, and its value."""
     try:
-        return True, _DECODER.decode(text.strip(" \t\r\n﻿"))
+        return True, json.loads(text.strip(" \t\r\n"), parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
     except (ValueError, RecursionError):
         return False, None
 
