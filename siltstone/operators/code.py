@@ -106,7 +106,7 @@ def line_accesses(line: str) -> list[tuple[str, str, int, str | None, int | None
     taken: list[tuple[int, int]] = []
     found = []
     code = line.split("//")[0]
-    if code.lstrip().startswith(("#", "*", "/*")):
+    if code.lstrip().startswith(("#", "* ", "/*")):
         return []
     for shape, pattern in _ACCESS:
         for m in pattern.finditer(code):
