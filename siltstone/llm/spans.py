@@ -1,10 +1,11 @@
 """Long exact spans shared between records.
 
 Every window of 200 code points has an anchor: the least hash among its shorter grams, which depends on the window's
-content only, so equal windows have equal anchors, and neighbours mostly share theirs. A first pass counts anchors in
-count-min sketches, one per task, and merges them. An estimate is never too low, so a window repeated in another
-document always keeps an estimate of two or more. A second pass over the texts sends on only the windows so
-estimated and groups them exactly.
+content only, so equal windows have equal anchors, and neighbours mostly share theirs. A run is a stretch of
+neighbouring windows with one anchor. A first pass counts anchors in count-min sketches, one per task, and merges
+them. An estimate is never too low, so a window repeated in another document always keeps an estimate of two or more.
+A second pass sends on only the runs so estimated and groups them exactly; windows are looked at one by one only where
+a shared stretch can begin.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ class Sketch:
     """Size of the count-min sketch: ``rows`` of 2**``width_log2`` counters that stop at 2.
 
     Merged, a counter is the one bit "two or more", so what is sent to every worker has rows * 2**width_log2 / 8
-    bytes (16 MB by default) whatever the input.
+    bytes (48 MB by default) whatever the input.
     """
 
-    width_log2: int = 26
-    rows: int = 2
+    width_log2: int = 27
+    rows: int = 3
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -70,23 +71,28 @@ def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return m if length == w else np.minimum(m[: len(a) - w + 1], m[w - length : w - length + len(a) - w + 1])
 
 
-def _windows(texts: list[str], span: int, whole: bool):
-    """Of the windows that lie within one text: text number, place, anchor, and with ``whole`` the window's hash and
-    the code point before it (-1 at a text's start)."""
+def _laid_out(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all texts end to end; of the windows within one text: its number, place, and start."""
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
-    with np.errstate(over="ignore"):
-        mixed = _mix(points.astype(np.uint64), 0x9E3779B97F4A7C15)
-        gram = (span + 1) // 2
-        anchors = _sliding_min(_mix(_gram_hash(mixed, gram), 7), span - gram + 1)
-        full = _mix(_gram_hash(mixed, span), 11) if whole else None
     many = np.maximum(lengths - span + 1, 0)
     text_no = np.repeat(np.arange(len(texts)), many)
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    at = starts[text_no] + place
-    before = np.where(place > 0, points[np.maximum(at - 1, 0)].astype(np.int64), -1) if whole else None
-    return text_no, place, anchors[at], full[at] if whole else None, before
+    return points, text_no, place, starts[text_no] + place
+
+
+def _hashes(points: np.ndarray, span: int, anchors: bool, whole: bool) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """By start: the anchor and the hash of each window, also of those across texts, which nobody asks for."""
+    with np.errstate(over="ignore"):
+        mixed = _mix(points.astype(np.uint64), 0x9E3779B97F4A7C15)
+        gram = (span + 1) // 2
+        least = _sliding_min(_mix(_gram_hash(mixed, gram), 7), span - gram + 1) if anchors else None
+        return least, _mix(_gram_hash(mixed, span), 11) if whole else None
+
+
+def _run_starts(text_no: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text_no[1:] != text_no[:-1])]) if len(anchor) else np.zeros(0, np.int64)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[list, list[str]]]:
@@ -139,11 +145,10 @@ def repeated_anchor_bits(docs: DataFrame, span: int, sketch: Sketch) -> bytes:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[list[np.ndarray]] = [[] for _ in range(sketch.rows)]
         for _, texts in _chunks(batches, span):
-            text_no, _, anchor, _, _ = _windows(texts, span, False)
-            if not len(anchor):
-                continue
-            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (text_no[1:] != text_no[:-1])]
-            a, t = anchor[new], text_no[new]
+            points, text_no, _, at = _laid_out(texts, span)
+            anchor = _hashes(points, span, True, False)[0][at]
+            first = _run_starts(text_no, anchor)
+            a, t = anchor[first], text_no[first]
             order = np.lexsort((t, a))
             a, t = a[order], t[order]
             a = a[np.r_[True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])]]  # once per text
@@ -185,16 +190,19 @@ def repeated_anchor_bits(docs: DataFrame, span: int, sketch: Sketch) -> bytes:
     partial = docs.mapInArrow(count, _PARTIAL_SQL)
     partial = partial.repartition("segment", "salt").sortWithinPartitions("segment").mapInArrow(merge, _PARTIAL_SQL)
     merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, _PARTIAL_SQL)
-    bits = np.zeros(sketch.rows * segments * width, bool)
+    bits = np.zeros(sketch.rows * segments * max(width // 8, 1), np.uint8)
     for row in merged.select("segment", "more").toLocalIterator():  # at most a row per segment, of bounded size
-        bits[row[0] * width + _places(row[1])] = True
-    return np.packbits(bits).tobytes()
+        one = np.zeros(width, bool)
+        one[_places(row[1])] = True
+        bits[row[0] * width // 8 : (row[0] + 1) * width // 8] = np.packbits(one)
+    return bits.tobytes()
 
 
-def repeated_windows(docs: DataFrame, span: int, sketch: Sketch, every_place: bool) -> DataFrame:
-    """Rows (h, id, place, before) of the windows whose anchor is estimated repeated.
+def repeated_runs(docs: DataFrame, span: int, sketch: Sketch, every_place: bool) -> DataFrame:
+    """Rows (anchor, id, s0, s1, before, content): the runs whose anchor is estimated repeated.
 
-    Without ``every_place`` one row per text, window and code point before it.
+    The run's windows start from s0 to s1; ``before`` is the hash of the window before the run (0 where it opens its
+    text), ``content`` one of all its windows. Without ``every_place`` runs that a text repeats come once.
     """
     bits = docs.sparkSession.sparkContext.broadcast(repeated_anchor_bits(docs, span, sketch))
     width = 1 << sketch.width_log2
@@ -202,22 +210,76 @@ def repeated_windows(docs: DataFrame, span: int, sketch: Sketch, every_place: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
         for ids, texts in _chunks(batches, span):
-            text_no, place, anchor, full, before = _windows(texts, span, True)
-            keep = np.ones(len(anchor), bool)
-            for r, b in enumerate(_buckets(anchor, sketch)):
+            points, text_no, place, at = _laid_out(texts, span)
+            least, full = _hashes(points, span, True, True)
+            anchor = least[at]
+            first = _run_starts(text_no, anchor)
+            last = np.r_[first[1:], len(anchor)] - 1
+            keep = np.ones(len(first), bool)
+            for r, b in enumerate(_buckets(anchor[first], sketch)):
                 b = b + r * width
                 keep &= (table[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
-            text_no, place, full, before = text_no[keep], place[keep], full[keep], before[keep]
-            if not every_place and len(full):
-                order = np.lexsort((place, before, full, text_no))
-                t, f, p = text_no[order], full[order], before[order]
-                first = order[np.r_[True, (t[1:] != t[:-1]) | (f[1:] != f[:-1]) | (p[1:] != p[:-1])]]
-                text_no, place, full, before = text_no[first], place[first], full[first], before[first]
-            for i in range(0, len(full), 200_000):
-                s = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(full[s].view(np.int64)), pa.array(np.array(ids, np.int64)[text_no[s]]), pa.array(place[s].astype(np.int32)), pa.array(before[s].astype(np.int32))], ["h", "id", "place", "before"])
-
-    return docs.mapInArrow(run, "h bigint, id bigint, place int, before int")
+            first, last = first[keep], last[keep]
+            s0, s1 = place[first], place[last]
+            before = np.where(s0 > 0, full[np.maximum(at[first] - 1, 0)], np.uint64(0))
+            with np.errstate(over="ignore"):
+                content = _mix(full[at[first]] * np.uint64(3) + full[at[last]] * np.uint64(5), 13) + (s1 - s0).astype(np.uint64)
+            # Both ends and the length tell a run's content only while its ends overlap.
+            long = s1 - s0 >= span
+            content[long] = _mix(content[long] + np.array(ids, np.int64)[text_no[first]][long].view(np.uint64) * np.uint64(_BASE) + s0[long].astype(np.uint64), 17)
+            out = pa.table({"anchor": anchor[first].view(np.int64), "id": np.array(ids, np.int64)[text_no[first]], "s0": s0.astype(np.int32), "s1": s1.astype(np.int32), "before": before.view(np.int64), "content": content.view(np.int64)})
+            if out.num_rows and not every_place:
+                order = np.lexsort((s0, content, before, anchor[first], text_no[first]))
+                t, k, p = text_no[first][order], content[order], before[order]
+                once = order[np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (p[1:] != p[:-1])]]
+                out = out.take(pa.array(np.sort(once)))
+            yield from out.combine_chunks().to_batches(max_chunksize=100_000)
+
+    return docs.mapInArrow(run, "anchor bigint, id bigint, s0 int, s1 int, before bigint, content bigint")
+
+
+def run_windows(docs: DataFrame, runs: DataFrame, span: int, every_place: bool) -> DataFrame:
+    """Rows (h, id, place, before) of the windows in ``runs`` (id, s0, s1): hash, place and the code point before (-1 at
+    the text's start). Without ``every_place`` one row per text, window and code point before it."""
+    listed = materialize(runs.groupBy("id").agg(F.collect_list(F.struct("s0", "s1")).alias("runs")), "runs")
+    joined = docs.join(listed, "id").select("id", "text", "runs")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, pieces, lead, offset, size = [], [], [], [], 0
+            todo = list(zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True))
+            for n, (i, text, own) in enumerate(todo):
+                t = text.as_py()
+                for r in own.as_py():
+                    piece = t[r["s0"] : r["s1"] + span]
+                    if len(piece) < span:  # of another text with this id
+                        continue
+                    ids.append(i)
+                    pieces.append(piece)
+                    offset.append(r["s0"])
+                    lead.append(ord(t[r["s0"] - 1]) if r["s0"] else -1)
+                    size += len(piece)
+                if pieces and (size >= _CHUNK or n == len(todo) - 1):
+                    yield from _piece_rows(ids, pieces, lead, offset, span, every_place)
+                    ids, pieces, lead, offset, size = [], [], [], [], 0
+
+    return joined.mapInArrow(expand, "h bigint, id bigint, place int, before int")
+
+
+def _piece_rows(ids: list[int], pieces: list[str], lead: list[int], offset: list[int], span: int, every_place: bool) -> Iterator[pa.RecordBatch]:
+    points, no, place, at = _laid_out(pieces, span)
+    full = _hashes(points, span, False, True)[1][at]
+    before = np.where(place > 0, points[np.maximum(at - 1, 0)].astype(np.int64), np.array(lead, np.int64)[no])
+    own = np.array(ids, np.int64)[no]
+    where = place + np.array(offset, np.int64)[no]
+    if not every_place:
+        order = np.lexsort((where, before, full, own))
+        t, f, p = own[order], full[order], before[order]
+        once = order[np.r_[True, (t[1:] != t[:-1]) | (f[1:] != f[:-1]) | (p[1:] != p[:-1])]] if len(order) else order
+        own, full, where, before = own[once], full[once], where[once], before[once]
+    for i in range(0, len(full), 200_000):
+        c = slice(i, i + 200_000)
+        yield pa.RecordBatch.from_arrays([pa.array(full[c].view(np.int64)), pa.array(own[c]), pa.array(where[c].astype(np.int32)), pa.array(before[c].astype(np.int32))], ["h", "id", "place", "before"])
 
 
 def text_classes(docs: DataFrame, item: str, text: str, span: int) -> DataFrame:
@@ -229,8 +291,9 @@ def text_classes(docs: DataFrame, item: str, text: str, span: int) -> DataFrame:
 
 
 def _representatives(docs: DataFrame, classes: DataFrame, item: str, text: str, span: int) -> DataFrame:
-    """One text per class. The others are usually few, so the anti-join mostly needs no shuffle of the texts."""
-    spare = classes.filter("id <> class_id").select("id").distinct()
+    """One text per class. The others, usually few, are written out, so that their size is known: under the broadcast
+    limit the texts aren't shuffled."""
+    spare = materialize(classes.filter("id <> class_id").select("id").distinct(), "spare")
     texts = docs.select(F.col(item).cast("bigint").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.char_length("text") >= span))
     return texts.join(spare, "id", "left_anti")
 
@@ -239,9 +302,10 @@ def shared_span_pairs(docs: DataFrame, item: str = "doc_id", text: str = "text",
     """Rows (doc_id_a, doc_id_b), a < b: documents that share ``span`` or more consecutive code points.
 
     Exact copies are one text until the pairs are found. Of a stretch two texts share, only the first window makes
-    their pair: it is the one before which the texts differ or one of them starts. So a window counts only if it
-    occurs in two texts with unlike code points before it; groups where the point before is the same everywhere are
-    left to the window before. What remains is compared by its text, not its hash.
+    their pair. That window lies in a run before which the texts differ or one of them starts, so runs whose anchor
+    has the same window before it in every text are left to the run before; of the rest the windows are listed, and
+    again only those count that occur in two texts with unlike code points before them. What remains is compared by
+    its text, not its hash.
 
     Null texts and those shorter than ``span`` share nothing; documents without id can't be named and give no row;
     repetition within a document is no pair, nor are rows repeated in full; one id with several texts pairs by any of
@@ -249,10 +313,12 @@ def shared_span_pairs(docs: DataFrame, item: str = "doc_id", text: str = "text",
     """
     classes = materialize(text_classes(docs, item, text, span), "classes")
     reps = _representatives(docs, classes, item, text, span)
-    windows = materialize(repeated_windows(reps, span, sketch, False), "windows")
+    runs = materialize(repeated_runs(reps, span, sketch, False), "repeated")
+    opening = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q"), F.min("s0").alias("s")).filter("a <> b AND (p <> q OR s = 0)").select("anchor")
+    windows = materialize(run_windows(reps, runs.join(opening, "anchor", "left_semi"), span, False), "windows")
     starts = windows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q")).filter("a <> b AND (p <> q OR p = -1)").select("h")
-    found = windows.join(starts, "h", "left_semi")
-    exact = found.join(reps, "id").select("id", "before", F.expr(f"substring(text, place + 1, {span})").alias("window")).distinct()
+    found = materialize(windows.join(starts, "h", "left_semi").select("id", "place", "before"), "found")
+    exact = reps.join(found, "id").select("id", "before", F.expr(f"substring(text, place + 1, {span})").alias("window")).filter(F.char_length("window") == span).distinct()
     exact = materialize(exact.withColumn("h", F.xxhash64("window")), "starts")
     x, y = exact.alias("x"), exact.alias("y")
     unlike = (F.col("x.before") != F.col("y.before")) | (F.col("x.before") == -1)
@@ -276,11 +342,20 @@ def shared_share(docs: DataFrame, item: str = "doc_id", text: str = "text", span
     """
     classes = materialize(text_classes(docs, item, text, span), "classes")
     reps = _representatives(docs, classes, item, text, span)
-    windows = materialize(repeated_windows(reps, span, sketch, True), "windows")
-    elsewhere = windows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("h")
-    own = Window.partitionBy("id").orderBy("place")
-    hits = windows.join(elsewhere, "h", "left_semi").select("id", "place").distinct()
-    covered = hits.withColumn("_next", F.lead("place").over(own)).groupBy("id").agg(F.sum(F.least(F.lit(span), F.coalesce(F.col("_next") - F.col("place"), F.lit(span)))).alias("covered"))
+    runs = materialize(repeated_runs(reps, span, sketch, True), "repeated")
+    two = lambda df, key: df.groupBy(*key).agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select(*key)
+    # A run that another text repeats as a whole is shared from end to end. Windows are listed for anchors that are
+    # repeated and have a run of which that can't be said; for these anchors all runs are needed.
+    whole = two(runs, ["anchor", "content"])
+    shared_runs = runs.join(whole, ["anchor", "content"], "left_semi").select("id", "s0", "s1")
+    loose = runs.join(whole, ["anchor", "content"], "left_anti").select("anchor").distinct()
+    partly = runs.join(two(runs, ["anchor"]).join(loose, "anchor", "left_semi"), "anchor", "left_semi")
+    windows = materialize(run_windows(reps, partly, span, True), "windows")
+    hits = windows.join(two(windows, ["h"]), "h", "left_semi").select("id", F.col("place").alias("s0"), F.col("place").alias("s1"))
+    before = Window.partitionBy("id").orderBy("s0", "s1").rowsBetween(Window.unboundedPreceding, -1)
+    stretch = shared_runs.unionByName(hits).distinct().withColumn("_end", F.col("s1") + span)
+    fresh = F.col("_end") - F.greatest(F.col("s0"), F.coalesce(F.max("_end").over(before), F.lit(0)))
+    covered = stretch.withColumn("_fresh", F.greatest(fresh, F.lit(0))).groupBy("id").agg(F.sum("_fresh").alias("covered"))
     copied = classes.groupBy("class_id").agg(F.count("*").alias("_n"))
     by_class = classes.join(copied, "class_id").join(covered.withColumnRenamed("id", "class_id"), "class_id", "left")
     sizes = docs.select(F.col(item).cast("bigint").alias("id"), F.char_length(text).alias("n_chars")).dropna().groupBy("id").agg(F.max("n_chars").alias("n_chars"))
