@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import firmware as fw
 from siltstone.functions.words import stripped, word32
-from siltstone.operators import code, evaluation, graph, joins, ranking, summaries
+from siltstone.operators import code, evaluation, graph, joins, merging, objects, ranking, resolve, summaries
+from siltstone.plans import mining
 from siltstone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,3 +469,83 @@ def constraint_report(s: SparkSession, d: str) -> DataFrame:
     sinks = items.filter("item_kind = 'sink'").select("binary_stem", F.col("item_id").alias("sink_id")).distinct()
     lone = items.filter("item_kind = 'root'").select("binary_stem", "item_id", "sink_id").distinct().join(sinks, ["binary_stem", "sink_id"], "left_anti")
     return twice.unionByName(lone.select(F.lit("root_without_sink").alias("error"), F.concat_ws("|", "binary_stem", "item_id").alias("key")))
+
+
+@query(r"""
+WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\*\(([A-Za-z0-9_]+) \*\)\(param_([0-9]+) \+ (0x[0-9a-fA-F]+|[0-9]+)\)')) AS m FROM documents), n AS (SELECT doc_id, regexp_extract(m, '\*\(([A-Za-z0-9_]+) \*\)', 1) AS type, CAST(regexp_extract(m, 'param_([0-9]+)', 1) AS INT) param, regexp_extract(m, '\+ (0x[0-9a-fA-F]+|[0-9]+)\)$', 1) o FROM m)
+SELECT doc_id, type, param, CASE WHEN o LIKE '0x%' THEN CAST(o AS BIGINT) ELSE CAST(o AS BIGINT) END AS "offset", count(*) n FROM n GROUP BY ALL""")
+def parameter_derefs(s: SparkSession, d: str) -> DataFrame:
+    return resolve.parameter_derefs(table(s, d, "documents"), ["doc_id"], "text").filter("struct_offset IS NULL").groupBy("doc_id", "type", "param", "offset").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:void|int|uint|char|byte|bool|uint8_t|uint16_t|uint32_t) ([A-Za-z_][A-Za-z0-9_]*)\(([^()\n]*)\)\n?\{')) AS h FROM documents), p AS (SELECT doc_id, regexp_extract(h, '[a-z0-9_]+ ([A-Za-z_][A-Za-z0-9_]*)\(', 1) function_name, unnest(string_split(regexp_extract(h, '\(([^()\n]*)\)', 1), ',')) p FROM h)
+SELECT DISTINCT doc_id, function_name, regexp_extract(p, '\*+[ ]*([A-Za-z_][A-Za-z0-9_]*)[ ]*$', 1) param FROM p WHERE regexp_matches(p, '\*+[ ]*([A-Za-z_][A-Za-z0-9_]*)[ ]*$')""")
+def pointer_parameters(s: SparkSession, d: str) -> DataFrame:
+    return resolve.pointer_parameters(table(s, d, "documents"), ["doc_id"], "text")
+
+
+@query()
+def field_accesses(s: SparkSession, d: str) -> DataFrame:
+    return resolve.field_accesses(table(s, d, "documents"), ["doc_id"], "text")
+
+
+@query()
+def call_argument_kinds(s: SparkSession, d: str) -> DataFrame:
+    calls = code.call_arguments(table(s, d, "documents"), "doc_id", "text")
+    return calls.select(F.explode("args").alias("a")).groupBy(resolve.argument_kind(F.col("a")).alias("kind")).agg(F.count("*").alias("n"), F.count(resolve.argument_value(F.col("a"))).alias("with_value"))
+
+
+def _accesses(s: SparkSession, d: str) -> DataFrame:
+    """Accesses read from the documents' code in the shape the mining plans take; a document stands for a function."""
+    a = code.memory_accesses(table(s, d, "documents"), "doc_id", "text").join(table(s, d, "documents").select("doc_id", "binary_stem"), "doc_id")
+    known = F.when(F.col("shape") == "pointer", "ARG").otherwise("CONST")
+    return a.select(F.coalesce("binary_stem", F.lit("")).alias("binary_id"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("seq"), F.col("line_no").cast("bigint").alias("address"), "kind", "width", F.when(F.col("shape") != "pointer", F.col("target")).alias("target_addr"), known.alias("base_provenance"), F.lit(False).alias("in_isr"), F.col("doc_id").cast("string").alias("function_name"))
+
+
+@query()
+def register_reads(s: SparkSession, d: str) -> DataFrame:
+    return mining.packs(mining.register_reads(_accesses(s, d)))
+
+
+@query()
+def store_sinks(s: SparkSession, d: str) -> DataFrame:
+    return mining.packs(mining.store_sinks(_accesses(s, d)))
+
+
+@query()
+def memory_objects(s: SparkSession, d: str) -> DataFrame:
+    symbols = code.map_symbols(table(s, d, "documents"), "doc_id", "text").join(table(s, d, "documents").select("doc_id", "binary_stem"), "doc_id").select(F.coalesce("binary_stem", F.lit("")).alias("binary_id"), F.col("function_name").alias("symbol"), "address").distinct()
+    o = objects.sram_objects(_accesses(s, d), symbols)
+    return o.select("binary_id", "object_id", "addr_lo", "addr_hi", F.array_join("members", ",").alias("members"), "writers", "readers", F.size("writer_sites").alias("writer_sites"))
+
+
+@query("""
+WITH u AS (SELECT binary_stem, [x FOR x IN list_sort(list_distinct(flatten(list(coalesce(k, CAST([] AS VARCHAR[])))))) IF x IS NOT NULL] labels, max(n) n FROM (
+  SELECT binary_stem, [label] k, count(*) n FROM normalized_gt_bundle GROUP BY 1, 2 UNION ALL SELECT binary_stem, [label], count(*) FROM gt_items GROUP BY 1, 2) GROUP BY 1)
+SELECT binary_stem, array_to_string(labels, ',') labels, n FROM u""")
+def union_of_sets(s: SparkSession, d: str) -> DataFrame:
+    part = lambda t: table(s, d, t).groupBy("binary_stem", "label").agg(F.count("*").alias("n")).select("binary_stem", F.array_compact(F.array("label")).alias("labels"), "n")
+    return merging.union_of_sets([part("normalized_gt_bundle"), part("gt_items")], ["binary_stem"], ["labels"], ["n"]).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("SELECT coalesce(c.k, b.k) k, coalesce(c.v, b.v) v FROM (SELECT c_custkey k, c_acctbal v FROM customer) b FULL JOIN (SELECT o_custkey k, max(o_totalprice) v FROM orders GROUP BY 1) c ON b.k = c.k")
+def upsert(s: SparkSession, d: str) -> DataFrame:
+    base = table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return merging.upsert(base, table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v")), ["k"])
+
+
+@query("SELECT * FROM (SELECT DISTINCT label, function_name, coalesce(address, 0) a FROM gt_items WHERE function_name IS NOT NULL) t WHERE a <> 0 OR NOT EXISTS (SELECT 1 FROM gt_items o WHERE o.label IS NOT DISTINCT FROM t.label AND o.function_name = t.function_name AND coalesce(o.address, 0) <> 0)")
+def drop_shadowed(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "gt_items").filter("function_name IS NOT NULL").select("label", "function_name", F.coalesce("address", F.lit(0)).alias("a"))
+    return merging.drop_shadowed(rows, ["label", "function_name"], F.col("a") != 0)
+
+
+@query("""
+WITH r AS (SELECT DISTINCT chain_id, binary_stem, sink.sink_id sink_id, coalesce(verdict = 'SUSPICIOUS', false) s FROM chains), q AS (SELECT *, avg(CASE WHEN s THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY binary_stem) ratio FROM r)
+SELECT chain_id, binary_stem, sink_id, s, round(ratio, 6) ratio FROM q WHERE s AND ratio >= 0.2""")
+def ratio_gate(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "chains").select("chain_id", "binary_stem", F.col("sink.sink_id").alias("sink_id"), F.coalesce(F.col("verdict") == "SUSPICIOUS", F.lit(False)).alias("s")).distinct()
+    share = rows.groupBy("binary_stem").agg(F.avg(F.when(F.col("s"), 1.0).otherwise(0.0)).alias("ratio"))
+    hit = rows.filter("s").alias("r").join(share.alias("q"), F.col("r.binary_stem").eqNullSafe(F.col("q.binary_stem")))
+    return hit.filter("ratio >= 0.2").select("chain_id", "r.binary_stem", "sink_id", "s", F.round("ratio", 6).alias("ratio"))

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
@@ -68,6 +69,14 @@ def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows at ``row_bytes`` each stay below ``limit`` bytes.
+
+    Beyond that it is left to the engine's own choice, which then is a shuffled join. Counting reads footers only.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def clear_scratch() -> None:
     """Delete every intermediate table this process has written; frames built on them become unreadable."""
     while _written:
