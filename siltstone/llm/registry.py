@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_merged(spark: SparkSession, d: str) -> DataFrame:
     """The merged record of every site."""
-    values = [F.col(f"{n}.value").alias(n) for n in SUPPLIED[:3]] + [F.size("related_chain_ids.value").alias("n_chains")]
+    values = [F.col(f"{n}.value").alias(n) for n in SUPPLIED[:2]] + [F.col("triage_rank.value").cast("double").alias("triage_rank"), F.coalesce(F.size("related_chain_ids.value"), F.lit(0)).alias("n_chains")]
     return _survivors(spark, d).select(*SITE, *values)
 
 
@@ -80,6 +80,14 @@ UNION ALL SELECT binary_stem, site_address, 'triage_rank', row_id FROM (SELECT *
 UNION ALL SELECT binary_stem, site_address, 'related_chain_ids', row_id FROM (SELECT *, row_number() OVER (PARTITION BY binary_stem, site_address ORDER BY nc DESC, ts DESC, row_id) n FROM r WHERE nc > 0) WHERE n = 1"""
 
 
+P5_MERGED_SQL = f"""
+WITH f AS ({P5_SQL}), s AS (SELECT DISTINCT binary_stem, CAST(concat('0x', substr(lower(trim(site)), 3)) AS BIGINT) site_address, row_id FROM supervision_queue WHERE binary_stem IS NOT NULL AND site IS NOT NULL),
+g AS (SELECT binary_stem, site_address FROM s GROUP BY ALL HAVING count(*) > 1)
+SELECT g.binary_stem, g.site_address, max(CASE WHEN field_name = 'proposed_label' THEN q.proposed_label END) proposed_label, max(CASE WHEN field_name = 'confidence' THEN q.confidence END) confidence, CAST(max(CASE WHEN field_name = 'triage_rank' THEN q.triage_rank END) AS DOUBLE) triage_rank,
+  CAST(coalesce(max(CASE WHEN field_name = 'related_chain_ids' THEN len(list_distinct([x FOR x IN q.related_chain_ids IF x IS NOT NULL AND trim(x) <> ''])) END), 0) AS INT) n_chains
+FROM g LEFT JOIN f ON g.binary_stem = f.binary_stem AND g.site_address = f.site_address LEFT JOIN supervision_queue q ON q.row_id = f.row_id GROUP BY ALL"""
+
+
 def _chain_values(spark: SparkSession, d: str) -> DataFrame:
     """Every chain of a sink with the best priority it was ever queued with."""
     queued = table(spark, d, "triage_queue").select("chain_id", "triage_priority").filter("triage_priority IS NOT NULL AND NOT isnan(triage_priority)")
@@ -143,9 +151,21 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(table(spark, d, "documents"))
 
 
+P9_SQL = """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), d AS (SELECT DISTINCT doc_id, h FROM w WHERE h IN (SELECT h FROM r))
+SELECT DISTINCT a.doc_id doc_id_a, b.doc_id doc_id_b FROM d a JOIN d b ON a.h = b.h AND a.doc_id < b.doc_id"""
+P9_SHARED_SQL = """
+WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, sum(least(200, coalesce(nxt - i, 200))) n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) nxt FROM w WHERE h IN (SELECT h FROM r)) GROUP BY 1),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) class_id FROM documents WHERE length(text) >= 200)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) class_id, CAST(length(text) AS INTEGER) n_chars, CAST(coalesce(c.n, 0) AS BIGINT) shared_chars FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id WHERE text IS NOT NULL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p5_found, p5_merged, p5_currency, p6_found, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_shared)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL, "p6_found": P6_SQL}
+    return {"p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p6_found": P6_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL}

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize
+from siltstone.session import broadcast_if_small, materialize
 
 _BASE = 0x100000001B3
 _CHUNK = 2_000_000
@@ -238,48 +238,68 @@ def repeated_runs(docs: DataFrame, span: int, sketch: Sketch, every_place: bool)
     return docs.mapInArrow(run, "anchor bigint, id bigint, s0 int, s1 int, before bigint, content bigint")
 
 
-def run_windows(docs: DataFrame, runs: DataFrame, span: int, every_place: bool) -> DataFrame:
-    """Rows (h, id, place, before) of the windows in ``runs`` (id, s0, s1): hash, place and the code point before (-1 at
-    the text's start). Without ``every_place`` one row per text, window and code point before it."""
-    listed = materialize(runs.groupBy("id").agg(F.collect_list(F.struct("s0", "s1")).alias("runs")), "runs")
-    joined = docs.join(listed, "id").select("id", "text", "runs")
+def run_pieces(docs: DataFrame, runs: DataFrame, span: int) -> DataFrame:
+    """Rows (id, s0, lead, piece): the text that the windows of ``runs`` (id, s0, s1) cover, and the code point before it
+    (-1 at the text's start). The only join with the texts; the list of runs is broadcast while it is small."""
+    listed = materialize(runs.groupBy("id").agg(F.collect_set(F.struct("s0", "s1")).alias("runs"), F.count("*").alias("n")), "runs")
+    row_bytes = 48 + 8 * (listed.agg(F.avg("n")).first()[0] or 0)
+    joined = docs.join(broadcast_if_small(listed, int(row_bytes)), "id").select("id", "text", "runs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["id", "s0", "lead", "piece"])
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, pieces, lead, offset, size = [], [], [], [], 0
-            todo = list(zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True))
-            for n, (i, text, own) in enumerate(todo):
+            for i, text, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 t = text.as_py()
                 for r in own.as_py():
                     piece = t[r["s0"] : r["s1"] + span]
                     if len(piece) < span:  # of another text with this id
                         continue
-                    ids.append(i)
-                    pieces.append(piece)
-                    offset.append(r["s0"])
-                    lead.append(ord(t[r["s0"] - 1]) if r["s0"] else -1)
+                    rows.append((i, r["s0"], ord(t[r["s0"] - 1]) if r["s0"] else -1, piece))
                     size += len(piece)
-                if pieces and (size >= _CHUNK or n == len(todo) - 1):
-                    yield from _piece_rows(ids, pieces, lead, offset, span, every_place)
-                    ids, pieces, lead, offset, size = [], [], [], [], 0
+                    if size >= _CHUNK:
+                        yield batch()
+                        rows, size = [], 0
+        if rows:
+            yield batch()
+
+    return joined.mapInArrow(cut, "id bigint, s0 int, lead int, piece string")
+
+
+def piece_windows(pieces: DataFrame, span: int, every_place: bool) -> DataFrame:
+    """Rows (h, id, place, before, s0) of the windows in pieces: hash, place in the text and the code point before (-1 at
+    the text's start). Without ``every_place`` one row per text, window and code point before it in each batch."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, offset, lead = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            texts = b.column(3).to_pylist()
+            sizes = np.cumsum([len(t) for t in texts])
+            cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(_CHUNK, int(sizes[-1]), _CHUNK)), len(texts)]) if texts else []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                yield from _piece_rows(ids[i:j], texts[i:j], lead[i:j], offset[i:j], span, every_place)
 
-    return joined.mapInArrow(expand, "h bigint, id bigint, place int, before int")
+    return pieces.select("id", "s0", "lead", "piece").mapInArrow(expand, "h bigint, id bigint, place int, before int, s0 int")
 
 
-def _piece_rows(ids: list[int], pieces: list[str], lead: list[int], offset: list[int], span: int, every_place: bool) -> Iterator[pa.RecordBatch]:
+def _piece_rows(ids: np.ndarray, pieces: list[str], lead: np.ndarray, offset: np.ndarray, span: int, every_place: bool) -> Iterator[pa.RecordBatch]:
     points, no, place, at = _laid_out(pieces, span)
     full = _hashes(points, span, False, True)[1][at]
-    before = np.where(place > 0, points[np.maximum(at - 1, 0)].astype(np.int64), np.array(lead, np.int64)[no])
-    own = np.array(ids, np.int64)[no]
-    where = place + np.array(offset, np.int64)[no]
+    before = np.where(place > 0, points[np.maximum(at - 1, 0)].astype(np.int64), lead[no])
+    own, start = ids[no], offset[no]
+    where = place + start
     if not every_place:
         order = np.lexsort((where, before, full, own))
         t, f, p = own[order], full[order], before[order]
         once = order[np.r_[True, (t[1:] != t[:-1]) | (f[1:] != f[:-1]) | (p[1:] != p[:-1])]] if len(order) else order
-        own, full, where, before = own[once], full[once], where[once], before[once]
+        own, full, where, before, start = own[once], full[once], where[once], before[once], start[once]
     for i in range(0, len(full), 200_000):
         c = slice(i, i + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(full[c].view(np.int64)), pa.array(own[c]), pa.array(where[c].astype(np.int32)), pa.array(before[c].astype(np.int32))], ["h", "id", "place", "before"])
+        yield pa.RecordBatch.from_arrays([pa.array(full[c].view(np.int64)), pa.array(own[c]), pa.array(where[c].astype(np.int32)), pa.array(before[c].astype(np.int32)), pa.array(start[c].astype(np.int32))], ["h", "id", "place", "before", "s0"])
 
 
 def text_classes(docs: DataFrame, item: str, text: str, span: int) -> DataFrame:
@@ -291,9 +311,8 @@ def text_classes(docs: DataFrame, item: str, text: str, span: int) -> DataFrame:
 
 
 def _representatives(docs: DataFrame, classes: DataFrame, item: str, text: str, span: int) -> DataFrame:
-    """One text per class. The others, usually few, are written out, so that their size is known: under the broadcast
-    limit the texts aren't shuffled."""
-    spare = materialize(classes.filter("id <> class_id").select("id").distinct(), "spare")
+    """One text per class. The ids of the others are broadcast while they are few; the texts then aren't shuffled."""
+    spare = broadcast_if_small(materialize(classes.filter("id <> class_id").select("id").distinct(), "spare"), 16)
     texts = docs.select(F.col(item).cast("bigint").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.char_length("text") >= span))
     return texts.join(spare, "id", "left_anti")
 
@@ -315,10 +334,11 @@ def shared_span_pairs(docs: DataFrame, item: str = "doc_id", text: str = "text",
     reps = _representatives(docs, classes, item, text, span)
     runs = materialize(repeated_runs(reps, span, sketch, False), "repeated")
     opening = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q"), F.min("s0").alias("s")).filter("a <> b AND (p <> q OR s = 0)").select("anchor")
-    windows = materialize(run_windows(reps, runs.join(opening, "anchor", "left_semi"), span, False), "windows")
+    pieces = materialize(run_pieces(reps, runs.join(opening, "anchor", "left_semi"), span), "pieces")
+    windows = materialize(piece_windows(pieces, span, False), "windows")
     starts = windows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q")).filter("a <> b AND (p <> q OR p = -1)").select("h")
-    found = materialize(windows.join(starts, "h", "left_semi").select("id", "place", "before"), "found")
-    exact = reps.join(found, "id").select("id", "before", F.expr(f"substring(text, place + 1, {span})").alias("window")).filter(F.char_length("window") == span).distinct()
+    found = windows.join(starts, "h", "left_semi").select("id", "s0", "place", "before").distinct()
+    exact = found.join(pieces.select("id", "s0", "piece"), ["id", "s0"]).select("id", "before", F.expr(f"substring(piece, place - s0 + 1, {span})").alias("window")).filter(F.char_length("window") == span).distinct()
     exact = materialize(exact.withColumn("h", F.xxhash64("window")), "starts")
     x, y = exact.alias("x"), exact.alias("y")
     unlike = (F.col("x.before") != F.col("y.before")) | (F.col("x.before") == -1)
@@ -338,7 +358,7 @@ def shared_share(docs: DataFrame, item: str = "doc_id", text: str = "text", span
 
     A code point counts if a window of ``span`` around it also occurs in another document; exact copies are shared
     in full. Every document with a text has a row, also those that share nothing; class_id is the least id of its
-    exact copies, null for texts shorter than ``span``. Windows are compared by a 64-bit hash here.
+    exact copies, its own for texts shorter than ``span``. Windows are compared by a 64-bit hash here.
     """
     classes = materialize(text_classes(docs, item, text, span), "classes")
     reps = _representatives(docs, classes, item, text, span)
@@ -350,7 +370,7 @@ def shared_share(docs: DataFrame, item: str = "doc_id", text: str = "text", span
     shared_runs = runs.join(whole, ["anchor", "content"], "left_semi").select("id", "s0", "s1")
     loose = runs.join(whole, ["anchor", "content"], "left_anti").select("anchor").distinct()
     partly = runs.join(two(runs, ["anchor"]).join(loose, "anchor", "left_semi"), "anchor", "left_semi")
-    windows = materialize(run_windows(reps, partly, span, True), "windows")
+    windows = materialize(piece_windows(run_pieces(reps, partly, span), span, True), "windows")
     hits = windows.join(two(windows, ["h"]), "h", "left_semi").select("id", F.col("place").alias("s0"), F.col("place").alias("s1"))
     before = Window.partitionBy("id").orderBy("s0", "s1").rowsBetween(Window.unboundedPreceding, -1)
     stretch = shared_runs.unionByName(hits).distinct().withColumn("_end", F.col("s1") + span)
@@ -360,4 +380,4 @@ def shared_share(docs: DataFrame, item: str = "doc_id", text: str = "text", span
     by_class = classes.join(copied, "class_id").join(covered.withColumnRenamed("id", "class_id"), "class_id", "left")
     sizes = docs.select(F.col(item).cast("bigint").alias("id"), F.char_length(text).alias("n_chars")).dropna().groupBy("id").agg(F.max("n_chars").alias("n_chars"))
     shared = F.when(F.col("_n") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0)))
-    return sizes.join(by_class, "id", "left").select(F.col("id").alias("doc_id"), "class_id", "n_chars", shared.cast("bigint").alias("shared_chars"))
+    return sizes.join(by_class, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"), "n_chars", shared.cast("bigint").alias("shared_chars"))
