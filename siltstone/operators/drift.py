@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize
+from siltstone.operators.merging import distinct_rows
+from siltstone.session import broadcast_if_small, materialize
 
 TAGS = ("text", "number", "boolean", "array", "object")
 RENAME_SHARE = 0.9
@@ -30,7 +31,7 @@ def _tag(v: Column) -> Column:
 
 def records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """``df`` without repeated rows and without rows whose ``raw`` isn't a JSON object, parsed into ``_v``."""
-    return df.distinct().withColumn("_v", F.try_parse_json(raw)).filter(F.schema_of_variant("_v").startswith("OBJECT"))
+    return distinct_rows(df).withColumn("_v", F.try_parse_json(raw)).filter(F.schema_of_variant("_v").startswith("OBJECT"))
 
 
 def fields_of(recs: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -47,20 +48,29 @@ def infer_union(fields: DataFrame, by: Sequence[str]) -> DataFrame:
 
     Equal counts go to the tag named first in ``TAGS``.
     """
-    counts = fields.filter("tag IS NOT NULL").groupBy(*by, "field").agg(*[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in TAGS])
+    return with_main_tag(_tag_counts(fields.filter("tag IS NOT NULL"), by))
+
+
+def _tag_counts(fields: DataFrame, by: Sequence[str]) -> DataFrame:
+    return fields.groupBy(*by, "field").agg(*[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in TAGS])
+
+
+def with_main_tag(counts: DataFrame) -> DataFrame:
+    """Counts per tag with ``main_tag``; without any value it is null."""
     most = F.greatest(*[F.col(f"n_{t}") for t in TAGS])
-    main = F.coalesce(*[F.when(F.col(f"n_{t}") == most, F.lit(t)) for t in TAGS])
+    main = F.when(most > 0, F.coalesce(*[F.when(F.col(f"n_{t}") == most, F.lit(t)) for t in TAGS]))
     return counts.withColumn("main_tag", main)
 
 
-def _steps(fields: DataFrame, schema: DataFrame, feed: str, file: str) -> DataFrame:
+def _steps(counts: DataFrame, feed: str, file: str) -> DataFrame:
     """Schema rows with what the feed's files before and after hold: file_at (place of the file in its feed),
-    next_file, in_before, in_after, tag_before, first_file."""
-    files = fields.select(feed, file).distinct()
+    next_file, in_before, in_after, tag_before. ``counts`` also has rows without any value, which make a file known."""
+    schema = with_main_tag(counts)
+    files = schema.select(feed, file).distinct()
     order = Window.partitionBy(feed).orderBy(file)
     files = files.select(feed, file, F.row_number().over(order).alias("file_at"), F.lead(file).over(order).alias("next_file"))
     own = Window.partitionBy(feed, "field").orderBy("file_at")
-    s = schema.join(files, [feed, file])
+    s = schema.filter("main_tag IS NOT NULL").join(files, [feed, file])
     return s.select(
         "*",
         (F.coalesce(F.lag("file_at").over(own), F.lit(-1)) == F.col("file_at") - 1).alias("in_before"),
@@ -93,21 +103,23 @@ def schema_changes(df: DataFrame, id_field: str, feed: str = "feed", file: str =
     type_changed. A row repeated in full counts once; rows that aren't JSON objects are left out, and a file of
     only such rows isn't there; records without ``id_field`` prove no rename; an empty table gives no row.
     """
-    recs = records(df.select(feed, file, *[c for c in df.columns if c not in (feed, file)]), raw)
+    recs = records(df, raw)
     ident = F.try_variant_get("_v", f"$['{id_field}']", "string")
-    fields = fields_of(recs.withColumn("_id", ident), [feed, file, "_id"]).withColumn("value", F.to_json("value"))
-    fields = materialize(fields, "fields")  # parsed once, read by the branches below
-    # A row per field and file: small beside the records. Written, its size is known, and where that is under the
-    # broadcast limit the values below are joined to it without a shuffle.
-    schema = materialize(_steps(fields, infer_union(fields, [feed, file]), feed, file), "schema")
-    came = schema.filter(~F.col("in_before") & (F.col("file_at") > 1)).select(feed, file, "field")
-    went = schema.filter(~F.col("in_after") & F.col("next_file").isNotNull()).select(feed, F.col(file).alias("before"), F.col("next_file").alias(file), "field")
+    fields = fields_of(recs.withColumn("_id", ident), [feed, file, "_id"])
+    # A row per field and file, small beside the records: what follows works on it.
+    counts = materialize(_tag_counts(fields, [feed, file]), "counts")
+    schema = materialize(_steps(counts, feed, file), "schema")
+    came = schema.filter(~F.col("in_before") & (F.col("file_at") > 1)).select(feed, F.col(file).alias("at_file"), F.col(file).alias("new_file"), "field", F.lit("came").alias("side"))
+    went = schema.filter(~F.col("in_after") & F.col("next_file").isNotNull()).select(feed, F.col(file).alias("at_file"), F.col("next_file").alias("new_file"), "field", F.lit("went").alias("side"))
     typed = schema.filter(F.col("in_before") & (F.col("tag_before") != F.col("main_tag")))
 
-    with_id = fields.filter("_id IS NOT NULL AND tag IS NOT NULL")
-    # Values are counted before they meet, so that a frequent id costs a row per different value and no pairs.
-    gone = with_id.select(feed, F.col(file).alias("before"), "_id", "field", "value").join(went, [feed, "before", "field"]).groupBy(feed, file, "_id", "field", "value").count()
-    new = with_id.select(feed, file, "_id", "field", "value").join(came, [feed, file, "field"]).groupBy(feed, file, "_id", "field", "value").count()
+    # Of the records only values of fields that went or came are read again, beside them the id. They are counted
+    # before they meet, so that a frequent id costs a row per different value and no pairs.
+    moves = materialize(came.unionByName(went), "moves").withColumnRenamed("at_file", file)
+    values = fields.filter("_id IS NOT NULL AND tag IS NOT NULL").join(broadcast_if_small(moves, 160), [feed, file, "field"])
+    values = materialize(values.groupBy(feed, F.col("new_file").alias(file), "side", "_id", "field", F.to_json("value").alias("value")).count(), "values")
+    went, came = (x.select(feed, F.col("new_file").alias(file), "field") for x in (went, came))
+    gone, new = (values.filter(F.col("side") == x).drop("side") for x in ("went", "came"))
     gone, new = (x.withColumnsRenamed({"field": f, "count": n}) for x, f, n in ((gone, "old_field", "n_old"), (new, "new_field", "n_new")))
     pair = [feed, file, "old_field", "new_field"]
     agree = gone.join(new, [feed, file, "_id", "value"]).groupBy(*pair).agg(F.sum(F.col("n_old") * F.col("n_new")).alias("agree"))

@@ -7,6 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import broadcast_if_small, materialize
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Every row once. Only a hash of each row is shuffled; rows whose hash comes more than once, usually few, are
+    then compared in full. Equal hashes of unlike rows cost work but lose nothing."""
+    keyed = df.withColumn("_row_hash", F.xxhash64(*df.columns))
+    again = materialize(keyed.groupBy("_row_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_row_hash"), "again")
+    hint = broadcast_if_small(again, 24)
+    once = keyed.join(hint, "_row_hash", "left_anti").drop("_row_hash")
+    return once.unionByName(keyed.join(hint, "_row_hash", "left_semi").drop("_row_hash").distinct())
+
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``base`` with every non-null value of ``changes`` put over it by ``keys``, and with the rows only ``changes`` has.
