@@ -67,13 +67,15 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
     ``refs`` are kept but one named ``reason``; those of ``parents`` not named here aren't read.
     """
     own = [f"_k{i}" for i in range(len(keys))]
-    rest = [c for c in refs.columns if c != "reason"]
-    # The caller's columns travel as one struct, so that none can clash with those made here.
-    refs = refs.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(at).cast("timestamp_ntz").alias("_at"), F.struct(*rest).alias("_row")).dropna(subset=own).distinct()
-    parents = parents.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(born).cast("timestamp_ntz").alias("_born"), F.coalesce(F.col(died).cast("timestamp_ntz"), F.expr(FAR)).alias("_died")).dropna(subset=own).distinct()
+    names = [c for c in refs.columns if c != "reason"]
+    rest = [c for c in refs.columns if c not in (*keys, at, "reason")]
+    # The caller's columns travel as one struct, so that none can clash with those made here; the keys themselves
+    # leave with the dictionary and come back with the few rows found.
+    refs = refs.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(at).cast("timestamp_ntz").alias("_at"), F.struct(*rest, F.lit(0).alias("_")).alias("_row")).dropna(subset=own)
+    parents = parents.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(born).cast("timestamp_ntz").alias("_born"), F.coalesce(F.col(died).cast("timestamp_ntz"), F.expr(FAR)).alias("_died")).dropna(subset=own)
     dictionary = encode_keys([refs, parents], own)
     coded = materialize(refs.join(dictionary, own).select("code", "_at", F.coalesce(_month("_at"), F.lit(-1)).alias("period"), "_row"), "references")
-    held = materialize(parents.join(dictionary, own).select("code", "_born", "_died"), "parents")
+    held = materialize(parents.join(dictionary, own).select("code", "_born", "_died").distinct(), "parents")
 
     low, high = coded.filter("period >= 0").agg(F.min("period"), F.max("period")).first()
     # Months a parent holds from first to last moment: those after its birth and before its end, within the span.
@@ -83,7 +85,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
         whole = whole.filter("false")
     whole = whole.groupBy("code", "_from", "_till").agg(F.lit(1).alias("_one")).select("code", F.explode(F.sequence("_from", "_till")).alias("period"))
     open_refs = decode(and_not(bitmaps(coded), bitmaps(whole)))
-    suspects = coded.join(open_refs, ["code", "period"], "left_semi")
+    open_refs = materialize(open_refs, "open")
+    suspects = coded.join(open_refs, ["code", "period"], "left_semi").distinct()
 
     # Exact check. A reference holds if the latest end among parents born until then is later. Cut into days, so that
     # a key with very many rows is spread; what earlier days hold is carried as one maximum per day.
@@ -104,4 +107,6 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
     out = suspects.alias("s").join(verdict, ["code", "_at"], "left").join(known, "code", "left")
     out = out.filter(F.col("_latest").isNull() | (F.col("_latest") <= F.col("_at"))).filter("_at IS NOT NULL OR _known IS NULL")
     reason = F.when(F.col("_known").isNull(), "missing").when(F.col("_first").isNull() | (F.col("_first") > F.col("_at")), "late").otherwise("deleted")
-    return out.select("_row.*", reason.alias("reason"))
+    out = out.withColumn("reason", reason).join(dictionary, "code")
+    values = {k: F.col(o) for k, o in zip(keys, own, strict=True)} | {at: F.col("_at")} | {c: F.col("_row")[c] for c in rest}
+    return out.select(*[values[c].alias(c) for c in names], "reason")
