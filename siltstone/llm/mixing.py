@@ -80,6 +80,7 @@ def mix(docs: DataFrame, source: str, item: str, size: str, targets: Sequence[Ta
     """
     wanted = {t.source: t for t in targets if t.share > 0 and t.max_repeats > 0}
     own = docs.select(F.col(source).alias("source"), F.col(item).alias(item), F.col(size).alias("_size")).distinct().filter(F.col("source").isin(list(wanted)))
+    own = materialize(own, "items")  # read by both branches of the running total
     pieces = materialize(token_blocks(own, "source", item, "_size", block), "blocks")
     # One row per wanted source.
     blocks = {r[0]: r[1] for r in pieces.groupBy("source").agg(F.max("block_no") + 1).collect()}
