@@ -51,8 +51,18 @@ def infer_union(fields: DataFrame, by: Sequence[str]) -> DataFrame:
     return with_main_tag(_tag_counts(fields.filter("tag IS NOT NULL"), by))
 
 
-def _tag_counts(fields: DataFrame, by: Sequence[str]) -> DataFrame:
-    return fields.groupBy(*by, "field").agg(*[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in TAGS])
+def _tag_counts(fields: DataFrame, by: Sequence[str], weight: Column | None = None) -> DataFrame:
+    one = F.lit(1) if weight is None else weight
+    return fields.groupBy(*by, "field").agg(*[F.sum(F.when(F.col("tag") == t, one).otherwise(0)).alias(f"n_{t}") for t in TAGS])
+
+
+def shape_counts(recs: DataFrame, by: Sequence[str], raw: str = "raw") -> DataFrame:
+    """Tag counts per ``by`` and field, also of fields without any value. Records shrink to their different shapes
+    first, combined on the map side; only one record of each shape is taken apart and counts for all of them."""
+    shape = F.regexp_replace(F.schema_of_variant("_v"), r"DECIMAL\([0-9]+,[0-9]+\)", "DOUBLE")
+    shapes = recs.groupBy(*by, shape.alias("_shape")).agg(F.count("*").alias("_n"), F.first(raw).alias("_raw"))
+    fields = fields_of(shapes.withColumn("_v", F.try_parse_json("_raw")), [*by, "_n"])
+    return _tag_counts(fields, by, F.col("_n"))
 
 
 def with_main_tag(counts: DataFrame) -> DataFrame:
@@ -105,9 +115,8 @@ def schema_changes(df: DataFrame, id_field: str, feed: str = "feed", file: str =
     """
     recs = records(df, raw)
     ident = F.try_variant_get("_v", f"$['{id_field}']", "string")
-    fields = fields_of(recs.withColumn("_id", ident), [feed, file, "_id"])
     # A row per field and file, small beside the records: what follows works on it.
-    counts = materialize(_tag_counts(fields, [feed, file]), "counts")
+    counts = materialize(shape_counts(recs, [feed, file], raw), "counts")
     schema = materialize(_steps(counts, feed, file), "schema")
     came = schema.filter(~F.col("in_before") & (F.col("file_at") > 1)).select(feed, F.col(file).alias("at_file"), F.col(file).alias("new_file"), "field", F.lit("came").alias("side"))
     went = schema.filter(~F.col("in_after") & F.col("next_file").isNotNull()).select(feed, F.col(file).alias("at_file"), F.col("next_file").alias("new_file"), "field", F.lit("went").alias("side"))
@@ -116,7 +125,9 @@ def schema_changes(df: DataFrame, id_field: str, feed: str = "feed", file: str =
     # Of the records only values of fields that went or came are read again, beside them the id. They are counted
     # before they meet, so that a frequent id costs a row per different value and no pairs.
     moves = materialize(came.unionByName(went), "moves").withColumnRenamed("at_file", file)
-    values = fields.filter("_id IS NOT NULL AND tag IS NOT NULL").join(broadcast_if_small(moves, 160), [feed, file, "field"])
+    touched = broadcast_if_small(materialize(moves.select(feed, file).distinct(), "touched"), 100)
+    fields = fields_of(recs.join(touched, [feed, file], "left_semi").withColumn("_id", ident).filter("_id IS NOT NULL"), [feed, file, "_id"])
+    values = fields.filter("tag IS NOT NULL").join(broadcast_if_small(moves, 160), [feed, file, "field"])
     values = materialize(values.groupBy(feed, F.col("new_file").alias(file), "side", "_id", "field", F.to_json("value").alias("value")).count(), "values")
     went, came = (x.select(feed, F.col("new_file").alias(file), "field") for x in (went, came))
     gone, new = (values.filter(F.col("side") == x).drop("side") for x in ("went", "came"))
@@ -126,7 +137,11 @@ def schema_changes(df: DataFrame, id_field: str, feed: str = "feed", file: str =
     per_id = lambda x, f, n: x.groupBy(feed, file, "_id", f).agg(F.sum(n).alias(n))
     both = per_id(gone, "old_field", "n_old").join(per_id(new, "new_field", "n_new"), [feed, file, "_id"]).groupBy(*pair).agg(F.sum(F.col("n_old") * F.col("n_new")).alias("n"))
     likely = agree.join(both, pair).filter(F.col("agree") >= RENAME_SHARE * F.col("n")).select(*pair, (F.col("agree") / F.col("n")).alias("share"), "n")
-    renamed = likely.groupBy(feed, file).applyInPandas(_one_to_one, likely.schema).select(*pair)
+    # A pair whose two names come in no other pair of its file needs no choice.
+    rivals = likely.withColumn("_o", F.count("*").over(Window.partitionBy(feed, file, "old_field"))).withColumn("_n", F.count("*").over(Window.partitionBy(feed, file, "new_field")))
+    rivals = materialize(rivals, "likely")
+    alone = rivals.filter("_o = 1 AND _n = 1").select(*pair)
+    renamed = alone.unionByName(rivals.filter("_o > 1 OR _n > 1").drop("_o", "_n").groupBy(feed, file).applyInPandas(_one_to_one, likely.schema).select(*pair))
 
     out = lambda x, kind, old, new: x.select(feed, file, F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
     field, blank = F.col("field"), F.lit("")
