@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.words import stripped
+
 # Sizes of the types that a decompiler writes.
 WIDTHS = {"char": 1, "byte": 1, "uchar": 1, "uint8_t": 1, "int8_t": 1, "undefined1": 1, "bool": 1, "short": 2, "ushort": 2, "uint16_t": 2, "int16_t": 2, "undefined2": 2, "int": 4, "uint": 4, "uint32_t": 4, "int32_t": 4, "undefined4": 4, "undefined8": 8, "uint64_t": 8, "longlong": 8}
 # Words before a parenthesis that are no calls.
@@ -31,12 +33,12 @@ def map_symbols(df: DataFrame, key: str, text: str) -> DataFrame:
     follows on the next.
     """
     # The line that follows comes from the text itself, so no window is needed.
+    section = r"^\s*\.text\.(\w+)\s+0x([0-9a-fA-F]+)\s+0x([0-9a-fA-F]+)"
     following = F.get(F.split(F.col(text), "\n"), F.col("line_no") + 1)
-    whole = F.regexp_extract("line", r"^\s*\.text\.(\w+)\s+0x([0-9a-fA-F]+)\s+0x([0-9a-fA-F]+)", 1)
     rows = df.select(key, text, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
     rows = rows.filter(F.col("line").contains(".text."))
-    rest = F.when(whole != "", F.col("line")).otherwise(F.concat(F.col("line"), F.lit(" "), F.coalesce(following, F.lit(""))))
-    pick = lambda i: F.regexp_extract(rest, r"^\s*\.text\.(\w+)\s+0x([0-9a-fA-F]+)\s+0x([0-9a-fA-F]+)", i)
+    rest = F.when(F.col("line").rlike(section), F.col("line")).otherwise(F.concat(F.col("line"), F.lit(" "), F.coalesce(following, F.lit(""))))
+    pick = lambda i: F.regexp_extract(rest, section, i)
     out = rows.select(key, "line_no", pick(1).alias("function_name"), F.conv(pick(2), 16, 10).cast("bigint").alias("address"), F.conv(pick(3), 16, 10).cast("bigint").alias("size"))
     return out.filter("function_name <> ''")
 
@@ -58,7 +60,7 @@ def json_payload(text: Column) -> Column:
 
 def loop_bound(header: Column) -> Column:
     """What a loop header compares its counter with: the side behind the first ``<``, ``<=``, ``!=``, ``>`` or ``>=``."""
-    return F.nullif(F.trim(F.regexp_extract(header, r"(?:<=?|!=|>=?)[ \t]*([^;&|)]+)", 1)), F.lit(""))
+    return F.nullif(stripped(F.regexp_extract(header, r"(?:<=?|!=|>=?)[ \t]*([^;&|)]+)", 1)), F.lit(""))
 
 
 def literal_clusters(text: Column, low: int, high: int, bits: int) -> Column:
@@ -74,14 +76,14 @@ def loop_headers(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(key, F.explode(found).alias("loop"))
     header = F.regexp_extract("loop", r"^for \(([^{]*)\) \{", 1)
     bound = loop_bound(F.split("loop", ";")[1])
-    return rows.select(key, header.alias("header"), bound.alias("bound"), F.coalesce(bound.rlike("^(0x[0-9a-fA-F]+|[0-9]+)$"), F.lit(False)).alias("bound_is_constant"), F.trim(F.regexp_extract("loop", r"\{([^}]*)\}", 1)).alias("body"))
+    return rows.select(key, header.alias("header"), bound.alias("bound"), F.coalesce(bound.rlike("^(0x[0-9a-fA-F]+|[0-9]+)$"), F.lit(False)).alias("bound_is_constant"), stripped(F.regexp_extract("loop", r"\{([^}]*)\}", 1)).alias("body"))
 
 
 def guards(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, left, operator, right) of one-line ``if`` comparisons."""
     found = F.regexp_extract_all(F.col(text), F.lit(r"if \([^()\n]*\)"), 0)
     rows = df.select(key, F.explode(found).alias("g"))
-    part = lambda i: F.trim(F.regexp_extract("g", r"^if \(([^<>=!]+)(<=|>=|==|!=|<|>)([^<>=!]+)\)$", i))
+    part = lambda i: stripped(F.regexp_extract("g", r"^if \(([^<>=!]+)(<=|>=|==|!=|<|>)([^<>=!]+)\)$", i))
     return rows.select(key, part(1).alias("left"), part(2).alias("operator"), part(3).alias("right")).filter("operator <> ''")
 
 
