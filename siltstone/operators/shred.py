@@ -66,8 +66,10 @@ class Shape:
     open_parts: frozenset[str] = frozenset()
 
 
-def _walk(doc: str, value: object, shape: Shape, rows: list[tuple]) -> None:
-    """Rows (node, parent, label, ordinal, kind, path, top, trail, scalar) in document order, without recursion."""
+def _walk(doc: str, value: object, shape: Shape) -> Iterator[tuple]:
+    """Rows (node, parent, label, ordinal, kind, path, top, trail, scalar) in document order, without recursion and one
+    by one, so that a very large document needs no more memory than its parsed form."""
+    node = -1
     stack = [(value, -1, "", 0, doc, 0, None)]
     while stack:
         v, parent, label, ordinal, path, top, trail = stack.pop()
@@ -80,18 +82,18 @@ def _walk(doc: str, value: object, shape: Shape, rows: list[tuple]) -> None:
                 v = [v]
         elif path.endswith("/*") and outer not in shape.plain_lists:
             v = unwrapped(v)
-        node = len(rows)
+        node += 1
         if path == f"{doc}/*":
             top = ordinal
         if isinstance(v, dict):
-            rows.append((node, parent, label, ordinal, "object", path, top, trail, None))
+            yield node, parent, label, ordinal, "object", path, top, trail, None
             items = [(x, node, str(k), i, f"{path}/{k}", top) for i, (k, x) in enumerate(v.items())]
         elif isinstance(v, list):
-            rows.append((node, parent, label, ordinal, "array", path, top, trail, None))
+            yield node, parent, label, ordinal, "array", path, top, trail, None
             items = [(x, node, "", i, f"{path}/*", top) for i, x in enumerate(v)]
         else:
             kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, _Number) else "text"
-            rows.append((node, parent, label, ordinal, kind, path, top, trail, None if v is None else str(v).lower() if isinstance(v, bool) else str(v)))
+            yield node, parent, label, ordinal, kind, path, top, trail, None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
             continue
         inside = trail is not None or path in shape.open_parts
         for x, n, k, i, p, t in reversed(items):
@@ -136,9 +138,7 @@ def shred(df: DataFrame, record_id: str, documents: Mapping[str, Shape]) -> Data
                     ok, value = parse(text)
                     if not ok:
                         continue
-                    rows: list[tuple] = []
-                    _walk(name, unwrapped(value), documents[name], rows)
-                    for node, parent, label, ordinal, kind, path, top, trail, scalar in rows:
+                    for node, parent, label, ordinal, kind, path, top, trail, scalar in _walk(name, unwrapped(value), documents[name]):
                         for c, v in zip(out, (rid, name, key.as_py(), node, parent, _clean(label), ordinal, kind, _clean(path), top, trail if trail is None else _clean(trail), scalar if scalar is None else _clean(scalar)), strict=True):
                             c.append(v)
                         if len(out[0]) >= _BATCH:
