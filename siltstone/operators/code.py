@@ -1,7 +1,7 @@
 """Facts read from program text: calls, memory accesses, loops, map files, fenced blocks.
 
 Patterns that no later match depends on are built-in expressions; accesses, whose patterns claim spans in turn, and
-arguments, whose parentheses must balance, are parsed in Arrow batches.
+arguments and conditions, whose parentheses must balance, are parsed in Arrow batches.
 """
 
 from __future__ import annotations
@@ -79,12 +79,76 @@ def loop_headers(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, header.alias("header"), bound.alias("bound"), F.coalesce(bound.rlike("^(0x[0-9a-fA-F]+|[0-9]+)$"), F.lit(False)).alias("bound_is_constant"), stripped(F.regexp_extract("loop", r"\{([^}]*)\}", 1)).alias("body"))
 
 
+_CONDITION = re.compile(r"\b(if|while|for)[ \t]*\(")
+# Longest first, so that arrows and shifts are never taken for comparisons.
+_CONDITION_TOKEN = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|([(\[{])|([)\]}])|(->|<<=?|>>=?|::)|(==|!=|<=|>=|<|>)|(&&|\|\||[?:,;])""")
+_NEGATED = {"<": ">=", ">=": "<", ">": "<=", "<=": ">", "==": "!=", "!=": "=="}
+
+
+def _closing(line: str, start: int) -> int:
+    """The place of the parenthesis that closes the one before ``start``, -1 if the line doesn't hold it."""
+    depth = 1
+    for m in _CONDITION_TOKEN.finditer(line, start):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if not depth:
+            return m.start()
+    return -1
+
+
+def comparisons(condition: str, negated: bool = False) -> list[tuple[str, str, str]]:
+    """(left, operator, right) of a condition's comparisons: each term between logical operators is split at its
+    outermost comparison operator; brackets around a whole term are opened, and a negation before them turns the operator."""
+    marks, cuts, depth = [], [0], 0
+    for m in _CONDITION_TOKEN.finditer(condition):
+        depth += bool(m[2]) - bool(m[3])
+        if depth == 0 and m[5]:
+            marks.append((m.start(), m.end(), m[5]))
+        elif depth == 0 and m[6]:
+            cuts += [m.start(), m.end()]
+    cuts.append(len(condition))
+    found = []
+    for lo, hi in zip(cuts[::2], cuts[1::2], strict=True):
+        own = [x for x in marks if lo <= x[0] < hi]
+        if own:
+            # Equality binds less than order, and of equals the last is the outermost.
+            at, end, operator = max(own, key=lambda x: (x[2] in ("==", "!="), x[0]))
+            left, right = condition[lo:at].strip(), condition[end:hi].strip()
+            if left and right:
+                found.append((left, _NEGATED[operator] if negated else operator, right))
+            continue
+        term = condition[lo:hi].strip()
+        inner = term.lstrip("! \t")
+        if inner.startswith("(") and _closing(inner, 1) == len(inner) - 1:
+            found += comparisons(inner[1:-1], negated ^ (term[: len(term) - len(inner)].count("!") % 2 == 1))
+    return found
+
+
 def guards(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, left, operator, right) of one-line ``if`` comparisons."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"if \([^()\n]*\)"), 0)
-    rows = df.select(key, F.explode(found).alias("g"))
-    part = lambda i: stripped(F.regexp_extract("g", r"^if \(([^<>=!]+)(<=|>=|==|!=|<|>)([^<>=!]+)\)$", i))
-    return rows.select(key, part(1).alias("left"), part(2).alias("operator"), part(3).alias("right")).filter("operator <> ''")
+    """Rows (key, at, keyword, condition, left, operator, right) of the comparisons in ``if``, ``while`` and ``for``
+    conditions whose parentheses balance on their line; of a ``for`` the middle part is the condition."""
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, at int, keyword string, condition string, left string, operator string, right string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: list[list] = [[] for _ in range(7)]
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for m in _CONDITION.finditer(t or ""):
+                    line_end = t.find("\n", m.end())
+                    line = t[m.end() : line_end if line_end >= 0 else len(t)]
+                    end = _closing(line, 0)
+                    if end < 0:
+                        continue
+                    condition = line[:end]
+                    if m[1] == "for":
+                        parts = condition.split(";")
+                        condition = parts[1] if len(parts) == 3 else ""
+                    for row in comparisons(condition):
+                        for c, v in zip(cols, (k, m.start(), m[1], condition, *row), strict=True):
+                            c.append(v)
+            types = [b.schema.field(0).type, pa.int32(), *[pa.string()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "at", "keyword", "condition", "left", "operator", "right"])
+
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 _ACCESS = [

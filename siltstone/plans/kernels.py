@@ -407,6 +407,15 @@ def loop_headers(s: SparkSession, d: str) -> DataFrame:
 WITH g AS (SELECT doc_id, unnest(regexp_extract_all(text, 'if \([^()\n]*\)')) AS g FROM documents), p AS (SELECT doc_id, g, '^if \(([^<>=!]+)(<=|>=|==|!=|<|>)([^<>=!]+)\)$' p FROM g)
 SELECT doc_id, trim(regexp_extract(g, p, 1)) AS "left", trim(regexp_extract(g, p, 2)) AS operator, trim(regexp_extract(g, p, 3)) AS "right" FROM p WHERE regexp_matches(g, p)""")
 def guards(s: SparkSession, d: str) -> DataFrame:
+    # The rows that the SQL defines: a single comparison without brackets and arrows. guard_comparisons gives all.
+    plain = r"^([^()<>=!]+)(<=|>=|==|!=|<|>)([^()<>=!]+)$"
+    found = code.guards(table(s, d, "documents"), "doc_id", "text").filter((F.col("keyword") == "if") & F.col("condition").rlike(plain))
+    part = lambda i: stripped(F.regexp_extract("condition", plain, i))
+    return found.select("doc_id", part(1).alias("left"), part(2).alias("operator"), part(3).alias("right"))
+
+
+@query()
+def guard_comparisons(s: SparkSession, d: str) -> DataFrame:
     return code.guards(table(s, d, "documents"), "doc_id", "text")
 
 
