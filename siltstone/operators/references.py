@@ -18,14 +18,17 @@ from siltstone.session import materialize
 FAR = "timestamp_ntz'9999-12-31 00:00:00'"
 
 
-def encode_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A dictionary of all keys in ``df``: the key columns and ``code``, a bigint.
+def encode_keys(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """A dictionary of all keys in ``frames``: the key columns and ``code``, a bigint.
 
     Keys are range-partitioned and numbered within their range from 0, the range's number in the bits above 33, so
     no step sees all keys at once and near keys get near codes. Written out, since a second run could cut the
     ranges elsewhere.
     """
-    distinct = df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    distinct = frames[0].select(*keys)
+    for f in frames[1:]:
+        distinct = distinct.unionByName(f.select(*keys))
+    distinct = distinct.distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
     return materialize(distinct.withColumn("code", F.monotonically_increasing_id()), "dictionary")
 
 
@@ -70,12 +73,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
     # leave with the dictionary and come back with the few rows found.
     refs = refs.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(at).cast("timestamp_ntz").alias("_at"), F.struct(*rest, F.lit(0).alias("_")).alias("_row")).dropna(subset=own)
     parents = parents.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(born).cast("timestamp_ntz").alias("_born"), F.coalesce(F.col(died).cast("timestamp_ntz"), F.expr(FAR)).alias("_died")).dropna(subset=own)
-    # A key without any parent gets no code: that it is missing needs no bitmap.
-    dictionary = encode_keys(parents, own)
-    joined = refs.join(dictionary, own, "left").select("code", "_at", F.coalesce(_month("_at"), F.lit(-1)).alias("period"), "_row", F.when(F.col("code").isNull(), F.struct(*own)).alias("_keys"))
-    joined = materialize(joined, "references")
-    missing = joined.filter("code IS NULL").distinct()
-    coded = joined.filter("code IS NOT NULL").drop("_keys")
+    dictionary = encode_keys([refs, parents], own)
+    coded = materialize(refs.join(dictionary, own).select("code", "_at", F.coalesce(_month("_at"), F.lit(-1)).alias("period"), "_row"), "references")
     held = materialize(parents.join(dictionary, own).select("code", "_born", "_died").distinct(), "parents")
 
     low, high = coded.filter("period >= 0").agg(F.min("period"), F.max("period")).first()
@@ -104,12 +103,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame, keys: Sequence[str],
     days = days.withColumn("_earlier", F.max("_end").over(before)).select("code", "_day", "_earlier")
     verdict = moments.join(days, ["code", "_day"]).select("code", F.col("_t").alias("_at"), F.greatest("_same_day", "_earlier").alias("_latest"))
 
-    first = relevant.groupBy("code").agg(F.min("_born").alias("_first"))
-    lost = suspects.filter("_at IS NOT NULL").join(verdict, ["code", "_at"], "left").join(first, "code", "left")
-    lost = lost.filter(F.col("_latest").isNull() | (F.col("_latest") <= F.col("_at")))
-    lost = lost.withColumn("reason", F.when(F.col("_first").isNull() | (F.col("_first") > F.col("_at")), "late").otherwise("deleted")).join(dictionary, "code")
+    known = relevant.groupBy("code").agg(F.min("_born").alias("_first"), F.lit(True).alias("_known"))
+    lost = suspects.join(verdict, ["code", "_at"], "left").join(known, "code", "left")
+    lost = lost.filter(F.col("_latest").isNull() | (F.col("_latest") <= F.col("_at"))).filter("_at IS NOT NULL OR _known IS NULL")
+    reason = F.when(F.col("_known").isNull(), "missing").when(F.col("_first").isNull() | (F.col("_first") > F.col("_at")), "late").otherwise("deleted")
+    lost = lost.withColumn("reason", reason).join(dictionary, "code")
 
-    values = {at: F.col("_at")} | {c: F.col("_row")[c] for c in rest}
-    columns = lambda of: [(of(k) if k in keys else values[k]).alias(k) for k in names]
-    found = lost.select(*columns(lambda k: F.col(own[list(keys).index(k)])), "reason")
-    return found.unionByName(missing.select(*columns(lambda k: F.col("_keys")[own[list(keys).index(k)]]), F.lit("missing").alias("reason")))
+    values = {k: F.col(o) for k, o in zip(keys, own, strict=True)} | {at: F.col("_at")} | {c: F.col("_row")[c] for c in rest}
+    return lost.select(*[values[k].alias(k) for k in names], "reason")
