@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.merging import distinct_rows
+from siltstone.operators.shred import Shape, shred
 from siltstone.session import broadcast_if_small, materialize
 
 TAGS = ("text", "number", "boolean", "array", "object")
@@ -65,6 +66,31 @@ def shape_counts(recs: DataFrame, by: Sequence[str], raw: str = "raw") -> DataFr
     return _tag_counts(fields, by, F.col("_n"))
 
 
+def path_counts(df: DataFrame, by: Sequence[str], raw: str = "raw") -> DataFrame:
+    """Rows (by, path, tag, n): the non-null values of each type at every path below the record, labels joined by
+    ``/``, ``*`` for an element of a list. Rows left out are those that ``records`` leaves out."""
+    own = records(df, raw).select(*by, raw, F.to_json(F.struct(*by)).alias("_by"))
+    places = own.select("_by", *by).distinct()
+    nodes = shred(own, "_by", {raw: Shape()}).filter((F.col("path") != raw) & (F.col("kind") != "null"))
+    counts = nodes.groupBy("record_id", F.expr(f"substr(path, {len(raw) + 2})").alias("path"), F.col("kind").alias("tag")).agg(F.count("*").alias("n"))
+    return counts.join(places, F.col("record_id") == F.col("_by")).select(*by, "path", "tag", "n")
+
+
+def appearing_types(df: DataFrame, feed: str = "feed", file: str = "file_no", raw: str = "raw") -> DataFrame:
+    """Rows (feed, path, tag, file, n, known): every type of a path beside its first, with the file it begins in, how
+    many values it has there, and the types known before it, in the order they came.
+
+    However few its values are. Types that begin in the same file follow each other by number of values, then in the
+    order of ``TAGS``; a path is followed under its own name, also where it is renamed.
+    """
+    counts = path_counts(df, [feed, file], raw)
+    begins = counts.groupBy(feed, "path", "tag").agg(F.min(F.struct(file, "n")).alias("b")).select(feed, "path", "tag", "b.*")
+    place = F.array_position(F.array(*[F.lit(t) for t in TAGS]), F.col("tag"))
+    order = Window.partitionBy(feed, "path").orderBy(file, F.desc("n"), place)
+    known = F.array_join(F.collect_list("tag").over(order.rowsBetween(Window.unboundedPreceding, -1)), ",")
+    return begins.withColumn("known", known).filter("known <> ''").select(feed, "path", "tag", file, "n", "known")
+
+
 def with_main_tag(counts: DataFrame) -> DataFrame:
     """Counts per tag with ``main_tag``; without any value it is null."""
     most = F.greatest(*[F.col(f"n_{t}") for t in TAGS])

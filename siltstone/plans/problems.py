@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.words import blank_to_null, norm_id, squeezed, stripped, word32
 from siltstone.operators.diff import diff_copies
-from siltstone.operators.drift import fields_of, infer_union, records, schema_changes, steady_table
+from siltstone.operators.drift import appearing_types, fields_of, infer_union, records, schema_changes, steady_table
 from siltstone.operators.references import orphan_references
 from siltstone.operators.shred import Entity, Shape, child_rows, entity_table, shred
 from siltstone.sources.tables import table
@@ -150,6 +150,12 @@ def p3_union_types(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Every type that appears beside the first one of a path, nested ones too, with the file it begins in."""
+    parts = [appearing_types(table(spark, d, name)).select(F.lit(name).alias("dataset"), "*") for name in FEEDS]
+    return parts[0].unionByName(parts[1])
+
+
 def _chain_references(chains: DataFrame) -> DataFrame:
     """A row per reference of a ground-truth chain: chain, field, kind of item, normalised id, time."""
     lists = {"required_source_ids": "source", "required_object_ids": "object", "required_root_ids": "root"}
