@@ -53,11 +53,19 @@ def p5_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_currency(spark: SparkSession, d: str) -> DataFrame:
-    """The topologically latest label of every site, undated rows placed by learned precedence."""
-    rows = _review_rows(spark, d)
+    """The topologically latest value of every field of a site, as text, undated rows placed by learned precedence."""
     label = stripped(F.col("proposed_label"))
-    rows = rows.withColumn("_label", F.when((label != "") & (F.upper(label) != "UNKNOWN"), label))
-    return latest_by_currency(rows, SITE, "row_id", "_label", "updated_at", F.col("_trust")).withColumnRenamed("value", "proposed_label")
+    chains = F.array_sort(F.array_distinct(F.filter("related_chain_ids", lambda x: stripped(x) != "")))
+    values = {
+        "proposed_label": F.when((label != "") & (F.upper(label) != "UNKNOWN"), label),
+        "confidence": F.when(F.col("confidence").between(0.0, 1.0), F.col("confidence").cast("string")),
+        "triage_rank": F.when(F.col("triage_rank").between(1, 999998), F.col("triage_rank").cast("string")),
+        "related_chain_ids": F.when(F.size(chains) > 0, F.to_json(chains)),
+    }
+    # All fields go through one plan. Its values carry their field, so that no order is learned across fields.
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.when(v.isNotNull(), F.struct(F.lit(n).alias("of"), v.alias("text"))).alias("_value")) for n, v in values.items()]))
+    rows = _review_rows(spark, d).select(*SITE, "row_id", "updated_at", "_trust", each.alias("_e")).select(*SITE, "row_id", "updated_at", "_trust", "_e.*").filter("_value IS NOT NULL")
+    return latest_by_currency(rows, [*SITE, "field_name"], "row_id", "_value", "updated_at", F.col("_trust")).withColumn("value", F.col("value.text"))
 
 
 P5_ROWS = r"""
