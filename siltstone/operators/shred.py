@@ -207,14 +207,32 @@ def child_rows(adjacency: DataFrame, entities: Sequence[Entity]) -> DataFrame:
     ).distinct()
 
 
-def entity_table(adjacency: DataFrame, path: str, fields: Sequence[str]) -> DataFrame:
+def entity_table(adjacency: DataFrame, path: str, fields: Sequence[str], bare: str | None = None) -> DataFrame:
     """The elements of the list at ``path`` as a flat table: record_id, doc_key, parent_no, child_no, a text column
-    per scalar field. Objects meet their scalar children in one grouping by node and are pivoted there."""
+    per scalar field. Objects meet their scalar children in one grouping by node and are pivoted there. ``bare`` names
+    the column that takes the text of an element which is a single value."""
     element = F.col("path") == f"{path}/*"
-    scalar = F.col("path").isin([f"{path}/*/{f}" for f in fields])
+    scalar = F.col("path").isin([f"{path}/*/{f}" for f in fields]) if fields else F.lit(False)
+    names = [*fields, *([bare] if bare and bare not in fields else [])]
+    text = lambda f: F.when(F.col("path") == f"{path}/*/{f}", F.col("scalar")).when(element & F.lit(f == bare), F.col("scalar"))
     grouped = adjacency.filter((element & (F.col("kind") != "null")) | scalar).groupBy("record_id", "doc_key", F.when(element, F.col("node")).otherwise(F.col("parent")).alias("node")).agg(
         F.max(F.when(element, F.struct("top", "ordinal"))).alias("_e"),
-        *[F.max(F.when(F.col("path") == f"{path}/*/{f}", F.col("scalar"))).alias(f) for f in fields],
+        *[F.max(text(f)).alias(f) for f in names],
     )
     parent = F.lit(0) if path.count("/*") == 0 else F.col("_e.top")
-    return grouped.filter("_e IS NOT NULL").select("record_id", "doc_key", parent.alias("parent_no"), F.col("_e.ordinal").alias("child_no"), *fields)
+    return grouped.filter("_e IS NOT NULL").select("record_id", "doc_key", parent.alias("parent_no"), F.col("_e.ordinal").alias("child_no"), *names)
+
+
+def open_table(adjacency: DataFrame, path: str) -> DataFrame:
+    """The single values below the open part at ``path``: record_id, doc_key, parent_no, trail, value."""
+    single = (F.col("path") == path) & F.col("trail").isNotNull() & F.col("kind").isin("text", "number", "boolean")
+    return adjacency.filter(single).select("record_id", "doc_key", F.col("top").alias("parent_no"), "trail", F.col("scalar").alias("value")).distinct()
+
+
+def listed(adjacency: DataFrame, path: str, lists: Sequence[str]) -> DataFrame:
+    """Of the elements of the outermost list at ``path`` their lists of single values: record_id, doc_key, child_no, an
+    array column per list, in order."""
+    inside = F.col("path").isin([f"{path}/*/{n}/*" for n in lists]) & (F.col("kind") != "null")
+    values = lambda n: F.array_sort(F.collect_set(F.when(F.col("path") == f"{path}/*/{n}/*", F.struct("ordinal", "scalar"))))
+    grouped = adjacency.filter(inside).groupBy("record_id", "doc_key", F.col("top").alias("child_no")).agg(*[values(n).alias(n) for n in lists])
+    return grouped.select("record_id", "doc_key", "child_no", *[F.col(n)["scalar"].alias(n) for n in lists])

@@ -9,7 +9,7 @@ from siltstone.functions.words import blank_to_null, norm_id, squeezed, stripped
 from siltstone.operators.diff import diff_copies
 from siltstone.operators.drift import appearing_types, fields_of, infer_union, records, schema_changes, steady_table
 from siltstone.operators.references import orphan_references
-from siltstone.operators.shred import Entity, Shape, child_rows, entity_table, shred
+from siltstone.operators.shred import Entity, Shape, child_rows, entity_table, listed, open_table, shred
 from siltstone.sources.tables import table
 
 
@@ -111,14 +111,70 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return graphs.unionByName(links)
 
 
+SITE_FIELDS = ["context", "fn", "fn_addr", "site_addr", "access_kind", "target_addr"]
+
+
+def _graph_part(spark: SparkSession, d: str, doc: str) -> DataFrame:
+    return shred(table(spark, d, "channel_graph"), "graph_id", {doc: GRAPH_DOCUMENTS[doc]})
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return shred(table(spark, d, "chains"), "chain_id", LINK_DOCUMENTS)
+
+
 def p2_object_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Object nodes as a flat table, one row per node of a graph document."""
-    return entity_table(shred(table(spark, d, "channel_graph"), "graph_id", {"object_nodes": GRAPH_DOCUMENTS["object_nodes"]}), "object_nodes", ["object_id", "region_kind", "confidence"])
+    """Object nodes as a flat table, one row per node of a graph document, with address range and contexts."""
+    adjacency = _graph_part(spark, d, "object_nodes")
+    nodes = entity_table(adjacency, "object_nodes", ["object_id", "region_kind", "confidence", "notes"]).alias("n")
+    lists = listed(adjacency, "object_nodes", ["addr_range", "producer_contexts", "consumer_contexts"]).alias("l")
+    same = [F.col(f"n.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ("record_id", "doc_key", "child_no")]
+    contexts = [F.array_join(f"l.{c}", ",").alias(c) for c in ("producer_contexts", "consumer_contexts")]
+    return nodes.join(lists, same, "left").select("n.*", F.get("l.addr_range", F.lit(0)).alias("addr_lo"), F.get("l.addr_range", F.lit(1)).alias("addr_hi"), *contexts)
 
 
 def p2_sites(spark: SparkSession, d: str) -> DataFrame:
     """Writer sites as a flat table whose rows point to graph, node and place."""
-    return entity_table(shred(table(spark, d, "channel_graph"), "graph_id", {"object_nodes": GRAPH_DOCUMENTS["object_nodes"]}), "object_nodes/*/writer_sites", ["context", "fn", "fn_addr", "site_addr", "access_kind", "target_addr"])
+    return entity_table(_graph_part(spark, d, "object_nodes"), "object_nodes/*/writer_sites", SITE_FIELDS)
+
+
+def p2_reader_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Reader sites as a flat table whose rows point to graph, node and place."""
+    return entity_table(_graph_part(spark, d, "object_nodes"), "object_nodes/*/reader_sites", SITE_FIELDS)
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of object nodes."""
+    return entity_table(_graph_part(spark, d, "object_nodes"), "object_nodes/*/members", [], "member")
+
+
+def p2_type_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Type facts of object nodes by name or trail."""
+    return open_table(_graph_part(spark, d, "object_nodes"), "object_nodes/*/type_facts")
+
+
+def p2_channel_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Channel edges as a flat table, one row per edge of a graph document."""
+    return entity_table(_graph_part(spark, d, "channel_edges"), "channel_edges", ["object_id", "src_context", "dst_context", "edge_kind", "score", "ambiguity_penalty", "object_quality"])
+
+
+def p2_edge_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """Constraints of channel edges."""
+    return entity_table(_graph_part(spark, d, "channel_edges"), "channel_edges/*/constraints", [], "constraint_text")
+
+
+def p2_object_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Object hits of chains; a bare one is its object's id."""
+    return entity_table(_links(spark, d), "link_debug/object_hits", ["object_id", "quality"], "object_id")
+
+
+def p2_producer_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Producer candidates of chains."""
+    return entity_table(_links(spark, d), "link_debug/producer_candidates", [], "candidate")
+
+
+def p2_bridge_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Bridge functions of chains."""
+    return entity_table(_links(spark, d), "link_debug/bridge_functions", [], "function_name")
 
 
 FEEDS = {"manifest": "sample_id", "artifact": "artifact_id"}
