@@ -194,19 +194,43 @@ def steady_names(changes: DataFrame, feed: str = "feed", file: str = "file_no")
     """Rows (feed, field, from_file, till_file, steady): the name under which the feed first knew each field.
 
     Works feed by feed on the change report, whose size depends on the schema and not on the records; from_file
-    and till_file bound the files in which the name stands for that steady field.
+    and till_file bound the files in which the name stands for that steady field. A field that comes while another
+    holds its steady name gets one of its own: the name and the file it begins in. Names without a row stand for
+    themselves.
     """
 
     def chains(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, known = [], {}
-        for f, old, new in pdf.sort_values([file, "old_field"])[[file, "old_field", "new_field"]].itertuples(index=False):
-            steady, since = known.pop(old, (old, None))
-            rows.append((pdf[feed].iloc[0], old, since, f - 1, steady))
-            known[new] = (steady, f)
-        rows += [(pdf[feed].iloc[0], n, since, None, steady) for n, (steady, since) in known.items()]
-        return pd.DataFrame(rows, columns=["feed", "field", "from_file", "till_file", "steady"]).astype({"from_file": "Int64", "till_file": "Int64"})
-
-    return changes.filter("change_kind = 'renamed'").groupBy(feed).applyInPandas(chains, "feed string, field string, from_file bigint, till_file bigint, steady string")
+        rows: list[tuple] = []
+        live: dict[str, tuple] = {}  # field: (steady, first file); a field not seen yet stands for itself from the start
+        last: dict[str, str] = {}
+        moved: set[str] = set()
+
+        def end(name: str, f: int) -> str:
+            steady, since = live.pop(name, (name, None))
+            last[name] = steady
+            if steady != name or name in moved:
+                rows.append((name, since, f - 1, steady))
+            return steady
+
+        for f, part in pdf.sort_values([file, "old_field", "new_field"]).groupby(file, sort=True):
+            kinds = {k: list(zip(p["old_field"], p["new_field"], strict=True)) for k, p in part.groupby("change_kind")}
+            renamed, removed, added = (kinds.get(k, []) for k in ("renamed", "removed", "added"))
+            # All that leave go first, so that names may pass from one field to the next within a file.
+            moved.update(o for o, _ in renamed)
+            steadies = [end(o, f) for o, _ in renamed]
+            for o, _ in removed:
+                end(o, f)
+            live |= {n: (s, f) for (_, n), s in zip(renamed, steadies, strict=True)}
+            for _, n in added:
+                steady = last.get(n, n)
+                if any(s == steady for s, _ in live.values()):
+                    steady = f"{n}@{f}"
+                live[n] = (steady, f)
+        rows += [(n, since, None, s) for n, (s, since) in live.items() if s != n]
+        out = pd.DataFrame([(pdf[feed].iloc[0], *r) for r in rows], columns=["feed", "field", "from_file", "till_file", "steady"])
+        return out.astype({"from_file": "Int64", "till_file": "Int64"})
+
+    return changes.filter("change_kind IN ('renamed', 'removed', 'added')").groupBy(feed).applyInPandas(chains, "feed string, field string, from_file bigint, till_file bigint, steady string")
 
 
 def steady_table(df: DataFrame, id_field: str, columns: Sequence[str], changes: DataFrame, row_id: Sequence[str] = ("feed", "file_no", "row_no")) -> DataFrame:
