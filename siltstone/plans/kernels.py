@@ -487,6 +487,12 @@ def parameter_derefs(s: SparkSession, d: str) -> DataFrame:
     return resolve.parameter_derefs(table(s, d, "documents"), ["doc_id"], "text").filter("struct_offset IS NULL").groupBy("doc_id", "type", "param", "offset").agg(F.count("*").alias("n"))
 
 
+@query()
+def parameter_derefs_all(s: SparkSession, d: str) -> DataFrame:
+    # The SQL of parameter_derefs defines single dereferences; here double ones come too, with their struct_offset.
+    return resolve.parameter_derefs(table(s, d, "documents"), ["doc_id"], "text").groupBy("doc_id", "type", "param", "struct_offset", "offset").agg(F.count("*").alias("n"))
+
+
 @query(r"""
 WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:void|int|uint|char|byte|bool|uint8_t|uint16_t|uint32_t) ([A-Za-z_][A-Za-z0-9_]*)\(([^()\n]*)\)\n?\{')) AS h FROM documents), p AS (SELECT doc_id, regexp_extract(h, '[a-z0-9_]+ ([A-Za-z_][A-Za-z0-9_]*)\(', 1) function_name, unnest(string_split(regexp_extract(h, '\(([^()\n]*)\)', 1), ',')) p FROM h)
 SELECT DISTINCT doc_id, function_name, regexp_extract(p, '\*+[ ]*([A-Za-z_][A-Za-z0-9_]*)[ ]*$', 1) param FROM p WHERE regexp_matches(p, '\*+[ ]*([A-Za-z_][A-Za-z0-9_]*)[ ]*$')""")
