@@ -28,8 +28,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, values: Seque
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{v}").alias(v) for v in values])
 
 
-def _merge(fields: Sequence[str], child: str | None, prefix: str):
-    """The merge of one sorted partition: rows (key, sub, side, field...), the two copies of a key adjacent."""
+def _merge(fields: Sequence[str], children: bool):
+    """The merge of one sorted partition: rows (key, sub, side, field...), the two copies of a key adjacent.
+
+    With ``children`` a ``_sub`` is ``.`` and the child's own key, and names the rows of that child.
+    """
     names = ["_key", "_sub", "_side", *fields]
 
     def changed(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -48,27 +51,26 @@ def _merge(fields: Sequence[str], child: str | None, prefix: str):
         key_no = np.cumsum(new_key) - 1
         subs = np.flatnonzero(new_sub)
         size = np.diff(np.r_[subs, len(t)])
+        own = pc.utf8_slice_codeunits(t["_sub"], 1).to_numpy(zero_copy_only=False) if children else None
         both = in_copies[key_no[subs]] == 3
         rows, labels, kinds = [starts[in_copies != 3]], [np.full((in_copies != 3).sum(), "*", object)], [in_copies[in_copies != 3] - 1]
-        single = subs[both & (size == 1)]
-        rows.append(single)
-        labels.append(np.full(len(single), child or "*", object))
-        kinds.append(side[single].astype(np.int64))
+        one_sided = subs[both & (size == 1)]
+        rows.append(one_sided)
+        labels.append(own[one_sided] if children else np.full(len(one_sided), "*", object))
+        kinds.append(side[one_sided].astype(np.int64))
         pair = subs[both & (size == 2)]
         for f in fields:
             a, b = t[f].take(pa.array(pair)), t[f].take(pa.array(pair + 1))
             unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
             at = pair[unlike]
             rows.append(at)
-            labels.append(np.full(len(at), prefix + f, object))
+            labels.append(own[at] + f".{f}" if children else np.full(len(at), f, object))
             kinds.append(np.full(len(at), 2))
         at = np.concatenate(rows)
-        found = pa.table({"_k": pa.array(key_no[at]), "field_name": pa.array(np.concatenate(labels), pa.string()), "_d": pa.array(np.concatenate(kinds).astype(np.int64)), "_at": pa.array(at)})
-        found = found.group_by(["_k", "field_name", "_d"]).aggregate([("_at", "min")])  # one row however many children differ
         return pa.table({
-            "record_key": t["_key"].take(found["_at_min"]).cast(pa.string()),
-            "field_name": found["field_name"],
-            "diff_kind": pa.array(KINDS).take(found["_d"]),
+            "record_key": t["_key"].take(pa.array(at)).cast(pa.string()),
+            "field_name": pa.array(np.concatenate(labels), pa.string()),
+            "diff_kind": pa.array(KINDS).take(pa.array(np.concatenate(kinds).astype(np.int64))),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +109,8 @@ def diff_copies(
     ``key`` builds the record key from ``key_columns``. ``fields`` names the compared fields and gives the
     normalised value in the first and in the second copy. Alternatively ``children`` names an array of structs that
     is compared as a set keyed by ``child_key``, its ``child_fields`` given as columns over ``_c``; a child in one
-    copy only is reported under the name of its key, a differing child field under ``<children key's entity>.<field>``.
+    copy only is reported under its own key, a differing child field under ``<own key>.<field>``. Children without
+    key are one child whose key is empty.
 
     Null keys are a key of their own part by part (written as an empty string), null and blank values are equal, a
     row repeated in full counts once, columns not named are ignored whatever they are called, and two empty copies
@@ -135,8 +138,7 @@ def diff_copies(
     tagged = side(first, 0).unionByName(side(second, 1))
     names = list(child_fields if children else fields)
     ordered = tagged.repartitionByRange("_key").sortWithinPartitions("_key", "_sub", "_side", *names)
-    prefix = f"{child_key}." if children else ""
-    return ordered.mapInArrow(_merge(names, child_key if children else None, prefix), OUT)
+    return ordered.mapInArrow(_merge(names, children is not None), OUT)
 
 
 def _null_blank(c: Column) -> Column:

@@ -60,17 +60,17 @@ root AS (
 ), r0 AS (SELECT * FROM root WHERE side = 0), r1 AS (SELECT * FROM root WHERE side = 1),
 k0 AS (SELECT k FROM rbest WHERE side = 0), k1 AS (SELECT k FROM rbest WHERE side = 1),
 kj AS (SELECT coalesce(k0.k, k1.k) k, k0.k a, k1.k b FROM k0 FULL JOIN k1 ON k0.k = k1.k),
-rj AS (SELECT coalesce(r0.k, r1.k) k, r0.r a, r1.r b, r0.e e0, r1.e e1, r0.o o0, r1.o o1, r0.s s0, r1.s s1 FROM r0 FULL JOIN r1 ON r0.k = r1.k AND r0.r = r1.r),
+rj AS (SELECT coalesce(r0.k, r1.k) k, coalesce(r0.r, r1.r) r, r0.r a, r1.r b, r0.e e0, r1.e e1, r0.o o0, r1.o o1, r0.s s0, r1.s s1 FROM r0 FULL JOIN r1 ON r0.k = r1.k AND r0.r = r1.r),
 rr AS (SELECT rj.* FROM rj JOIN kj ON kj.k = rj.k AND kj.a IS NOT NULL AND kj.b IS NOT NULL)
 SELECT DISTINCT * FROM (
   SELECT 'normalized_gt_bundle' dataset, k record_key, '*' field_name, CASE WHEN k1 IS NULL THEN 'only_first' ELSE 'only_second' END diff_kind FROM bj WHERE k0 IS NULL OR k1 IS NULL
   UNION ALL SELECT 'normalized_gt_bundle', k, 'address', 'changed' FROM bj WHERE k0 IS NOT NULL AND k1 IS NOT NULL AND a0 <> a1
   UNION ALL SELECT 'normalized_gt_bundle', k, 'function_name', 'changed' FROM bj WHERE k0 IS NOT NULL AND k1 IS NOT NULL AND f0 <> f1
   UNION ALL SELECT 'sink_roots', k, '*', CASE WHEN b IS NULL THEN 'only_first' ELSE 'only_second' END FROM kj WHERE a IS NULL OR b IS NULL
-  UNION ALL SELECT 'sink_roots', k, 'root_id', CASE WHEN b IS NULL THEN 'only_first' ELSE 'only_second' END FROM rr WHERE a IS NULL OR b IS NULL
-  UNION ALL SELECT 'sink_roots', k, 'root_id.expr', 'changed' FROM rr WHERE a IS NOT NULL AND b IS NOT NULL AND e0 <> e1
-  UNION ALL SELECT 'sink_roots', k, 'root_id.root_role', 'changed' FROM rr WHERE a IS NOT NULL AND b IS NOT NULL AND o0 <> o1
-  UNION ALL SELECT 'sink_roots', k, 'root_id.status', 'changed' FROM rr WHERE a IS NOT NULL AND b IS NOT NULL AND s0 <> s1
+  UNION ALL SELECT 'sink_roots', k, r, CASE WHEN b IS NULL THEN 'only_first' ELSE 'only_second' END FROM rr WHERE a IS NULL OR b IS NULL
+  UNION ALL SELECT 'sink_roots', k, concat(r, '.expr'), 'changed' FROM rr WHERE a IS NOT NULL AND b IS NOT NULL AND e0 <> e1
+  UNION ALL SELECT 'sink_roots', k, concat(r, '.root_role'), 'changed' FROM rr WHERE a IS NOT NULL AND b IS NOT NULL AND o0 <> o1
+  UNION ALL SELECT 'sink_roots', k, concat(r, '.status'), 'changed' FROM rr WHERE a IS NOT NULL AND b IS NOT NULL AND s0 <> s1
 )"""
 
 
