@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.jsontext import mended, object_of
 from siltstone.operators.merging import distinct_rows
 from siltstone.operators.shred import Shape, shred
 from siltstone.session import broadcast_if_small, materialize
@@ -31,8 +32,27 @@ def _tag(v: Column) -> Column:
 
 
 def records(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """``df`` without repeated rows and without rows whose ``raw`` isn't a JSON object, parsed into ``_v``."""
-    return distinct_rows(df).withColumn("_v", F.try_parse_json(raw)).filter(F.schema_of_variant("_v").startswith("OBJECT"))
+    """``df`` without repeated rows and without rows whose ``raw`` isn't a JSON object, parsed into ``_v``.
+
+    Of names that one object repeats, the last counts. Objects that repeat names or are nested deeper than the
+    engine's parser goes are put right first, see :func:`siltstone.functions.jsontext.mended`. ``raw`` itself is left
+    out; ``refused_rows`` counts what isn't taken.
+    """
+    found = distinct_rows(df).withColumn("_v", object_of(F.col(raw)))
+    # Parsed once and written as variants; only text that the engine's parser refuses is kept beside them.
+    found = found.filter(F.col("_v").isNotNull() | F.ltrim(F.col(raw)).startswith("{")).withColumn(raw, F.when(F.col("_v").isNull(), F.col(raw)))
+    found = materialize(found, "records")
+    odd = found.filter(F.col("_v").isNull()).withColumn("_v", F.try_parse_json(mended(F.col(raw), F.col("_v")))).filter(F.col("_v").isNotNull())
+    odd = materialize(odd, "odd")
+    good = found.filter(F.col("_v").isNotNull())
+    return (good if odd.isEmpty() else good.unionByName(odd)).drop(raw)
+
+
+def refused_rows(df: DataFrame, by: Sequence[str], raw: str = "raw") -> DataFrame:
+    """Rows (by, rows): how many different rows of each file hold no JSON object, those without text included."""
+    all_rows = distinct_rows(df).withColumn("_v", object_of(F.col(raw)))
+    bad = all_rows.filter(F.col("_v").isNull()).filter(mended(F.col(raw), F.col("_v")).isNull())
+    return bad.groupBy(*by).agg(F.count("*").alias("rows"))
 
 
 def fields_of(recs: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -57,19 +77,20 @@ def _tag_counts(fields: DataFrame, by: Sequence[str], weight: Column | None = No
     return fields.groupBy(*by, "field").agg(*[F.sum(F.when(F.col("tag") == t, one).otherwise(0)).alias(f"n_{t}") for t in TAGS])
 
 
-def shape_counts(recs: DataFrame, by: Sequence[str], raw: str = "raw") -> DataFrame:
+def shape_counts(recs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Tag counts per ``by`` and field, also of fields without any value. Records shrink to their different shapes
     first, combined on the map side; only one record of each shape is taken apart and counts for all of them."""
     shape = F.regexp_replace(F.schema_of_variant("_v"), r"DECIMAL\([0-9]+,[0-9]+\)", "DOUBLE")
-    shapes = recs.groupBy(*by, shape.alias("_shape")).agg(F.count("*").alias("_n"), F.first(raw).alias("_raw"))
-    fields = fields_of(shapes.withColumn("_v", F.try_parse_json("_raw")), [*by, "_n"])
+    shapes = recs.groupBy(*by, shape.alias("_shape")).agg(F.count("*").alias("_n"), F.first("_v").alias("_v"))
+    fields = fields_of(shapes, [*by, "_n"])
     return _tag_counts(fields, by, F.col("_n"))
 
 
 def path_counts(df: DataFrame, by: Sequence[str], raw: str = "raw") -> DataFrame:
     """Rows (by, path, tag, n): the non-null values of each type at every path below the record, labels joined by
     ``/``, ``*`` for an element of a list. Rows left out are those that ``records`` leaves out."""
-    own = records(df, raw).select(*by, raw, F.to_json(F.struct(*by)).alias("_by"))
+    text = F.when(F.ltrim(F.col(raw)).startswith("{"), F.col(raw))
+    own = distinct_rows(df).select(*by, text.alias(raw), F.to_json(F.struct(*by)).alias("_by")).filter(F.col(raw).isNotNull())
     places = own.select("_by", *by).distinct()
     nodes = shred(own, "_by", {raw: Shape()}).filter((F.col("path") != raw) & (F.col("kind") != "null"))
     counts = nodes.groupBy("record_id", F.expr(f"substr(path, {len(raw) + 2})").alias("path"), F.col("kind").alias("tag")).agg(F.count("*").alias("n"))
@@ -129,20 +150,25 @@ def _one_to_one(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[keep]
 
 
-def schema_changes(df: DataFrame, id_field: str, feed: str = "feed", file: str = "file_no", raw: str = "raw") -> DataFrame:
+def id_of(field: str) -> Column:
+    """The text of a top-level field of the record ``_v``."""
+    return F.try_variant_get("_v", f"$['{field}']", "string")
+
+
+def schema_changes(df: DataFrame, id_field: str | Column, feed: str = "feed", file: str = "file_no", raw: str = "raw") -> DataFrame:
     """Rows (feed, file, change_kind, old_field, new_field): how each file differs from its feed's file before.
 
     A file has a field if a record holds a non-null top-level value under exactly that name. A field that went and
     one that came are a rename if, among pairs of records of equal ``id_field`` in the two files that hold both,
     at least nine tenths agree; where several pairings reach that, the best agreement goes first and each field is
     used once. Remaining fields are removed or added. A field in both files whose most frequent type differs is
-    type_changed. A row repeated in full counts once; rows that aren't JSON objects are left out, and a file of
+    type_changed. ``id_field`` is the name of a field or a column over the record ``_v``. A row repeated in full counts once; rows that aren't JSON objects are left out, and a file of
     only such rows isn't there; records without ``id_field`` prove no rename; an empty table gives no row.
     """
     recs = records(df, raw)
-    ident = F.try_variant_get("_v", f"$['{id_field}']", "string")
+    ident = id_of(id_field) if isinstance(id_field, str) else id_field
     # A row per field and file, small beside the records: what follows works on it.
-    counts = materialize(shape_counts(recs, [feed, file], raw), "counts")
+    counts = materialize(shape_counts(recs, [feed, file]), "counts")
     schema = materialize(_steps(counts, feed, file), "schema")
     came = schema.filter(~F.col("in_before") & (F.col("file_at") > 1)).select(feed, F.col(file).alias("at_file"), F.col(file).alias("new_file"), "field", F.lit("came").alias("side"))
     went = schema.filter(~F.col("in_after") & F.col("next_file").isNotNull()).select(feed, F.col(file).alias("at_file"), F.col("next_file").alias("new_file"), "field", F.lit("went").alias("side"))

@@ -7,49 +7,25 @@ rows leave the parser together; the grouped scalars are pivoted into entity colu
 
 from __future__ import annotations
 
-import json
+import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ADJACENCY = "record_id string, doc string, doc_key string, node int, parent int, label string, ordinal int, kind string, path string, top int, trail string, scalar string"
-_FIELDS = [("record_id", pa.string()), ("doc", pa.string()), ("doc_key", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("path", pa.string()), ("top", pa.int32()), ("trail", pa.string()), ("scalar", pa.string())]
-_BATCH = 50_000
-
-
-class _Number(str):
-    """A number kept as written."""
-
-
-def _refuse(_: str) -> None:
-    raise ValueError("not JSON")
-
-
-def _clean(s: str) -> str:
-    """Unpaired surrogates can't be stored as UTF-8."""
-    return s.encode("utf-8", "replace").decode("utf-8") if not s.isascii() else s
+from siltstone.functions.jsontext import Number, parse, unwrapped
 
-
-def parse(text: str) -> tuple[bool, object]:
-    """Whether ``text`` is valid JSON that can be walked, and its value."""
-    try:
-        return True, json.loads(text.strip(" \t\r\n"), parse_float=_Number, parse_int=_Number, parse_constant=_refuse)
-    except (ValueError, RecursionError):
-        return False, None
-
-
-def unwrapped(value: object) -> object:
-    """Text that holds the JSON of a list or an object gives that list or object, however often it was wrapped."""
-    seen = value
-    while isinstance(seen, str) and not isinstance(seen, _Number) and seen.lstrip(" \t\r\n")[:1] in ("[", "{", '"'):
-        ok, inner = parse(seen)
-        if not ok:
-            break
-        seen = inner
-    return seen if isinstance(seen, (list, dict)) else value
+ADJACENCY = "record_id string, doc string, doc_key string, node int, parent int, label string, ordinal int, kind string, path string, top int, trail string, scalar string"
+_NAMES = [c.split()[0] for c in ADJACENCY.split(", ")]
+_KINDS = pa.array(["object", "array", "text", "number", "boolean", "null"])
+_OBJECT, _ARRAY, _TEXT, _NUMBER, _BOOLEAN, _NULL = range(6)
+_ROWS, _CHARS = 50_000, 16_000_000
+#: Paths up to this length are written out; of a longer one the outer part stands as its digest.
+PATH = 400
+_KNOWN_PATHS = 50_000
 
 
 @dataclass(frozen=True)
@@ -66,43 +42,91 @@ class Shape:
     open_parts: frozenset[str] = frozenset()
 
 
-def _walk(doc: str, value: object, shape: Shape) -> Iterator[tuple]:
-    """Rows (node, parent, label, ordinal, kind, path, top, trail, scalar) in document order, without recursion and one
-    by one, so that a very large document needs no more memory than its parsed form."""
-    node = -1
-    stack = [(value, -1, "", 0, doc, 0, None)]
-    while stack:
-        v, parent, label, ordinal, path, top, trail = stack.pop()
-        outer = path.rpartition("/")[0]
-        if trail is not None or path in shape.open_parts:
-            v = unwrapped(v)
-        elif path in shape.lists:
-            v = unwrapped(v)
-            if v is not None and not isinstance(v, list):
-                v = [v]
-        elif path.endswith("/*") and outer not in shape.plain_lists:
-            v = unwrapped(v)
-        node += 1
-        if path == f"{doc}/*":
-            top = ordinal
-        if isinstance(v, dict):
-            yield node, parent, label, ordinal, "object", path, top, trail, None
-            items = [(x, node, str(k), i, f"{path}/{k}", top) for i, (k, x) in enumerate(v.items())]
-        elif isinstance(v, list):
-            yield node, parent, label, ordinal, "array", path, top, trail, None
-            items = [(x, node, "", i, f"{path}/*", top) for i, x in enumerate(v)]
-        else:
-            kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, _Number) else "text"
-            yield node, parent, label, ordinal, kind, path, top, trail, None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
-            continue
-        inside = trail is not None or path in shape.open_parts
-        for x, n, k, i, p, t in reversed(items):
-            step = None
-            if inside:
-                own = k if isinstance(v, dict) else str(i)
-                step = f"{trail}.{own}" if trail else own
-                p = path  # an open part has no end of different paths; its rows keep that of the part
-            stack.append((x, n, k, i, p, t, step))
+class _Path:
+    """A path met in the documents: what its shape says of it, its number in the batch, and the paths below it."""
+
+    __slots__ = ("text", "no", "open", "listed", "loose", "outermost", "below")
+
+    def __init__(self, text: str, shape: Shape, outermost: bool = False, loose: bool = False):
+        self.text, self.no, self.below = text, -1, {}
+        self.open, self.listed, self.loose, self.outermost = text in shape.open_parts, text in shape.lists, loose, outermost
+
+
+class _Walker:
+    """Takes documents of one column apart, without recursion."""
+
+    def __init__(self, doc: str, shape: Shape):
+        self.doc, self.shape = doc, shape
+        self.forget()
+
+    def forget(self) -> None:
+        self.root, self.known = _Path(self.doc, self.shape), 0
+
+    def below(self, path: _Path, label: str) -> _Path:
+        text = f"{path.text}/{label}"
+        if len(text) > PATH:
+            text = f"#{hashlib.md5(path.text.encode('utf-8', 'replace')).hexdigest()}/{label}"
+        element = label == "*"
+        made = path.below[label] = _Path(text, self.shape, element and path is self.root, element and path.text not in self.shape.plain_lists)
+        self.known += 1
+        return made
+
+    def rows(self, value: object) -> Iterator[list[tuple]]:
+        """Rows (node, parent, label, ordinal, kind, path, top, trail, scalar) in document order, some at a time, so
+        that a very large document needs no more memory than its parsed form."""
+        node, out, chars = -1, [], 0
+        stack = [(value, -1, "", 0, self.root, 0, None)]
+        pop, push = stack.pop, stack.append
+        while stack:
+            v, parent, label, ordinal, path, top, trail = pop()
+            inside = trail is not None or path.open
+            kind = type(v)
+            if kind is str and (inside or path.listed or path.loose):
+                v = unwrapped(v)
+                kind = type(v)
+            if path.listed and not inside and v is not None and kind is not list:
+                v, kind = [v], list
+            node += 1
+            if path.outermost:
+                top = ordinal
+            if kind is dict:
+                out.append((node, parent, label, ordinal, _OBJECT, path, top, None, None))
+                at = [path] * len(v) if inside else [path.below.get(k) or self.below(path, k) for k in v]
+                for i, (k, x) in zip(range(len(v) - 1, -1, -1), reversed(v.items()), strict=True):
+                    push((x, node, k, i, at[i], top, (trail, k) if inside else None))
+            elif kind is list:
+                out.append((node, parent, label, ordinal, _ARRAY, path, top, None, None))
+                at = path if inside else path.below.get("*") or self.below(path, "*")
+                for i in range(len(v) - 1, -1, -1):
+                    push((v[i], node, "", i, at, top, (trail, str(i)) if inside else None))
+            else:
+                if v is None:
+                    code, text = _NULL, None
+                elif kind is bool:
+                    code, text = _BOOLEAN, "true" if v else "false"
+                else:
+                    code, text = _NUMBER if kind is Number else _TEXT, str(v)
+                    chars += len(text)
+                if trail is not None:
+                    steps = []
+                    while trail is not None:
+                        trail, own = trail
+                        steps.append(own)
+                    trail = ".".join(reversed(steps))
+                    chars += len(trail)
+                out.append((node, parent, label, ordinal, code, path, top, trail, text))
+            if len(out) >= _ROWS or chars >= _CHARS:
+                yield out
+                out, chars = [], 0
+        if out:
+            yield out
+
+
+def _strings(values: Sequence[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:  # unpaired surrogates can't be stored as UTF-8
+        return pa.array([v if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
 
 
 def shred(df: DataFrame, record_id: str, documents: Mapping[str, Shape]) -> DataFrame:
@@ -111,24 +135,41 @@ def shred(df: DataFrame, record_id: str, documents: Mapping[str, Shape]) -> Data
     A row per value: record_id, doc (the column), doc_key (of the text, so that deliveries of one record stay
     apart), node and parent (numbers within the document, -1 for the document's parent), label (name in its
     object, empty in a list), ordinal (place among its siblings from 0), kind (object, array, text, number,
-    boolean, null), path (labels joined by ``/``), top (place of the element of the outermost list it lies in),
-    trail (below an open part: names and places joined by dots), scalar (text of a single value).
+    boolean, null), path (labels joined by ``/``; beyond ``PATH`` characters the outer part stands as ``#`` and its
+    digest, and only the parents tell it in full), top (place of the element of the outermost list it lies in),
+    trail (of single values below an open part: names and places joined by dots), scalar (text of a single value).
 
     Null columns and those that aren't valid JSON give no row, nor do ``NaN`` and ``Infinity``, which JSON lacks.
-    Of names that one object repeats, the last counts. Numbers keep their digits as written. Nesting too deep for
-    the parser (about a thousand levels) counts as not valid. Other columns of ``df`` aren't read.
+    Of names that one object repeats, the last counts. Numbers keep their digits as written. Values may be nested
+    as deep as memory holds their document. Other columns of ``df`` aren't read.
     """
     names = list(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in _FIELDS]
+        walkers = [_Walker(n, documents[n]) for n in names]
+        waiting: list[tuple] = []
+        owners: list[tuple[str | None, str, str, int]] = []  # record, column, key and number of the rows of one document
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
-            for c in out:
-                c.clear()
-            return batch
-
+            node, parent, label, ordinal, kind, path, top, trail, scalar = zip(*waiting, strict=True)
+            paths: list[_Path] = []
+            at = np.empty(len(path), np.int32)
+            for i, p in enumerate(path):
+                if p.no < 0:
+                    p.no = len(paths)
+                    paths.append(p)
+                at[i] = p.no
+            texts = _strings([p.text for p in paths])
+            for p in paths:
+                p.no = -1
+            own = pa.array(np.repeat(np.arange(len(owners), dtype=np.int32), [o[3] for o in owners]))
+            ints = [pa.array(x, pa.int32()) for x in (node, parent, ordinal, top)]
+            columns = [*[_strings([o[i] for o in owners]).take(own) for i in range(3)], ints[0], ints[1], _strings(label), ints[2], _KINDS.take(pa.array(kind, pa.int8())), texts.take(pa.array(at)), ints[3], _strings(trail), _strings(scalar)]
+            waiting.clear()
+            owners.clear()
+            return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+        chars = 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for j, name in enumerate(names):
@@ -138,12 +179,16 @@ def shred(df: DataFrame, record_id: str, documents: Mapping[str, Shape]) -> Data
                     ok, value = parse(text)
                     if not ok:
                         continue
-                    for node, parent, label, ordinal, kind, path, top, trail, scalar in _walk(name, unwrapped(value), documents[name]):
-                        for c, v in zip(out, (rid, name, key.as_py(), node, parent, _clean(label), ordinal, kind, _clean(path), top, trail if trail is None else _clean(trail), scalar if scalar is None else _clean(scalar)), strict=True):
-                            c.append(v)
-                        if len(out[0]) >= _BATCH:
+                    for rows in walkers[j].rows(unwrapped(value)):
+                        waiting += rows
+                        owners.append((rid, name, key.as_py(), len(rows)))
+                        chars += len(text)
+                        if len(waiting) >= _ROWS or chars >= _CHARS:
                             yield flush()
-        if out[0]:
+                            chars = 0
+                    if walkers[j].known > _KNOWN_PATHS:
+                        walkers[j].forget()
+        if waiting:
             yield flush()
 
     own = df.select(F.col(record_id).cast("string").alias("record_id"), *[F.col(n).cast("string").alias(n) for n in names], *[F.hex(F.xxhash64(F.col(n))).alias(f"_key{i}") for i, n in enumerate(names)])
@@ -182,28 +227,23 @@ def child_rows(adjacency: DataFrame, entities: Sequence[Entity]) -> DataFrame:
     element, key_of = _owner(entities)
     deep = [e for e in entities if e.open_part]
     single = (F.col("path").isin([e.path for e in deep]) if deep else F.lit(False)) & F.col("trail").isNotNull() & F.col("kind").isin("text", "number", "boolean")
-    rows = adjacency.filter(element | key_of | single)
     own = element | single
+    rows = adjacency.filter(own | key_of)
+    # The entity's number travels through the shuffle, not its path.
+    number = F.coalesce(*[F.when((F.col("path") == (e.path if e.open_part else f"{e.path}/*")), F.lit(i)) for i, e in enumerate(entities)])
     grouped = rows.withColumn("owner", F.when(own, F.col("node")).otherwise(F.col("parent"))).groupBy("record_id", "doc", "doc_key", "owner").agg(
-        F.max(F.when(own, F.struct("path", "top", "ordinal", "kind", "scalar", "trail"))).alias("e"),
+        F.max(F.when(own, F.struct(number.alias("entity"), "top", "ordinal", (F.col("kind") == "object").alias("is_object"), F.coalesce("trail", "scalar").alias("text")))).alias("e"),
         F.max(F.when(~own, F.col("scalar"))).alias("key"),
     )
-    table, key = F.lit(None).cast("string"), F.col("key")
-    for e in entities:
-        here = F.col("e.path") == (e.path if e.open_part else f"{e.path}/*")
-        table = F.when(here, F.lit(e.name)).otherwise(table)
-        if e.open_part:
-            key = F.when(here, F.col("e.trail")).otherwise(key)
-        elif e.bare:
-            key = F.when(here & (F.col("e.kind") != "object"), F.col("e.scalar")).otherwise(key)
-    outermost = [f"{e.path}/*" for e in entities if not e.open_part and "/" not in e.path]
-    within = ~F.col("e.path").isin(outermost) if outermost else F.lit(True)
-    direct = F.col("e.path").endswith("/*") & (F.size(F.split("e.path", "/\\*")) == 2)
+    pick = lambda of: F.element_at(F.array(*[F.lit(of(e)) for e in entities]), F.col("e.entity") + 1)
+    is_open = pick(lambda e: e.open_part)
+    own_text = is_open | (pick(lambda e: e.bare) & ~F.col("e.is_object"))
+    inner = pick(lambda e: not e.open_part and "/*" in e.path) | is_open
     return grouped.filter("e IS NOT NULL").select(
-        "record_id", table.alias("child_table"),
-        F.when(within & ~direct, F.col("e.top")).otherwise(0).alias("parent_no"),
-        F.when(F.col("e.trail").isNotNull(), 0).otherwise(F.col("e.ordinal")).alias("child_no"),
-        F.coalesce(key, F.lit("")).alias("child_key"),
+        "record_id", pick(lambda e: e.name).alias("child_table"),
+        F.when(inner, F.col("e.top")).otherwise(0).alias("parent_no"),
+        F.when(is_open, 0).otherwise(F.col("e.ordinal")).alias("child_no"),
+        F.coalesce(F.when(own_text, F.col("e.text")).otherwise(F.col("key")), F.lit("")).alias("child_key"),
     ).distinct()
 
 

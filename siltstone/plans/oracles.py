@@ -75,3 +75,7 @@ WITH rec AS (SELECT DISTINCT 'manifest' dataset, * FROM manifest UNION ALL SELEC
 f AS (SELECT dataset, k, CASE json_type(json_extract(raw, '$."' || k || '"')) WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END t FROM kv),
 c AS (SELECT dataset, k field, count(*) FILTER (t = 'text') n_text, count(*) FILTER (t = 'number') n_number, count(*) FILTER (t = 'boolean') n_boolean, count(*) FILTER (t = 'array') n_array, count(*) FILTER (t = 'object') n_object FROM f WHERE t IS NOT NULL GROUP BY ALL)
 SELECT *, CASE greatest(n_text, n_number, n_boolean, n_array, n_object) WHEN n_text THEN 'text' WHEN n_number THEN 'number' WHEN n_boolean THEN 'boolean' WHEN n_array THEN 'array' ELSE 'object' END main_tag FROM c"""
+
+P3_REFUSED_SQL = """
+WITH rec AS (SELECT DISTINCT 'manifest' dataset, * FROM manifest UNION ALL SELECT DISTINCT 'artifact', * FROM artifact)
+SELECT dataset, feed, file_no, count(*) AS rows FROM rec WHERE raw IS NULL OR NOT json_valid(raw) OR json_type(CASE WHEN json_valid(raw) THEN raw END) <> 'OBJECT' GROUP BY ALL"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.words import blank_to_null, norm_id, squeezed, stripped, word32
 from siltstone.operators.diff import diff_copies
-from siltstone.operators.drift import appearing_types, fields_of, infer_union, records, schema_changes, steady_table
+from siltstone.operators.drift import appearing_types, fields_of, id_of, infer_union, records, refused_rows, schema_changes, steady_table
 from siltstone.operators.references import orphan_references
 from siltstone.operators.shred import Entity, Shape, child_rows, entity_table, listed, open_table, shred
 from siltstone.sources.tables import table
@@ -184,8 +184,12 @@ ARTIFACT_COLUMNS = ["artifact_id", "artifact_name", "binary_stem", "binary_sha",
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of a field between consecutive files of a feed."""
-    parts = [schema_changes(table(spark, d, name), key).select(F.lit(name).alias("dataset"), "feed", "file_no", "change_kind", "old_field", "new_field") for name, key in FEEDS.items()]
-    return parts[0].unionByName(parts[1])
+    # Both kinds of record go through one plan; a feed's name carries the kind it belongs to.
+    both = [table(spark, d, name).withColumn("feed", F.concat(F.lit(f"{name}|"), "feed")) for name in FEEDS]
+    ident = F.coalesce(*[F.when(F.col("feed").startswith(f"{name}|"), id_of(key)) for name, key in FEEDS.items()])
+    found = schema_changes(both[0].unionByName(both[1]), ident)
+    parts = F.split("feed", r"\|", 2)
+    return found.select(parts[0].alias("dataset"), parts[1].alias("feed"), "file_no", "change_kind", "old_field", "new_field")
 
 
 def p3_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +204,12 @@ def p3_artifact(spark: SparkSession, d: str) -> DataFrame:
     return steady_table(df, "artifact_id", ARTIFACT_COLUMNS, schema_changes(df, "artifact_id")).withColumn("_other", F.to_json("_other"))
 
 
+def p3_refused(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of each file are left out because they hold no JSON object."""
+    parts = [refused_rows(table(spark, d, name), ["feed", "file_no"]).select(F.lit(name).alias("dataset"), "*") for name in FEEDS]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_union_types(spark: SparkSession, d: str) -> DataFrame:
     """The fused schema of each kind of record: per field, how many values of each type."""
     parts = [infer_union(fields_of(records(table(spark, d, name)), []), []).withColumn("dataset", F.lit(name)) for name in FEEDS]

@@ -17,4 +17,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": problems.P1_SQL, "p2_found": oracles.P2_SQL, "p3_found": oracles.P3_SQL, "p3_union_types": oracles.P3_UNION_SQL, "p4_found": problems.P4_SQL, "p4_orphans_by_month": problems.P4_MONTH_SQL} | kernels.SQL
+    return {"p1_found": problems.P1_SQL, "p2_found": oracles.P2_SQL, "p3_found": oracles.P3_SQL, "p3_union_types": oracles.P3_UNION_SQL, "p3_refused": oracles.P3_REFUSED_SQL, "p4_found": problems.P4_SQL, "p4_orphans_by_month": problems.P4_MONTH_SQL} | kernels.SQL

@@ -57,5 +57,7 @@ def test_children(spark):
 
 def test_word32(spark):
     cases = [("0x10", 16), (" 0X1F\t", 31), ("-1", 2**32 - 1), ("123", 123), ("1Fh", 31), ("0b101", 5), ("zz", None), ("", None), (None, None), ("0x", None), ("12.0", 12), ("0800_0000h", 2**27), ("-0x1", 2**32 - 1)]
+    long = [7 * 10**24 + 123456789, 10**18 - 1, 10**18, 3**200]
+    cases += [(str(n), n % 2**32) for n in long] + [(f"-{n}", -n % 2**32) for n in long] + [(hex(n), n % 2**32) for n in long] + [(bin(n), n % 2**32) for n in long] + [(oct(n), n % 2**32) for n in long]
     df = spark.createDataFrame(cases, "t string, want bigint").select("t", "want", word32(F.col("t")).alias("got"))
     assert [r for r in df.collect() if r.got != r.want] == []

@@ -1,6 +1,6 @@
 import json
 
-from siltstone.operators.drift import fields_of, infer_union, records, schema_changes, steady_names, steady_table
+from siltstone.operators.drift import fields_of, infer_union, records, refused_rows, schema_changes, steady_names, steady_table
 
 SCHEMA = "feed string, file_no int, row_no int, raw string, field string, _v int"
 
@@ -70,3 +70,12 @@ def test_union_keeps_all_types(spark):
     df = frame(spark, {("f", 1): [{"a": 1}, {"a": "x"}, {"a": [1]}, {"a": {"b": 1}}, {"a": True}, {"a": None}, {"a": 2.5}]})
     r = infer_union(fields_of(records(df), []), []).collect()
     assert [tuple(x) for x in r] == [("a", 1, 2, 1, 1, 1, "number")]
+
+
+def test_odd_records_are_kept(spark):
+    deep = '{"a":' + "[" * 5000 + "]" * 5000 + ',"b":1}'
+    texts = ['{"a":1,"a":"x"}', deep, '{"a":1} x', '{"a":1}}', '{"a":1}{"b":2}', '{"a":1},{"b":2}', "[1]", "", None, ' {"a":{"a":1,"a":2}}\n']
+    df = spark.createDataFrame([("f", 1, i, t) for i, t in enumerate(texts)], "feed string, file_no int, row_no int, raw string")
+    got = {(r.row_no, r.field): r.tag for r in fields_of(records(df), ["row_no"]).collect()}
+    assert got == {(0, "a"): "text", (1, "a"): "array", (1, "b"): "number", (9, "a"): "object"}
+    assert [tuple(r) for r in refused_rows(df, ["feed", "file_no"]).collect()] == [("f", 1, 7)]

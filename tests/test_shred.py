@@ -1,6 +1,7 @@
 import json
 
-from siltstone.operators.shred import Entity, Shape, child_rows, entity_table, parse, shred, unwrapped
+from siltstone.functions.jsontext import Number, _deep, parse, unwrapped, write
+from siltstone.operators.shred import Entity, Shape, child_rows, entity_table, open_table, shred
 
 SHAPE = {"doc": Shape(lists=frozenset({"doc", "doc/*/sites", "doc/*/names"}), plain_lists=frozenset({"doc/*/names"}), open_parts=frozenset({"doc/*/facts"}))}
 ENTITIES = [Entity("node", "doc", "id"), Entity("site", "doc/*/sites", "fn"), Entity("name", "doc/*/names", bare=True), Entity("fact", "doc/*/facts", open_part=True)]
@@ -29,7 +30,7 @@ def test_bare_elements_and_wrapped_text(spark):
 
 
 def test_invalid_null_empty(spark):
-    assert rows(spark, [None, "", "{", "[1,", "NaN", "[NaN]", "null", "[]", "{}x", "[" * 100_000]) == []
+    assert rows(spark, [None, "", "{", "[1,", "NaN", "[NaN]", "null", "[]", "{}x", "[" * 100_000, "[1]" * 2]) == []
     assert rows(spark, []) == []
     assert rows(spark, ["{}"]) == [("0", "node", 0, 0, "")]
 
@@ -74,3 +75,33 @@ def test_adjacency_rebuilds_document(spark):
 def test_unwrapped():
     assert unwrapped('"[1]"') == ["1"] and unwrapped("[x") == "[x" and unwrapped('"x"') == '"x"' and unwrapped(5) == 5
     assert parse("[1] ")[0] and not parse("[Infinity]")[0]
+
+
+def test_any_depth(spark):
+    deep = 100_000
+    text = '[{"id":"a","facts":' + '{"k":' * deep + "1" + "}" * deep + "}]"
+    df = spark.createDataFrame([("r", text)], "rid string, doc string")
+    got = open_table(shred(df, "rid", SHAPE), "doc/*/facts").collect()
+    assert [(len(r.trail), r.value) for r in got] == [(2 * deep - 1, "1")]
+    assert rows(spark, [text])[1] == ("0", "node", 0, 0, "a")
+    lists = spark.createDataFrame([("r", "[" * 20_000 + "]" * 20_000)], "rid string, doc string")
+    got = shred(lists, "rid", {"doc": Shape()})
+    assert got.count() == 20_000 and got.filter("length(path) > 500").count() == 0
+
+
+def test_parser_agrees_with_the_standard_one():
+    texts = ['{"a":1,"a":{"b":[1.50,-2e3,"\\u00e9",true,null]}}', "[ ]", '{ "x" : [ { } , "" ] }', '"s"', "5"]
+    for t in texts:
+        assert _deep(t) == parse(t)[1] and parse(write(_deep(t)))[1] == _deep(t)
+    assert _deep("1.50") == Number("1.50") and _deep('{"a":1,"a":2}') == {"a": "2"}
+    for t in ("", "[1,]", '{"a"}', '{"a":}', "{,}", "[1 2]", "1 2", '{"a":1,}', "]", '{"a":1]', "tru", "01", "[01]"):
+        try:
+            _deep(t)
+            raise AssertionError(t)
+        except ValueError:
+            pass
+
+
+def test_repeated_names_and_clashing_labels(spark):
+    df = spark.createDataFrame([("r", '[{"id":"a","id":"b","*":{"id":"x"}}]')], "rid string, doc string")
+    assert [r.child_key for r in child_rows(shred(df, "rid", SHAPE), ENTITIES[:1]).collect()] == ["b"]
