@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from siltstone.operators.references import bitmaps, decode, orphan_references
+from siltstone.operators.references import RANGE, and_not, bitmaps, coverage, orphan_references
 
 REFS = "k string, row int, at timestamp_ntz, code string, period int, reason string"
 ITEMS = "k string, born timestamp_ntz, died timestamp_ntz, code int"
@@ -55,7 +55,20 @@ def test_random_with_hot_key(spark):
     assert run(spark, refs + refs[:5], items + items[:50]) == brute(refs + refs[:5], items)
 
 
-def test_bitmaps_round_trip(spark):
-    codes = {(p, c) for p in (1, 2) for c in (0, 63, 64, 65, 8589934592 * 3 + 7)}
-    df = spark.createDataFrame(sorted(codes) * 2, "period int, code bigint")
-    assert {tuple(r) for r in decode(bitmaps(df)).collect()} == codes
+def test_bitmaps_against_sets(spark):
+    rnd = random.Random(5)
+    code = lambda: rnd.choice([0, 3 << 33, RANGE]) + rnd.randrange(rnd.choice([5, RANGE]))
+    refs = {(code(), rnd.randrange(-1, 6)) for _ in range(12_000)} | {(c, 2) for c in range(RANGE)}
+    spans = [(code(), b, b + rnd.randrange(4)) for b in [rnd.randrange(6) for _ in range(9_000)]]
+    spans += [(5, -12, 10**6), (6, 2, 2), (6, 2, 3)]
+    want = {(c, p) for c, p in refs if p < 0} | ({(c, p) for c, p in refs} - {(c, m) for c, b, t in spans for m in range(b, min(t, 9) + 1)})
+    r = spark.createDataFrame(sorted(refs) * 2, "code bigint, period int").repartition(3)
+    s = spark.createDataFrame(spans, "code bigint, `from` int, till int").repartition(3)
+    got = [tuple(x) for x in and_not(bitmaps(r), coverage(s)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_far_dates_cost_nothing(spark):
+    items = [(f"k{i}", D(0), None) for i in range(400)]
+    refs = [("k1", datetime(1, 1, 1)), ("k2", datetime(9999, 12, 30)), ("k3", D(5))]
+    assert run(spark, refs, items) == brute(refs, items) == {(0, "late")}
