@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.session import broadcast_if_small, materialize
@@ -50,22 +51,25 @@ def ordered_union(a: Column, b: Column) -> Column:
 
 def drop_shadowed(df: DataFrame, keys: Sequence[str], strong: Column) -> DataFrame:
     """Distinct rows; where a key has strong rows, its others go."""
-    any_strong = F.max(F.when(strong, 1).otherwise(0)).over(Window.partitionBy(*keys))
-    return df.distinct().withColumn("_any", any_strong).filter((F.col("_any") == 0) | strong).drop("_any")
+    rows = df.distinct().withColumn("_strong", F.coalesce(strong, F.lit(False)))
+    held = rows.filter("_strong").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return rows.filter("_strong").unionByName(rows.filter("NOT _strong").join(held, same, "left_anti")).drop("_strong")
 
 
 def first_mode(candidates: Sequence[tuple[str, DataFrame]], keys: Sequence[str]) -> DataFrame:
     """Candidates of the first mode that has any, per key, with ``mode``: a cascade of lookups as one pass.
 
-    All modes are brought together and the least rank per key found in one window over candidates, so no mode waits
-    for the one before it.
+    All modes are brought together and the least rank per key found by one aggregation, so no mode waits for the one
+    before it and a key with very many candidates sends one row per task.
     """
     out = None
     for i, (name, df) in enumerate(candidates):
         part = df.withColumn("mode", F.lit(name)).withColumn("_rank", F.lit(i))
         out = part if out is None else out.unionByName(part)
-    least = F.min("_rank").over(Window.partitionBy(*keys))
-    return out.withColumn("_least", least).filter("_rank = _least").drop("_rank", "_least")
+    least = out.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_rank").alias("_least"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return out.join(least, same & (F.col("_rank") == F.col("_least"))).drop("_rank", "_least", *[f"_k{i}" for i in range(len(keys))])
 
 
 def prefer(primary: DataFrame, fallback: DataFrame, key: str, fallback_key: str, value: str, df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Ranking, budgets and sequences: the operators whose natural form is a window.
 
-Every order given to these functions should end in a unique column, else ties fall as the engine reads them.
+Every order given to these functions should end in a unique column, else ties fall as the engine reads them. A window
+over a whole group would put it into one task; what runs along a group is therefore computed in slices: the rows are
+range-partitioned by group and order, each slice is folded by itself, and the folds of the slices before it, one row
+per group and slice, are brought in by a join.
 """
 
 from __future__ import annotations
@@ -11,6 +14,45 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import materialize
+
+
+def slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """``df`` with ``_slice``, which numbers stretches of each group in order. A group of a third of all rows fills a
+    third of the slices. Written out, since a second run could cut elsewhere."""
+    return materialize(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def running(sliced: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str, how: str = "sum", own: bool = True, slice_by: str = "_slice") -> DataFrame:
+    """``sliced`` with ``name``: sum or maximum (``how``) of ``value`` over the group's rows so far, the row itself
+    included if ``own``. Null values count for nothing; null keys are a group; a sum over no row is 0, a maximum null.
+
+    ``slice_by`` numbers slices that follow each other in ``order``; a hash will do where any order is good.
+    """
+    fold = F.sum if how == "sum" else F.max
+    rows = sliced.withColumn("_value", value)
+    folds = rows.groupBy(*keys, slice_by).agg(fold("_value").alias("_fold"))
+    before = Window.partitionBy(*keys).orderBy(slice_by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = folds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(slice_by).alias("_s"), fold("_fold").over(before).alias("_offset"))
+    within = Window.partitionBy(*keys, slice_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    same = F.col(slice_by) == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    both = rows.withColumn("_own", fold("_value").over(within)).join(offsets, same, "left")
+    zero = F.lit(0).cast("bigint")
+    total = F.coalesce("_offset", zero) + F.coalesce("_own", zero) if how == "sum" else F.greatest("_offset", "_own")
+    return both.withColumn(name, total).drop("_value", "_own", "_s", "_offset", *[f"_k{i}" for i in range(len(keys))])
+
+
+def running_total(df: DataFrame, group: Sequence[str], value: Column, order: Sequence[str], slice_by: Column, name: str = "before") -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the group's earlier rows, in the order of (slice_by, order)."""
+    return running(df.withColumn("_slice", slice_by), group, order, value.cast("bigint"), name, own=False).drop("_slice")
+
+
+def place_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``: the place of each row in its group, from 0."""
+    return running(slices(df, keys, order), keys, order, F.lit(1), name, own=False).drop("_slice")
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row per ``keys``; null keys are equal to each other."""
@@ -39,31 +81,29 @@ def islands(df: DataFrame, keys: Sequence[str], lo: Column, hi: Column, gap: Col
 
     Rows without lo or hi join no island.
     """
-    w = Window.partitionBy(*keys).orderBy("_lo", "_hi")
+    order = ["_lo", "_hi"]
     rows = df.select(*keys, lo.alias("_lo"), hi.alias("_hi")).filter("_lo IS NOT NULL AND _hi IS NOT NULL")
-    reach = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("_lo") > reach + gap), 1).otherwise(0))
-    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running(slices(rows, keys, order), keys, order, F.col("_hi"), "_reach", "max", own=False)
+    rows = rows.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("_lo") > F.col("_reach") + gap), 1).otherwise(0))
+    rows = running(rows, keys, [*order, F.desc("_new")], F.col("_new"), "_island")
     return rows.groupBy(*keys, "_island").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.count("*").alias("pieces")).drop("_island")
 
 
 def budget_suffix(df: DataFrame, keys: Sequence[str], latest_first: Sequence[Column | str], cost: Column, budget: int) -> DataFrame:
     """The longest run of latest rows whose costs, never negative, stay within ``budget``, with their sum ``spent``."""
-    w = Window.partitionBy(*keys).orderBy(*latest_first).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent", F.sum(cost).over(w)).filter(F.col("spent") <= budget)
+    rows = running(slices(df, keys, latest_first), keys, latest_first, cost, "spent").drop("_slice")
+    return rows.filter(F.col("spent") <= budget)
 
 
 def budget_counter(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], wants: Column, budget: int) -> DataFrame:
     """``granted``: rows that want something get it in order while ``budget`` lasts."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.when(wants, 1).otherwise(0)).over(w)
-    return df.withColumn("granted", wants & (used <= budget))
+    rows = running(slices(df.withColumn("_wants", wants), keys, order), keys, order, F.when(F.col("_wants"), 1).otherwise(0), "_used")
+    return rows.withColumn("granted", F.col("_wants") & (F.col("_used") <= budget)).drop("_wants", "_used", "_slice")
 
 
 def chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], size: int) -> DataFrame:
     """``chunk``: batches of ``size`` rows in order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size))
+    return place_in_group(df, keys, order, "_at").withColumn("chunk", F.expr(f"_at div {size}")).drop("_at")
 
 
 def ordered_batches(df: DataFrame, keys: Sequence[str], order: str, cost: str, max_rows: int, max_cost: int) -> DataFrame:
@@ -102,8 +142,7 @@ def scope_quotas(df: DataFrame, scope: str, order: Sequence[Column | str], quota
 
 def alternating_shards(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], shards: int = 2) -> DataFrame:
     """``shard``: the rows of each group dealt out in turn."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("shard", ((F.row_number().over(w) - 1) % shards).cast("int"))
+    return place_in_group(df, keys, order, "_at").withColumn("shard", (F.col("_at") % shards).cast("int")).drop("_at")
 
 
 def diverse_fill(df: DataFrame, bucket: Sequence[str], order: Sequence[Column | str], size: int, by_rank: float = 0.9) -> DataFrame:
