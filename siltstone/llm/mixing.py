@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.tokens import running_total
+from siltstone.operators.ranking import running_total
 from siltstone.session import materialize
 
 SLICES = 1024

@@ -11,7 +11,7 @@ from siltstone.functions.words import stripped, word32
 from siltstone.llm.mixing import Target, mix, mix_shares
 from siltstone.llm.packing import pack_tokens
 from siltstone.llm.spans import shared_share, shared_span_pairs
-from siltstone.llm.survivors import Field, best_by_field, latest_by_currency, sources_of
+from siltstone.llm.survivors import DATE, Field, latest_by_currency, sources_of
 from siltstone.llm.tokens import token_counts
 from siltstone.llm.topn import top_n
 from siltstone.session import materialize
@@ -28,17 +28,19 @@ def _review_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("site_address", word32(F.col("site"))).withColumn("_trust", F.coalesce("_trust", F.lit(0)))
 
 
-def _survivors(spark: SparkSession, d: str) -> DataFrame:
-    label = stripped(F.col("proposed_label"))
-    chains = F.array_distinct(F.filter("related_chain_ids", lambda x: stripped(x) != ""))
-    trust, at = F.col("_trust"), F.col("updated_at")
-    fields = [
-        Field("proposed_label", F.col("proposed_label"), (label != "") & (F.upper(label) != "UNKNOWN"), [trust, at]),
-        Field("confidence", F.col("confidence"), F.col("confidence").between(0.0, 1.0), [trust, at]),
-        Field("triage_rank", F.col("triage_rank"), F.col("triage_rank").between(1, 999998), [at, trust]),
-        Field("related_chain_ids", chains, F.size(chains) > 0, [F.size(chains), at]),
+def _fields() -> list[Field]:
+    label, trust = stripped(F.col("proposed_label")), F.col("_trust")
+    chains = F.array_sort(F.array_distinct(F.filter("related_chain_ids", lambda x: stripped(x) != "")))
+    return [
+        Field("proposed_label", F.col("proposed_label"), (label != "") & (F.upper(label) != "UNKNOWN"), [trust, DATE]),
+        Field("confidence", F.col("confidence"), F.col("confidence").between(0.0, 1.0), [trust, DATE], F.col("confidence")),
+        Field("triage_rank", F.col("triage_rank"), F.col("triage_rank").between(1, 999998), [DATE, trust], F.col("triage_rank")),
+        Field("related_chain_ids", chains, F.size(chains) > 0, [F.size(chains), DATE]),
     ]
-    return best_by_field(_review_rows(spark, d), SITE, "row_id", fields)
+
+
+def _survivors(spark: SparkSession, d: str) -> DataFrame:
+    return latest_by_currency(_review_rows(spark, d), SITE, "row_id", _fields(), "updated_at", undated="earliest")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,17 +57,17 @@ def p5_merged(spark: SparkSession, d: str) -> DataFrame:
 def p5_currency(spark: SparkSession, d: str) -> DataFrame:
     """The topologically latest value of every field of a site, as text, undated rows placed by learned precedence."""
     label = stripped(F.col("proposed_label"))
-    chains = F.array_sort(F.array_distinct(F.filter("related_chain_ids", lambda x: stripped(x) != "")))
-    values = {
-        "proposed_label": F.when((label != "") & (F.upper(label) != "UNKNOWN"), label),
-        "confidence": F.when(F.col("confidence").between(0.0, 1.0), F.col("confidence").cast("string")),
-        "triage_rank": F.when(F.col("triage_rank").between(1, 999998), F.col("triage_rank").cast("string")),
-        "related_chain_ids": F.when(F.size(chains) > 0, F.to_json(chains)),
-    }
-    # All fields go through one plan. Its values carry their field, so that no order is learned across fields.
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.when(v.isNotNull(), F.struct(F.lit(n).alias("of"), v.alias("text"))).alias("_value")) for n, v in values.items()]))
-    rows = _review_rows(spark, d).select(*SITE, "row_id", "updated_at", "_trust", each.alias("_e")).select(*SITE, "row_id", "updated_at", "_trust", "_e.*").filter("_value IS NOT NULL")
-    return latest_by_currency(rows, [*SITE, "field_name"], "row_id", "_value", "updated_at", F.col("_trust")).withColumn("value", F.col("value.text"))
+    fields = [
+        Field("proposed_label", label, (label != "") & (F.upper(label) != "UNKNOWN"), [DATE, F.col("_trust")]),
+        Field("confidence", F.col("confidence"), F.col("confidence").between(0.0, 1.0), [DATE, F.col("_trust")], F.col("confidence")),
+        Field("triage_rank", F.col("triage_rank"), F.col("triage_rank").between(1, 999998), [DATE, F.col("_trust")], F.col("triage_rank")),
+        Field("related_chain_ids", _fields()[3].value, _fields()[3].usable, [DATE, F.col("_trust")], F.size(_fields()[3].value)),
+    ]
+    best = latest_by_currency(_review_rows(spark, d), SITE, "row_id", fields, "updated_at")
+    written = {"related_chain_ids": lambda c: F.array_join(c, ","), "confidence": lambda c: F.format_string("%.6f", c)}
+    text = lambda n: F.when(F.col(n).isNotNull(), written.get(n, lambda c: c.cast("string"))(F.col(f"{n}.value")))
+    each = F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(f"{n}.row_id").alias("row_id"), text(n).alias("value"), F.col(f"{n}.basis").alias("basis")) for n in SUPPLIED])
+    return best.select(*SITE, F.explode(each).alias("e")).select(*SITE, "e.*").filter("row_id IS NOT NULL")
 
 
 P5_ROWS = r"""
@@ -88,6 +90,29 @@ UNION ALL SELECT binary_stem, site_address, 'triage_rank', row_id FROM (SELECT *
 UNION ALL SELECT binary_stem, site_address, 'related_chain_ids', row_id FROM (SELECT *, row_number() OVER (PARTITION BY binary_stem, site_address ORDER BY nc DESC, ts DESC, row_id) n FROM r WHERE nc > 0) WHERE n = 1"""
 
 
+P5_CURRENCY_SQL = f"""
+WITH RECURSIVE {P5_ROWS.replace("ts,", "ts, list_sort(list_distinct([x FOR x IN coalesce(related_chain_ids, CAST([] AS VARCHAR[])) IF x IS NOT NULL AND trim(x) <> ''])) ch,", 1)},
+long AS (
+  SELECT binary_stem, site_address, row_id, updated_at t, tr, 'proposed_label' f, trim(proposed_label) v, CAST(NULL AS DOUBLE) k FROM r WHERE ul
+  UNION ALL SELECT binary_stem, site_address, row_id, updated_at, tr, 'confidence', printf('%.6f', confidence), confidence FROM r WHERE uc
+  UNION ALL SELECT binary_stem, site_address, row_id, updated_at, tr, 'triage_rank', CAST(triage_rank AS VARCHAR), triage_rank FROM r WHERE ur
+  UNION ALL SELECT binary_stem, site_address, row_id, updated_at, tr, 'related_chain_ids', array_to_string(ch, ','), nc FROM r WHERE nc > 0
+), vals AS (SELECT * FROM long QUALIFY row_number() OVER (PARTITION BY binary_stem, site_address, f, v ORDER BY t DESC NULLS LAST, tr DESC, row_id) = 1),
+cand AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY binary_stem, site_address, f) mt FROM vals) WHERE t IS NULL OR t = mt),
+steps AS (SELECT * FROM (SELECT f, v b, k kb, lag(v) OVER w a, lag(k) OVER w ka FROM vals WHERE t IS NOT NULL WINDOW w AS (PARTITION BY binary_stem, site_address, f ORDER BY t, v)) WHERE a IS NOT NULL),
+cnt AS (SELECT a, b, count(*) n FROM steps WHERE f = 'proposed_label' GROUP BY ALL),
+net AS (SELECT cnt.a, cnt.b FROM cnt LEFT JOIN cnt o ON o.a = cnt.b AND o.b = cnt.a WHERE cnt.n > coalesce(o.n, 0)),
+reach AS (SELECT a, b FROM net UNION SELECT reach.a, net.b FROM reach JOIN net ON reach.b = net.a),
+strict AS (SELECT a, b FROM reach WHERE NOT EXISTS (SELECT 1 FROM reach o WHERE o.a = reach.b AND o.b = reach.a)),
+rise AS (SELECT f, sign(sum(sign(kb - ka))) s FROM steps WHERE f <> 'proposed_label' GROUP BY 1),
+judged AS (
+  SELECT c.*, CASE WHEN c.f = 'proposed_label' THEN EXISTS (SELECT 1 FROM cand o JOIN strict ON strict.b = o.v WHERE strict.a = c.v AND o.f = c.f AND o.binary_stem = c.binary_stem AND o.site_address = c.site_address)
+    ELSE coalesce(rise.s * c.k < max(rise.s * c.k) OVER (PARTITION BY c.binary_stem, c.site_address, c.f), false) END beaten
+  FROM cand c LEFT JOIN rise ON rise.f = c.f)
+SELECT binary_stem, site_address, f field_name, row_id, v "value", CASE WHEN mt IS NULL THEN 'undated' WHEN t IS NOT NULL THEN 'dated' ELSE 'learned' END basis
+FROM judged QUALIFY row_number() OVER (PARTITION BY binary_stem, site_address, f ORDER BY beaten, t IS NULL, tr DESC, row_id) = 1"""
+
+
 P5_MERGED_SQL = f"""
 WITH f AS ({P5_SQL}), s AS (SELECT DISTINCT binary_stem, CAST(concat('0x', substr(lower(trim(site)), 3)) AS BIGINT) site_address, row_id FROM supervision_queue WHERE binary_stem IS NOT NULL AND site IS NOT NULL),
 g AS (SELECT binary_stem, site_address FROM s GROUP BY ALL HAVING count(*) > 1)
@@ -176,4 +201,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p6_found": P6_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL}
+    return {"p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p5_currency": P5_CURRENCY_SQL, "p6_found": P6_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL}

@@ -1,4 +1,4 @@
-"""Token counts by a public tokenizer, and running totals over very large groups."""
+"""Token counts by a public tokenizer."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import base64
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,19 +51,3 @@ def token_counts(df: DataFrame, keep: Sequence[str], text: str = "text", ranks:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], [*b.schema.names[:-1], "n_tokens"])
 
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
-
-
-def running_total(df: DataFrame, group: Sequence[str], value: Column, order: Sequence[str], slice_by: Column, name: str = "before") -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the group's earlier rows, in the order of (slice_by, order).
-
-    A group is cut into slices, so that a group of a third of all rows is many tasks' work: slices are summed up
-    by an aggregation, the slices' totals accumulated (a row per group and slice), and rows counted within their
-    slice.
-    """
-    sliced = df.withColumn("_slice", slice_by).withColumn("_value", value.cast("bigint"))
-    totals = sliced.groupBy(*group, "_slice").agg(F.sum("_value").alias("_total"))
-    over = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "_slice", F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_offset"))
-    own = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    counted = sliced.withColumn("_own", F.coalesce(F.sum("_value").over(own), F.lit(0)))
-    return counted.join(offsets, [*group, "_slice"]).withColumn(name, F.col("_offset") + F.col("_own")).drop("_slice", "_value", "_offset", "_own")

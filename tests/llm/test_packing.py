@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm.packing import best_fit_runs, pack
-from siltstone.llm.tokens import RANKS, running_total, token_counts
+from siltstone.llm.tokens import RANKS, token_counts
+from siltstone.operators.ranking import running_total
 
 
 def expand(plan):
