@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from siltstone.operators.ranking import running_total
 from siltstone.session import materialize
 
-SLICES = 64
+#: Items to a slice of one size: the commonest size is ranked by as many tasks as it fills slices.
+SLICE = 50_000
 BLOCK = 8192
 PLAN = "container string, size bigint, rank_from bigint, n bigint, bin_from bigint, per_bin bigint"
 
@@ -75,14 +76,14 @@ def best_fit_runs(sizes: Sequence[int], counts: Sequence[int], capacity: int) ->
     return plan
 
 
-def pack(items: DataFrame, item: str, size: str, capacities: dict[str, int]) -> DataFrame:
+def pack(items: DataFrame, item: str, size: str, capacities: dict[str, int], slices: int = 64) -> DataFrame:
     """Rows (container, capacity, container_id, item, piece_no, piece_from, piece_size): every item's place in containers
     of each of ``capacities`` (name and size; a parameter, not data).
 
     An item longer than the capacity is cut into full containers of its own and a last piece that is placed like
     any other; shorter ones are never split. Sizes that are null or negative count as 0, and items of size 0 go to
     the first shared container. Rows repeated in full count once; an item without id is placed too; no items, no
-    containers. Capacities must be positive.
+    containers. Capacities must be positive. Items of one size are ranked in ``slices`` parts.
     """
     if any(c <= 0 for c in capacities.values()):
         raise ValueError("capacities must be positive")
@@ -105,7 +106,7 @@ def pack(items: DataFrame, item: str, size: str, capacities: dict[str, int]) ->
     placed = runs.groupBy("container").applyInPandas(plan, PLAN)
     first, end = F.expr(f"rank_from div {BLOCK}"), F.expr(f"(rank_from + n - 1) div {BLOCK}")
     placed = placed.withColumn("_block", F.explode(F.sequence(first, end)))
-    ranked = running_total(last, ["container", "size"], F.lit(1), ["_item", "piece_no"], F.pmod(F.xxhash64("_item"), F.lit(SLICES)), "_rank").withColumn("_block", F.expr(f"_rank div {BLOCK}"))
+    ranked = running_total(last, ["container", "size"], F.lit(1), ["_item", "piece_no"], F.pmod(F.xxhash64("_item"), F.lit(slices)), "_rank").withColumn("_block", F.expr(f"_rank div {BLOCK}"))
     shared = ranked.join(placed, ["container", "size", "_block"]).filter("_rank >= rank_from AND _rank < rank_from + n")
     bin_no = F.expr("bin_from + (_rank - rank_from) div per_bin")
     shared = shared.select("container", "capacity", F.format_string("shared-%d", bin_no).alias("container_id"), "_item", "piece_no", "piece_from", F.col("size").alias("piece_size"))
@@ -114,4 +115,5 @@ def pack(items: DataFrame, item: str, size: str, capacities: dict[str, int]) ->
 
 def pack_tokens(counted: DataFrame, capacities: dict[str, int], item: str = "doc_id") -> DataFrame:
     """:func:`pack` over token counts, which are written out since two branches read them."""
-    return pack(materialize(counted.distinct(), "tokens"), item, "n_tokens", capacities)
+    counted = materialize(counted.distinct(), "tokens")
+    return pack(counted, item, "n_tokens", capacities, max(64, counted.count() // SLICE))

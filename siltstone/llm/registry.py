@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.words import stripped, word32
 from siltstone.llm.mixing import Target, mix, mix_shares
 from siltstone.llm.packing import pack_tokens
-from siltstone.llm.spans import shared_share, shared_span_pairs
+from siltstone.llm.spans import shared_share, shared_span_classes, shared_span_pairs
 from siltstone.llm.survivors import DATE, Field, latest_by_currency, sources_of
 from siltstone.llm.tokens import token_counts
 from siltstone.llm.topn import top_n
@@ -184,6 +184,11 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document long enough to share a span: its class of exact copies and how many other classes it shares one with."""
+    return shared_span_classes(table(spark, d, "documents"))
+
+
 P9_SQL = """
 WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) i FROM documents WHERE length(text) >= 200)),
 r AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), d AS (SELECT DISTINCT doc_id, h FROM w WHERE h IN (SELECT h FROM r))
@@ -196,9 +201,16 @@ k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) class_id FROM doc
 SELECT d.doc_id, coalesce(k.class_id, d.doc_id) class_id, CAST(length(text) AS INTEGER) n_chars, CAST(coalesce(c.n, 0) AS BIGINT) shared_chars FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id WHERE text IS NOT NULL"""
 
 
+P9_CLASSES_SQL = f"""
+WITH p AS ({P9_SQL}), k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) class_id, count(*) OVER (PARTITION BY md5(text)) copies FROM documents WHERE length(text) >= 200),
+l AS (SELECT x.class_id a, y.class_id b FROM p JOIN k x ON x.doc_id = doc_id_a JOIN k y ON y.doc_id = doc_id_b WHERE x.class_id <> y.class_id),
+n AS (SELECT a, count(DISTINCT b) links FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) GROUP BY 1)
+SELECT doc_id, class_id, copies, coalesce(links, 0) links FROM k LEFT JOIN n ON n.a = k.class_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_merged, p5_currency, p6_found, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p5_found, p5_merged, p5_currency, p6_found, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_shared, p9_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p5_currency": P5_CURRENCY_SQL, "p6_found": P6_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL}
+    return {"p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p5_currency": P5_CURRENCY_SQL, "p6_found": P6_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL, "p9_classes": P9_CLASSES_SQL}

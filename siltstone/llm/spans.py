@@ -24,21 +24,45 @@ from siltstone.session import broadcast_if_small, materialize
 
 _BASE = 0x100000001B3
 _CHUNK = 2_000_000
-SEGMENT = 1 << 20
 FAN_IN = 32
+SALTS = 8
+#: Counters per expected anchor and row: one anchor in a hundred is then taken for repeated by chance.
+COUNTERS = 4
+#: Up to this size the merged sketch is broadcast; a larger one stays cut by hash and meets the runs there.
+BROADCAST = 96 << 20
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Size of the count-min sketch: ``rows`` of 2**``width_log2`` counters that stop at 2.
+    """A count-min sketch in ``segments``, each of ``rows`` times 2**``width_log2`` counters that stop at 2.
 
-    Merged, a counter is the one bit "two or more", so what is sent to every worker has rows * 2**width_log2 / 8
-    bytes (48 MB by default) whatever the input.
+    A hash gives an anchor its segment, further ones its counters in it, so that a segment answers for its anchors
+    alone. Merged, a counter is the one bit "two or more".
     """
 
-    width_log2: int = 27
+    segments: int
+    width_log2: int
     rows: int = 3
 
+    @property
+    def size(self) -> int:
+        """Counters of a segment."""
+        return self.rows << self.width_log2
+
+    @property
+    def merged_bytes(self) -> int:
+        return self.segments * self.size // 8
+
+
+def sketch_for(docs: DataFrame, span: int, counters: int = COUNTERS) -> Sketch:
+    """A sketch sized by the windows of ``docs`` (id, text), so that its share of chance hits is the same at any size.
+    Of ``k`` neighbouring grams one in (k + 1) / 2 is the least of some window, each text has one at least."""
+    many, texts = docs.agg(F.sum(F.greatest(F.char_length("text") - span + 1, F.lit(0)).cast("bigint")), F.count("*")).first()
+    grams = span - (span + 1) // 2 + 1
+    need = max(1, (2 * (many or 0) // (grams + 1) + texts) * counters)
+    width = min(24, max(18, (need // 4096).bit_length()))
+    return Sketch(-(-need // (1 << width)), width)
+
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = x + np.uint64(salt)
@@ -115,14 +139,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[list
         yield ids, texts
 
 
-def _buckets(anchor: np.ndarray, sketch: Sketch) -> list[np.ndarray]:
+def _counters(anchor: np.ndarray, sketch: Sketch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The segment of each anchor and its counter in every row of that segment."""
     with np.errstate(over="ignore"):
-        return [(_mix(anchor, 0x51ED270B * (r + 1)) >> np.uint64(64 - sketch.width_log2)).astype(np.int64) for r in range(sketch.rows)]
+        segment = (_mix(anchor, 0x2545F491) % np.uint64(sketch.segments)).astype(np.int64)
+        own = [(_mix(anchor, 0x51ED270B * (r + 1)) >> np.uint64(64 - sketch.width_log2)).astype(np.int64) for r in range(sketch.rows)]
+    return segment, [c + (r << sketch.width_log2) for r, c in enumerate(own)]
 
 
-def _pack(counter: np.ndarray) -> tuple[bytes, bytes]:
-    """The places of a segment counted once, and more than once."""
-    return tuple(zlib.compress(np.diff(np.flatnonzero(m), prepend=0).astype(np.uint32).tobytes(), 1) for m in (counter == 1, counter >= 2))
+def _pack(places: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(places, prepend=0).astype(np.uint32).tobytes(), 1)
 
 
 def _places(blob: bytes) -> np.ndarray:
@@ -133,17 +159,31 @@ _PARTIAL = pa.schema([("segment", pa.int32()), ("salt", pa.int32()), ("once", pa
 _PARTIAL_SQL = "segment int, salt int, once binary, more binary"
 
 
-def repeated_anchor_bits(docs: DataFrame, span: int, sketch: Sketch) -> bytes:
-    """The merged sketch of all anchors, a bit per counter that reached 2. ``docs`` has an id and a text column.
+def repeated_anchors(docs: DataFrame, span: int, sketch: Sketch) -> DataFrame:
+    """Rows (segment, more): the merged sketch of all anchors, per segment the counters that reached 2.
 
-    Each task counts the different anchors of each of its texts and sends its counters by segment, those at zero
-    left out; segments are merged in two steps by streams that hold one segment's counters at a time.
+    Each task counts the different anchors of each of its texts and sends, by segment, the counters it touched;
+    segments are merged in two steps by streams that hold one segment's counters at a time.
     """
-    segments = max(1, (1 << sketch.width_log2) // SEGMENT)
-    width = (1 << sketch.width_log2) // segments
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[] for _ in range(sketch.rows)]
+        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % FAN_IN
+        got: list[np.ndarray] = []
+        held = 0
+
+        def partial() -> Iterator[pa.RecordBatch]:
+            place, n = np.unique(np.concatenate(got), return_counts=True)
+            got.clear()
+            segment = place // sketch.size
+            cuts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+            ends = np.r_[cuts[1:], len(place)]
+            for k in range(0, len(cuts), 512):
+                rows = []
+                for lo, hi in zip(cuts[k : k + 512], ends[k : k + 512], strict=True):
+                    p, c = place[lo:hi] - segment[lo] * sketch.size, n[lo:hi]
+                    rows.append((int(segment[lo]), salt, _pack(p[c == 1]), _pack(p[c > 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PARTIAL, strict=True)], schema=_PARTIAL)
+
         for _, texts in _chunks(batches, span):
             points, text_no, _, at = _laid_out(texts, span)
             anchor = _hashes(points, span, True, False)[0][at]
@@ -152,35 +192,28 @@ def repeated_anchor_bits(docs: DataFrame, span: int, sketch: Sketch) -> bytes:
             order = np.lexsort((t, a))
             a, t = a[order], t[order]
             a = a[np.r_[True, (a[1:] != a[:-1]) | (t[1:] != t[:-1])]]  # once per text
-            for r, b in enumerate(_buckets(a, sketch)):
-                got[r].append(b)
-        salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % FAN_IN
-        for r in range(sketch.rows):
-            if not got[r]:
-                continue
-            place, n = np.unique(np.concatenate(got[r]), return_counts=True)
-            cuts = np.searchsorted(place, np.arange(segments + 1) * width)
-            for s in range(segments):
-                p, c = place[cuts[s] : cuts[s + 1]] - s * width, n[cuts[s] : cuts[s + 1]]
-                if len(p):
-                    counter = np.zeros(width, np.uint8)
-                    counter[p] = np.minimum(c, 2)
-                    once, more = _pack(counter)
-                    yield pa.RecordBatch.from_arrays([pa.array([r * segments + s], pa.int32()), pa.array([salt], pa.int32()), pa.array([once]), pa.array([more])], schema=_PARTIAL)
+            segment, own = _counters(a, sketch)
+            got += [segment * sketch.size + c for c in own]
+            held += len(a)
+            if held >= 8 * _CHUNK:
+                yield from partial()
+                held = 0
+        if got:
+            yield from partial()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, counter = None, np.zeros(width, np.uint8)
+        segment, counter = None, np.zeros(sketch.size, np.uint8)
 
         def done() -> pa.RecordBatch:
-            once, more = _pack(counter)
-            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([0], pa.int32()), pa.array([once]), pa.array([more])], schema=_PARTIAL)
+            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([0], pa.int32()), pa.array([_pack(np.flatnonzero(counter == 1))]), pa.array([_pack(np.flatnonzero(counter > 1))])], schema=_PARTIAL)
 
         for b in batches:
             for s, once, more in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
                 if s != segment:
                     if segment is not None:
                         yield done()
-                    segment, counter = s, np.zeros(width, np.uint8)
+                    segment = s
+                    counter[:] = 0
                 counter[_places(once.as_py())] += 1
                 counter[_places(more.as_py())] = 2
                 np.minimum(counter, 2, out=counter)
@@ -190,36 +223,25 @@ def repeated_anchor_bits(docs: DataFrame, span: int, sketch: Sketch) -> bytes:
     partial = docs.mapInArrow(count, _PARTIAL_SQL)
     partial = partial.repartition("segment", "salt").sortWithinPartitions("segment").mapInArrow(merge, _PARTIAL_SQL)
     merged = partial.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, _PARTIAL_SQL)
-    bits = np.zeros(sketch.rows * segments * max(width // 8, 1), np.uint8)
-    for row in merged.select("segment", "more").toLocalIterator():  # at most a row per segment, of bounded size
-        one = np.zeros(width, bool)
-        one[_places(row[1])] = True
-        bits[row[0] * width // 8 : (row[0] + 1) * width // 8] = np.packbits(one)
-    return bits.tobytes()
+    return materialize(merged.select("segment", "more"), "sketch")
 
 
-def repeated_runs(docs: DataFrame, span: int, sketch: Sketch, every_place: bool) -> DataFrame:
-    """Rows (anchor, id, s0, s1, before, content): the runs whose anchor is estimated repeated.
+_RUN = "anchor bigint, id bigint, s0 int, s1 int, before bigint, content bigint"
 
-    The run's windows start from s0 to s1; ``before`` is the hash of the window before the run (0 where it opens its
-    text), ``content`` one of all its windows. Without ``every_place`` runs that a text repeats come once.
-    """
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_anchor_bits(docs, span, sketch))
-    width = 1 << sketch.width_log2
+
+def _runs(docs: DataFrame, span: int, sketch: Sketch, every_place: bool, keep, with_segment: bool) -> DataFrame:
+    """Rows (anchor, id, s0, s1, before, content): the runs of all texts whose anchor ``keep`` takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits.value, np.uint8)
         for ids, texts in _chunks(batches, span):
             points, text_no, place, at = _laid_out(texts, span)
             least, full = _hashes(points, span, True, True)
             anchor = least[at]
             first = _run_starts(text_no, anchor)
             last = np.r_[first[1:], len(anchor)] - 1
-            keep = np.ones(len(first), bool)
-            for r, b in enumerate(_buckets(anchor[first], sketch)):
-                b = b + r * width
-                keep &= (table[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
-            first, last = first[keep], last[keep]
+            if keep is not None:
+                taken = keep(anchor[first])
+                first, last = first[taken], last[taken]
             s0, s1 = place[first], place[last]
             before = np.where(s0 > 0, full[np.maximum(at[first] - 1, 0)], np.uint64(0))
             with np.errstate(over="ignore"):
@@ -227,7 +249,10 @@ def repeated_runs(docs: DataFrame, span: int, sketch: Sketch, every_place: bool)
             # Both ends and the length tell a run's content only while its ends overlap.
             long = s1 - s0 >= span
             content[long] = _mix(content[long] + np.array(ids, np.int64)[text_no[first]][long].view(np.uint64) * np.uint64(_BASE) + s0[long].astype(np.uint64), 17)
-            out = pa.table({"anchor": anchor[first].view(np.int64), "id": np.array(ids, np.int64)[text_no[first]], "s0": s0.astype(np.int32), "s1": s1.astype(np.int32), "before": before.view(np.int64), "content": content.view(np.int64)})
+            columns = {"anchor": anchor[first].view(np.int64), "id": np.array(ids, np.int64)[text_no[first]], "s0": s0.astype(np.int32), "s1": s1.astype(np.int32), "before": before.view(np.int64), "content": content.view(np.int64)}
+            if with_segment:
+                columns["segment"] = _counters(anchor[first], sketch)[0].astype(np.int32)
+            out = pa.table(columns)
             if out.num_rows and not every_place:
                 order = np.lexsort((s0, content, before, anchor[first], text_no[first]))
                 t, k, p = text_no[first][order], content[order], before[order]
@@ -235,7 +260,65 @@ def repeated_runs(docs: DataFrame, span: int, sketch: Sketch, every_place: bool)
                 out = out.take(pa.array(np.sort(once)))
             yield from out.combine_chunks().to_batches(max_chunksize=100_000)
 
-    return docs.mapInArrow(run, "anchor bigint, id bigint, s0 int, s1 int, before bigint, content bigint")
+    return docs.mapInArrow(run, _RUN + (", segment int" if with_segment else ""))
+
+
+def repeated_runs(docs: DataFrame, span: int, sketch: Sketch, every_place: bool, broadcast: int = BROADCAST) -> DataFrame:
+    """Rows (anchor, id, s0, s1, before, content): the runs whose anchor is estimated repeated.
+
+    The run's windows start from s0 to s1; ``before`` is the hash of the window before the run (0 where it opens its
+    text), ``content`` one of all its windows. Without ``every_place`` runs that a text repeats come once. A merged
+    sketch of at most ``broadcast`` bytes goes to every worker; of a larger one each segment meets the runs of its
+    anchors, salted, so that an anchor of very many texts is several tasks' work.
+    """
+    merged = repeated_anchors(docs, span, sketch)
+    if sketch.merged_bytes <= broadcast:
+        bits = np.zeros(sketch.merged_bytes + 8, np.uint8)
+        for segment, more in merged.toLocalIterator():  # a row per segment, of the size just checked
+            at = _places(more) + segment * sketch.size
+            np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+        def keep(anchor: np.ndarray) -> np.ndarray:
+            table = np.frombuffer(sent.value, np.uint8)
+            segment, own = _counters(anchor, sketch)
+            hit = np.ones(len(anchor), bool)
+            for c in own:
+                b = segment * sketch.size + c
+                hit &= (table[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
+            return hit
+
+        return _runs(docs, span, sketch, every_place, keep, False)
+
+    runs = _runs(docs, span, sketch, every_place, None, True).withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+    nothing = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in _RUN.split(", ")]
+    parts = merged.select(*nothing, "segment", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), "more")
+    both = parts.unionByName(runs.withColumn("kind", F.lit(1)).withColumn("more", F.lit(None).cast("binary")))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bits = None, np.zeros(sketch.size, bool)
+        for b in batches:
+            segment, salt, kind = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("segment", "salt", "kind"))
+            anchor = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            cuts = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (salt[1:] != salt[:-1])])
+            taken = []
+            for lo, hi in zip(cuts, np.r_[cuts[1:], len(segment)], strict=True):
+                if at != (segment[lo], salt[lo]):
+                    at = (segment[lo], salt[lo])
+                    bits[:] = False
+                if kind[lo] == 0:
+                    bits[_places(b.column(b.schema.get_field_index("more"))[lo].as_py())] = True
+                    lo += 1
+                if lo < hi:
+                    hit = np.ones(hi - lo, bool)
+                    for c in _counters(anchor[lo:hi], sketch)[1]:
+                        hit &= bits[c]
+                    taken.append(lo + np.flatnonzero(hit))
+            if taken:
+                yield pa.RecordBatch.from_struct_array(pa.StructArray.from_arrays(b.columns[:6], names=b.schema.names[:6]).take(pa.array(np.concatenate(taken))))
+
+    cut = both.select(*[c.split()[0] for c in _RUN.split(", ")], "segment", "salt", "kind", "more").repartition("segment", "salt").sortWithinPartitions("segment", "salt", "kind")
+    return cut.mapInArrow(sift, _RUN)
 
 
 def run_pieces(docs: DataFrame, runs: DataFrame, span: int) -> DataFrame:
@@ -317,7 +400,23 @@ def _representatives(docs: DataFrame, classes: DataFrame, item: str, text: str,
     return texts.join(spare, "id", "left_anti")
 
 
-def shared_span_pairs(docs: DataFrame, item: str = "doc_id", text: str = "text", span: int = 200, sketch: Sketch = Sketch()) -> DataFrame:
+def class_pairs(docs: DataFrame, classes: DataFrame, item: str, text: str, span: int, sketch: Sketch | None, broadcast: int) -> DataFrame:
+    """Rows (ca, cb): classes of exact copies whose texts share a long span, each pair in one direction only."""
+    reps = _representatives(docs, classes, item, text, span)
+    runs = materialize(repeated_runs(reps, span, sketch or sketch_for(reps, span), False, broadcast), "repeated")
+    opening = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q"), F.min("s0").alias("s")).filter("a <> b AND (p <> q OR s = 0)").select("anchor")
+    pieces = materialize(run_pieces(reps, runs.join(opening, "anchor", "left_semi"), span), "pieces")
+    windows = materialize(piece_windows(pieces, span, False), "windows")
+    starts = windows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q")).filter("a <> b AND (p <> q OR p = -1)").select("h")
+    found = windows.join(starts, "h", "left_semi").select("id", "s0", "place", "before").distinct()
+    exact = found.join(pieces.select("id", "s0", "piece"), ["id", "s0"]).select("id", "before", F.expr(f"substring(piece, place - s0 + 1, {span})").alias("window")).filter(F.char_length("window") == span).distinct()
+    exact = materialize(exact.withColumn("h", F.xxhash64("window")), "starts")
+    x, y = exact.alias("x"), exact.alias("y")
+    unlike = (F.col("x.before") != F.col("y.before")) | (F.col("x.before") == -1)
+    return x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.window") == F.col("y.window")) & (F.col("x.id") < F.col("y.id")) & unlike).select(F.col("x.id").alias("ca"), F.col("y.id").alias("cb")).distinct()
+
+
+def shared_span_pairs(docs: DataFrame, item: str = "doc_id", text: str = "text", span: int = 200, sketch: Sketch | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """Rows (doc_id_a, doc_id_b), a < b: documents that share ``span`` or more consecutive code points.
 
     Exact copies are one text until the pairs are found. Of a stretch two texts share, only the first window makes
@@ -328,21 +427,11 @@ def shared_span_pairs(docs: DataFrame, item: str = "doc_id", text: str = "text",
 
     Null texts and those shorter than ``span`` share nothing; documents without id can't be named and give no row;
     repetition within a document is no pair, nor are rows repeated in full; one id with several texts pairs by any of
-    them; other columns aren't read.
+    them; other columns aren't read. ``sketch`` is sized by the texts unless given. Pairs grow with the square of the
+    texts that quote one passage; ``shared_span_classes`` tells the same without them.
     """
     classes = materialize(text_classes(docs, item, text, span), "classes")
-    reps = _representatives(docs, classes, item, text, span)
-    runs = materialize(repeated_runs(reps, span, sketch, False), "repeated")
-    opening = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q"), F.min("s0").alias("s")).filter("a <> b AND (p <> q OR s = 0)").select("anchor")
-    pieces = materialize(run_pieces(reps, runs.join(opening, "anchor", "left_semi"), span), "pieces")
-    windows = materialize(piece_windows(pieces, span, False), "windows")
-    starts = windows.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("before").alias("p"), F.max("before").alias("q")).filter("a <> b AND (p <> q OR p = -1)").select("h")
-    found = windows.join(starts, "h", "left_semi").select("id", "s0", "place", "before").distinct()
-    exact = found.join(pieces.select("id", "s0", "piece"), ["id", "s0"]).select("id", "before", F.expr(f"substring(piece, place - s0 + 1, {span})").alias("window")).filter(F.char_length("window") == span).distinct()
-    exact = materialize(exact.withColumn("h", F.xxhash64("window")), "starts")
-    x, y = exact.alias("x"), exact.alias("y")
-    unlike = (F.col("x.before") != F.col("y.before")) | (F.col("x.before") == -1)
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.window") == F.col("y.window")) & (F.col("x.id") < F.col("y.id")) & unlike).select(F.col("x.id").alias("ca"), F.col("y.id").alias("cb")).distinct()
+    pairs = class_pairs(docs, classes, item, text, span, sketch, broadcast)
     members = classes.select(F.col("class_id").alias("ca"), F.col("id").alias("ia"))
     partners = classes.select(F.col("class_id").alias("cb"), F.col("id").alias("ib"))
     across = pairs.join(members, "ca").join(partners, "cb").select("ia", "ib")
@@ -353,7 +442,18 @@ def shared_span_pairs(docs: DataFrame, item: str = "doc_id", text: str = "text",
     return both.select(F.least("ia", "ib").alias("doc_id_a"), F.greatest("ia", "ib").alias("doc_id_b")).distinct()
 
 
-def shared_share(docs: DataFrame, item: str = "doc_id", text: str = "text", span: int = 200, sketch: Sketch = Sketch()) -> DataFrame:
+def shared_span_classes(docs: DataFrame, item: str = "doc_id", text: str = "text", span: int = 200, sketch: Sketch | None = None, broadcast: int = BROADCAST) -> DataFrame:
+    """Rows (doc_id, class_id, copies, links): of every text of ``span`` or more code points its class of exact copies,
+    how many documents are in it, and how many other classes share a long span with it."""
+    classes = materialize(text_classes(docs, item, text, span), "classes")
+    pairs = class_pairs(docs, classes, item, text, span, sketch, broadcast)
+    ends = pairs.select(F.explode(F.array("ca", "cb")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    sizes = classes.groupBy("class_id").agg(F.count("*").alias("copies"))
+    out = classes.join(sizes, "class_id").join(ends, "class_id", "left")
+    return out.select(F.col("id").alias("doc_id"), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def shared_share(docs: DataFrame, item: str = "doc_id", text: str = "text", span: int = 200, sketch: Sketch | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """Rows (doc_id, class_id, n_chars, shared_chars): how much of each text stands elsewhere too.
 
     A code point counts if a window of ``span`` around it also occurs in another document; exact copies are shared
@@ -362,7 +462,7 @@ def shared_share(docs: DataFrame, item: str = "doc_id", text: str = "text", span
     """
     classes = materialize(text_classes(docs, item, text, span), "classes")
     reps = _representatives(docs, classes, item, text, span)
-    runs = materialize(repeated_runs(reps, span, sketch, True), "repeated")
+    runs = materialize(repeated_runs(reps, span, sketch or sketch_for(reps, span), True, broadcast), "repeated")
     two = lambda df, key: df.groupBy(*key).agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select(*key)
     # A run that another text repeats as a whole is shared from end to end. Windows are listed for anchors that are
     # repeated and have a run of which that can't be said; for these anchors all runs are needed.

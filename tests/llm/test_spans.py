@@ -3,10 +3,10 @@ import random
 import numpy as np
 import pytest
 
-from siltstone.llm.spans import Sketch, _gram_hash, _sliding_min, shared_share, shared_span_pairs
+from siltstone.llm.spans import Sketch, _gram_hash, _sliding_min, repeated_runs, shared_share, shared_span_classes, shared_span_pairs, sketch_for
 
 SCHEMA = "doc_id bigint, text string, id string, h int, place string"
-SMALL = Sketch(20, 2)
+SMALL = Sketch(4, 16)
 
 
 def frame(spark, texts):
@@ -29,11 +29,11 @@ def brute(texts, span):
     return pairs, cover
 
 
-def check(spark, texts, span, sketch=SMALL):
+def check(spark, texts, span, sketch=SMALL, broadcast=1 << 20):
     pairs, cover = brute(texts, span)
-    got = [tuple(r) for r in shared_span_pairs(frame(spark, texts), span=span, sketch=sketch).collect()]
+    got = [tuple(r) for r in shared_span_pairs(frame(spark, texts), span=span, sketch=sketch, broadcast=broadcast).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
-    share = {r.doc_id: r.shared_chars for r in shared_share(frame(spark, texts), span=span, sketch=sketch).collect()}
+    share = {r.doc_id: r.shared_chars for r in shared_share(frame(spark, texts), span=span, sketch=sketch, broadcast=broadcast).collect()}
     assert share == {i: c for i, c in cover.items() if i is not None and dict(texts)[i] is not None}
 
 
@@ -49,6 +49,10 @@ def test_random_quotes(spark):
         texts.append((i, "".join(parts)))
     texts += [(500, texts[3][1]), (501, texts[3][1]), (502, ""), (503, "short"), (504, None), (505, "ab" * 300), (506, "ba" * 200), (507, "a" * 400), (508, "a" * 20), (509, "a" * 19)]
     check(spark, texts, 20)
+    check(spark, texts, 20, broadcast=0)  # the sketch stays cut by hash
+    check(spark, texts, 20, sketch=None)
+    copies = {r.doc_id: (r.class_id, r.copies) for r in shared_span_classes(frame(spark, texts), span=20, sketch=SMALL).collect()}
+    assert copies[500] == copies[501] == (3, 3) and 503 not in copies and copies[507] == (507, 1)
 
 
 @pytest.mark.parametrize("shared", [199, 200, 201])
@@ -65,7 +69,7 @@ def test_saturated_sketch_loses_nothing(spark):
     rnd = random.Random(9)
     words = ["alpha ", "beta ", "gamma ", "delta\n"]
     texts = [(i, "".join(rnd.choice(words) for _ in range(60))) for i in range(60)]
-    check(spark, texts, 20, Sketch(4, 1))
+    check(spark, texts, 20, Sketch(1, 4, 1))
 
 
 def test_stock_line_case_space_and_repeats(spark):
@@ -90,3 +94,16 @@ def test_hashes_follow_content():
             assert len(h) == 1000 - k + 1 and (h[: 500 - k + 1] == h[500 : 1000 - k + 1]).all() and len(np.unique(h[:400])) == 400
     for w in (1, 2, 3, 100):
         assert (_sliding_min(a, w) == [a[i : i + w].min() for i in range(500 - w + 1)]).all()
+
+
+def test_sketch_grows_with_the_input(spark):
+    rnd = random.Random(1)
+    alone = lambda n: [(i, "".join(chr(rnd.randrange(97, 123)) for _ in range(2000))) for i in range(n)]
+    passed = []
+    for n in (50, 500):
+        docs = frame(spark, alone(n)).selectExpr("doc_id AS id", "text")
+        sketch = sketch_for(docs, 200, 1)
+        assert sketch.merged_bytes <= 3 << 18
+        passed.append(repeated_runs(docs, 200, Sketch(sketch.segments, 13 if n == 50 else 16), True).count() / n)
+    assert sketch_for(docs.limit(0), 200) == Sketch(1, 18)
+    assert max(passed) < 2  # of about thirty-five runs a text
