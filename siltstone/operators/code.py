@@ -1,22 +1,21 @@
 """Facts read from program text: calls, memory accesses, loops, map files, fenced blocks.
 
-Patterns that no later match depends on are built-in expressions; accesses, whose patterns claim spans in turn, and
-arguments and conditions, whose parentheses must balance, are parsed in Arrow batches.
+Patterns that no later match depends on are built-in expressions; accesses, loops, stores, arguments and conditions,
+whose brackets must balance, are read in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import ctext
 from siltstone.functions.words import stripped
 
-# Sizes of the types that a decompiler writes.
-WIDTHS = {"char": 1, "byte": 1, "uchar": 1, "uint8_t": 1, "int8_t": 1, "undefined1": 1, "bool": 1, "short": 2, "ushort": 2, "uint16_t": 2, "int16_t": 2, "undefined2": 2, "int": 4, "uint": 4, "uint32_t": 4, "int32_t": 4, "undefined4": 4, "undefined8": 8, "uint64_t": 8, "longlong": 8}
 # Words before a parenthesis that are no calls.
 KEYWORDS = ("if", "while", "for", "switch", "return", "sizeof", "else", "do")
 
@@ -58,11 +57,6 @@ def json_payload(text: Column) -> Column:
     return F.coalesce(valid(whole), valid(fenced), valid(braces))
 
 
-def loop_bound(header: Column) -> Column:
-    """What a loop header compares its counter with: the side behind the first ``<``, ``<=``, ``!=``, ``>`` or ``>=``."""
-    return F.nullif(stripped(F.regexp_extract(header, r"(?:<=?|!=|>=?)[ \t]*([^;&|)]+)", 1)), F.lit(""))
-
-
 def literal_clusters(text: Column, low: int, high: int, bits: int) -> Column:
     """The different address clusters that hexadecimal literals of a text name between ``low`` and ``high``."""
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"0x([0-9a-fA-F]{5,8})(?![0-9a-fA-F])"), 1), lambda h: F.conv(h, 16, 10).cast("bigint"))
@@ -70,13 +64,73 @@ def literal_clusters(text: Column, low: int, high: int, bits: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(inside, lambda n: n.bitwiseAND(F.lit(0xFFFFFFFF & ~((1 << bits) - 1))))))
 
 
-def loop_headers(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, header, bound, bound_is_constant, body) of one-line ``for`` loops."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"for \([^;\n]*;[^;\n]*;[^\n{]*\) \{[^}\n]*\}"), 0)
-    rows = df.select(key, F.explode(found).alias("loop"))
-    header = F.regexp_extract("loop", r"^for \(([^{]*)\) \{", 1)
-    bound = loop_bound(F.split("loop", ";")[1])
-    return rows.select(key, header.alias("header"), bound.alias("bound"), F.coalesce(bound.rlike("^(0x[0-9a-fA-F]+|[0-9]+)$"), F.lit(False)).alias("bound_is_constant"), stripped(F.regexp_extract("loop", r"\{([^}]*)\}", 1)).alias("body"))
+def text_rows(df: DataFrame, keys: Sequence[str], text: str, schema: str, rows: Callable[[str], list[tuple]]) -> DataFrame:
+    """The ``keys`` of ``df`` beside every row that ``rows`` reads from its text; null texts are empty."""
+    own = df.select(*keys, text).schema
+    kinds = [f"`{k}` {own[k].dataType.simpleString()}" for k in keys]
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [_ARROW[c.split()[1]] for c in schema.split(", ")]
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            owner: list[int] = []
+            for i, t in enumerate(b.column(n)):
+                found = rows(t.as_py() or "")
+                out += found
+                owner += [i] * len(found)
+                if len(out) > 50_000:
+                    yield batch(b, owner, out)
+                    out, owner = [], []
+            if out:
+                yield batch(b, owner, out)
+
+    def batch(b: pa.RecordBatch, owner: list[int], out: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(owner, pa.int32())
+        return pa.RecordBatch.from_arrays([*[b.column(i).take(at) for i in range(n)], *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]], [*keys, *names])
+
+    return df.select(*keys, text).mapInArrow(run, ", ".join(kinds + [schema]))
+
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+LOOP_SCHEMA = "line_no int, loop_kind string, header string, bound string, bound_is_constant boolean, store_expr string, index_expr string, copy_dst string, copy_src string, body string, last_line int, braced boolean"
+
+
+def loops(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """A row per ``for``, ``while`` and ``do`` loop: its head and bound, the first store in its body whose place isn't a
+    constant, the operands of its first copy of element to element, and the body."""
+
+    def rows(t: str) -> list[tuple]:
+        if "for" not in t and "while" not in t and "do" not in t:
+            return []
+        return [(x.line, x.kind, x.header, x.bound, x.constant, x.store, x.index, x.copy_dst, x.copy_src, x.body, x.last_line, x.braced) for x in ctext.loops(ctext.read(t))]
+
+    return text_rows(df, keys, text, LOOP_SCHEMA, rows)
+
+
+def pointer_stores(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Rows (keys, line_no, base, form, own_update, is_parameter): stores through named pointers, see
+    :func:`siltstone.functions.ctext.pointer_stores`; a parameter is one declared with a star in the text, or generated."""
+
+    def rows(t: str) -> list[tuple]:
+        if "=" not in t:
+            return []
+        c = ctext.read(t)
+        known = {p for ps in ctext.pointer_parameters(c).values() for p in ps}
+        return [(*r, r[1] in known or r[1].startswith("param_")) for r in ctext.pointer_stores(c)]
+
+    return text_rows(df, keys, text, "line_no int, base string, form string, own_update boolean, is_parameter boolean", rows)
+
+
+def clamps(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Rows (keys, line_no, variable, clamp): values kept within a bound."""
+    return text_rows(df, keys, text, "line_no int, variable string, clamp string", lambda t: ctext.clamps(ctext.read(t)) if "=" in t else [])
+
+
+def array_extents(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Rows (keys, name, extent): arrays declared in the text."""
+    return text_rows(df, keys, text, "name string, extent string", lambda t: ctext.arrays(ctext.read(t)) if "[" in t else [])
 
 
 _CONDITION = re.compile(r"\b(if|while|for)[ \t]*\(")
@@ -85,13 +139,15 @@ _CONDITION_TOKEN = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|([(\[{])
 _NEGATED = {"<": ">=", ">=": "<", ">": "<=", "<=": ">", "==": "!=", "!=": "=="}
 
 
-def _closing(line: str, start: int) -> int:
-    """The place of the parenthesis that closes the one before ``start``, -1 if the line doesn't hold it."""
+def _closing(text: str, start: int, stops: str = "{}") -> int:
+    """The place of the parenthesis that closes the one before ``start``, -1 if one of ``stops`` or the end comes first."""
     depth = 1
-    for m in _CONDITION_TOKEN.finditer(line, start):
+    for m in _CONDITION_TOKEN.finditer(text, start):
         depth += (m[0] == "(") - (m[0] == ")")
         if not depth:
             return m.start()
+        if m[0] in stops:
+            return -1
     return -1
 
 
@@ -125,7 +181,7 @@ def comparisons(condition: str, negated: bool = False) -> list[tuple[str, str, s
 
 def guards(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, at, keyword, condition, left, operator, right) of the comparisons in ``if``, ``while`` and ``for``
-    conditions whose parentheses balance on their line; of a ``for`` the middle part is the condition."""
+    conditions whose parentheses balance before a block or statement ends; of a ``for`` the middle part counts."""
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, at int, keyword string, condition string, left string, operator string, right string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +189,10 @@ def guards(df: DataFrame, key: str, text: str) -> DataFrame:
             cols: list[list] = [[] for _ in range(7)]
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for m in _CONDITION.finditer(t or ""):
-                    line_end = t.find("\n", m.end())
-                    line = t[m.end() : line_end if line_end >= 0 else len(t)]
-                    end = _closing(line, 0)
+                    end = _closing(t, m.end(), "{}" if m[1] == "for" else "{};")
                     if end < 0:
                         continue
-                    condition = line[:end]
+                    condition = t[m.end() : end]
                     if m[1] == "for":
                         parts = condition.split(";")
                         condition = parts[1] if len(parts) == 3 else ""
@@ -151,104 +205,28 @@ def guards(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-_ACCESS = [
-    ("cast", re.compile(r"\*\s*\(\s*(?:volatile\s+)?(\w+)\s*\*\s*\)\s*\(?\s*(0x[0-9a-fA-F]{5,8})")),
-    ("pointer", re.compile(r"\*\s*\(\s*(?:volatile\s+)?(\w+)\s*\*\s*\)\s*\(\s*(\w+)\s*\+\s*(0x[0-9a-fA-F]+|\d+)\s*\)")),
-    ("data", re.compile(r"\b_?DAT_([0-9a-fA-F]{8})\b")),
-]
-ACCESS_SCHEMA = "line_no int, kind string, shape string, width int, base string, target bigint"
+ACCESS_SCHEMA = "seq int, line_no int, kind string, shape string, base_provenance string, width int, base string, number bigint"
 
 
-def _assigned(line: str, end: int) -> str:
-    """Whether what ends at ``end`` is loaded, stored or both, by the operator that follows it."""
-    rest = line[end:].lstrip(" )")
-    if re.match(r"(?:[+\-*/%&|^]|<<|>>)=", rest):
-        return "both"
-    return "store" if re.match(r"=(?!=)", rest) else "load"
+def memory_accesses(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Rows (keys, seq, line_no, kind, shape, base_provenance, width, base, number) of all accesses in program text, see
+    :func:`siltstone.functions.ctext.accesses`; seq numbers a text's accesses in order."""
 
+    def rows(t: str) -> list[tuple]:
+        if "*" not in t and "DAT_" not in t and "[" not in t:
+            return []
+        return [(i, *r) for i, r in enumerate(ctext.accesses(ctext.read(t)))]
 
-def line_accesses(line: str) -> list[tuple[str, str, int, str | None, int | None]]:
-    """(kind, shape, width, base, target) of a line's memory accesses; of overlapping matches the earlier shape wins."""
-    taken: list[tuple[int, int]] = []
-    found = []
-    code = line.split("//")[0]
-    if code.lstrip().startswith(("#", "* ", "/*")):
-        return []
-    for shape, pattern in _ACCESS:
-        for m in pattern.finditer(code):
-            if any(m.start() < hi and lo < m.end() for lo, hi in taken):
-                continue
-            taken.append(m.span())
-            if shape == "cast":
-                width, base, target = WIDTHS.get(m[1], 4), None, int(m[2], 16)
-            elif shape == "pointer":
-                width, base, target = WIDTHS.get(m[1], 4), m[2], int(m[3], 0)
-            else:
-                width, base, target = 4, None, int(m[1], 16)
-            kind = _assigned(code, m.end())
-            found.append((m.start(), [(k, shape, width, base, target) for k in (("load", "store") if kind == "both" else (kind,))]))
-    return [x for _, xs in sorted(found, key=lambda f: f[0]) for x in xs]
-
-
-def memory_accesses(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, line_no, kind, shape, width, base, target) of all accesses in program text."""
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, {ACCESS_SCHEMA}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for no, line in enumerate((t or "").split("\n")):
-                    if "*" not in line and "DAT_" not in line:
-                        continue
-                    for row in line_accesses(line):
-                        for c, v in zip(cols, (k, no, *row), strict=True):
-                            c.append(v)
-            types = [b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [key, "line_no", "kind", "shape", "width", "base", "target"])
-
-    return df.select(key, text).mapInArrow(run, schema)
+    return text_rows(df, keys, text, ACCESS_SCHEMA, rows)
 
 
-def split_arguments(text: str) -> list[str]:
-    """Arguments at the outer level: commas within brackets and quotes don't part them."""
-    parts, depth, start, quote = [], 0, 0, ""
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote and text[i - 1] != "\\" else quote
-        elif c in "\"'":
-            quote = c
-        elif c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        elif c == "," and depth == 0:
-            parts.append(text[start:i].strip())
-            start = i + 1
-    tail = text[start:].strip()
-    return [*parts, tail] if tail or parts else []
-
-
-def call_arguments(df: DataFrame, key: str, text: str, callees: Sequence[str] = ()) -> DataFrame:
-    """Rows (key, callee, at, args): every call of ``callees``, or of any name but a keyword, whose parentheses
-    balance, with its arguments."""
-    pattern = re.compile(r"\b(" + ("|".join(map(re.escape, callees)) or rf"(?!(?:{'|'.join(KEYWORDS)})\b)[A-Za-z_]\w*") + r")\s*\(")
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, callee string, at int, args array<string>"
+def call_arguments(df: DataFrame, keys: Sequence[str], text: str, callees: Sequence[str] = ()) -> DataFrame:
+    """Rows (keys, at, line_no, callee, args): every call of ``callees``, or of any name but a keyword, whose parentheses
+    balance, with its arguments. A definition's head reads as a call of its own name."""
+    names = frozenset(callees) or None
+    return text_rows(df, keys, text, "at int, line_no int, callee string, args array<string>", lambda t: ctext.calls(ctext.read(t), names) if "(" in t else [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, names, places, args = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for m in pattern.finditer(t or ""):
-                    depth, i = 1, m.end()
-                    while i < len(t) and depth:
-                        depth += (t[i] == "(") - (t[i] == ")")
-                        i += 1
-                    if depth == 0:
-                        keys.append(k)
-                        names.append(m[1])
-                        places.append(m.start())
-                        args.append(split_arguments(t[m.end() : i - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(names, pa.string()), pa.array(places, pa.int32()), pa.array(args, pa.list_(pa.string()))], [key, "callee", "at", "args"])
 
-    return df.select(key, text).mapInArrow(run, schema)
+def definitions(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Rows (keys, line_no, function_name, code): the functions a text defines, each with its own text."""
+    return text_rows(df, keys, text, "line_no int, function_name string, code string", lambda t: ctext.definitions(ctext.read(t)) if "{" in t else [])

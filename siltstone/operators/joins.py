@@ -75,3 +75,13 @@ def override(base: DataFrame, external: DataFrame, key: str) -> DataFrame:
     """All rows of ``external``, and those of ``base`` whose key it lacks, with ``origin``."""
     rest = base.join(external.select(key), key, "left_anti").withColumn("origin", F.lit("base"))
     return external.withColumn("origin", F.lit("external")).unionByName(rest, allowMissingColumns=True)
+
+
+def members(df: DataFrame, column: str, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``column`` some row of ``others`` has as ``key``."""
+    return df.join(others.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_semi")
+
+
+def strangers(df: DataFrame, column: str, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``column`` no row of ``others`` has as ``key``; a null is nobody's key."""
+    return df.join(others.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")

@@ -43,6 +43,18 @@ def union_of_sets(frames: Sequence[DataFrame], keys: Sequence[str], sets: Sequen
     return all_rows.groupBy(*keys).agg(*aggs)
 
 
+def tagged_union(frames: dict[str, DataFrame], tag: str) -> DataFrame:
+    """All rows of all ``frames`` with the name of theirs in ``tag``. Columns only some have are null elsewhere; a column
+    that has unlike types is text."""
+    kinds: dict[str, set[str]] = {}
+    for f in frames.values():
+        for c in f.schema:
+            kinds.setdefault(c.name, set()).add(c.dataType.simpleString())
+    mixed = {n for n, k in kinds.items() if len(k) > 1}
+    parts = [f.select(F.lit(name).alias(tag), *[F.col(c).cast("string").alias(c) if c in mixed else F.col(c) for c in f.columns if c != tag]) for name, f in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def ordered_union(a: Column, b: Column) -> Column:
     """The elements of ``a``, then those of ``b`` that it lacks, each once; null lists are empty."""
     empty = lambda c: F.coalesce(c, F.array().cast("array<string>"))

@@ -10,52 +10,51 @@ from pyspark.sql import functions as F
 from siltstone.functions.firmware import cluster, hex_address
 from siltstone.operators.ranking import islands
 
-SITES = 24
 
 
-def sram_objects(accesses: DataFrame, symbols: DataFrame, bits: int = 8) -> DataFrame:
+def sram_objects(accesses: DataFrame, symbols: DataFrame, bits: int = 8, sites: int | None = None) -> DataFrame:
     """A row per binary and cluster of SRAM that is accessed or has a symbol.
 
     ``accesses``: binary_id, seq, target_addr, kind, function_name, in_isr. ``symbols``: binary_id, symbol, address.
-    Contexts and functions are sets; of sites the first ``SITES`` by seq stay, which is what the report shows; they
-    are cut before the aggregation gathers them, so a crowded cluster sends no long lists.
+    An object's range is its cluster. Contexts and functions are sets; sites are all of them, or the first ``sites`` of
+    each kind by seq, cut before the aggregation gathers them.
     """
     sram = lambda c: F.col(c).between(0x20000000, 0x3FFFFFFF)
     a = accesses.filter(sram("target_addr")).withColumn("cluster", cluster(F.col("target_addr"), bits)).withColumn("context", F.when(F.col("in_isr"), "ISR").otherwise("MAIN"))
-    first = F.row_number().over(Window.partitionBy("binary_id", "cluster", "kind").orderBy("seq"))
     store, load = F.col("kind") == "store", F.col("kind") == "load"
-    site = F.when(F.col("_at") <= SITES, F.struct("seq", "function_name", "context", "target_addr"))
-    uses = a.withColumn("_at", first).groupBy("binary_id", "cluster").agg(
+    site = F.struct("seq", "function_name", "context", "target_addr")
+    if sites is not None:
+        a = a.withColumn("_at", F.row_number().over(Window.partitionBy("binary_id", "cluster", "kind").orderBy("seq")))
+        site = F.when(F.col("_at") <= sites, site)
+    uses = a.groupBy("binary_id", "cluster").agg(
         F.array_sort(F.collect_set(F.when(store, F.col("context")))).alias("producer_contexts"),
         F.array_sort(F.collect_set(F.when(load, F.col("context")))).alias("consumer_contexts"),
         F.array_sort(F.collect_list(F.when(store, site))).alias("writer_sites"),
         F.array_sort(F.collect_list(F.when(load, site))).alias("reader_sites"),
         F.countDistinct(F.when(store, F.col("function_name"))).alias("writers"),
         F.countDistinct(F.when(load, F.col("function_name"))).alias("readers"),
-        F.min("target_addr").alias("lo"), F.max("target_addr").alias("hi"),
     )
     names = symbols.filter(sram("address")).groupBy("binary_id", cluster(F.col("address"), bits).alias("cluster")).agg(F.array_sort(F.collect_set("symbol")).alias("members"))
     both = uses.join(names, ["binary_id", "cluster"], "full_outer")
     ident = F.concat(F.lit("obj_sram_"), F.substring(hex_address(F.col("cluster")), 3, 8))
-    return both.select("binary_id", ident.alias("object_id"), F.coalesce("lo", "cluster").alias("addr_lo"), F.coalesce("hi", F.col("cluster") + (1 << bits) - 1).alias("addr_hi"), *[F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("producer_contexts", "consumer_contexts", "writer_sites", "reader_sites", "members")], F.coalesce("writers", F.lit(0)).alias("writers"), F.coalesce("readers", F.lit(0)).alias("readers"))
+    return both.select("binary_id", ident.alias("object_id"), F.col("cluster").alias("addr_lo"), (F.col("cluster") + (1 << bits) - 1).alias("addr_hi"), *[F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("producer_contexts", "consumer_contexts", "writer_sites", "reader_sites", "members")], F.coalesce("writers", F.lit(0)).alias("writers"), F.coalesce("readers", F.lit(0)).alias("readers"))
 
 
 def context_edges(objects: DataFrame, quality: Column, k: int) -> DataFrame:
-    """The ``k`` best edges per binary from a producer to another consumer context through an object.
+    """The ``k`` best edges per object from a producer to another consumer context through it.
 
     Contexts of one object are a handful of fixed names, so exploding both lists is bounded.
     """
     rows = objects.withColumn("score", quality).select("binary_id", "object_id", "score", F.explode("producer_contexts").alias("src_context"), "consumer_contexts").select("binary_id", "object_id", "score", "src_context", F.explode("consumer_contexts").alias("dst_context")).filter("src_context <> dst_context")
-    w = Window.partitionBy("binary_id").orderBy(F.desc("score"), "object_id", "src_context", "dst_context")
+    w = Window.partitionBy("binary_id", "object_id").orderBy(F.desc("score"), "src_context", "dst_context")
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
 def covered_slices(accesses: DataFrame, keys: Sequence[str], lo: Column, hi: Column, gap: int = 0x20) -> DataFrame:
     """Islands of accessed bytes and, per key, which share of the whole extent they cover."""
     found = islands(accesses, keys, lo, hi, F.lit(gap))
-    w = Window.partitionBy(*keys)
-    extent = F.max("hi").over(w) - F.min("lo").over(w) + 1
-    return found.withColumn("coverage", F.sum(F.col("hi") - F.col("lo") + 1).over(w) / extent)
+    whole = found.groupBy(*keys).agg((F.sum(F.col("hi") - F.col("lo") + 1) / (F.max("hi") - F.min("lo") + 1)).alias("coverage"))
+    return found.join(whole, list(keys))
 
 
 def split_by_members(objects: DataFrame, is_control: Column) -> DataFrame:

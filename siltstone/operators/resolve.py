@@ -10,8 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import ctext
 from siltstone.functions.firmware import is_peripheral
-from siltstone.operators.code import WIDTHS
+from siltstone.operators.code import text_rows
+from siltstone.functions.ctext import WIDTHS
 
 _HEX = lambda c: F.conv(F.regexp_replace(c, "^0[xX]", ""), 16, 10).cast("bigint")
 
@@ -30,17 +32,47 @@ def width(c: Column) -> Column:
     return F.coalesce(*[F.when(c == t, F.lit(n)) for t, n in WIDTHS.items()], F.lit(4))
 
 
-def base_assignments(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Rows (keys, var, value): the last peripheral address literal each variable is assigned."""
-    pattern = r"([A-Za-z_][A-Za-z0-9_]*) = [^;=\n]*0x([0-9a-fA-F]{8})[^;\n]*;"
-    rows = _matches(df, keys, text, pattern).select(*keys, "no", F.regexp_extract("m", pattern, 1).alias("var"), _HEX(F.regexp_extract("m", pattern, 2)).alias("value"))
-    return rows.filter(is_peripheral(F.col("value"))).groupBy(*keys, "var").agg(F.max_by("value", "no").alias("value"))
+def is_mask(value: Column, text: Column, before: Column) -> Column:
+    """Whether a 32-bit constant is a mask and no address: ones, then at least four zeros, and an ``&`` in ``before``, the
+    text in front of it."""
+    low = value.bitwiseXOR(F.lit(0xFFFFFFFF))
+    shape = (value >= 0xFFFF0000) & (low >= 15) & (low.bitwiseAND(low + 1) == 0)
+    return shape & F.right(before, F.lit(40)).contains("&")
 
 
-def offset_accesses(accesses: DataFrame, bases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Accesses of shape ``pointer`` whose base variable is known, their offset made an address."""
-    hit = accesses.filter("shape = 'pointer'").join(bases.withColumnRenamed("var", "base"), [*keys, "base"])
-    return hit.withColumn("target", F.col("target") + F.col("value")).drop("value").filter(is_peripheral(F.col("target")))
+def base_assignments(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """Rows (keys, var, value): the last peripheral address literal each variable is assigned; masks don't count."""
+    pattern = r"([A-Za-z_][A-Za-z0-9_]*)\s*=(?!=)([^;=\n]*)0[xX]([0-9a-fA-F]{8})(?![0-9a-fA-F])[^;\n]*;"
+    part = lambda i: F.regexp_extract("m", pattern, i)
+    rows = _matches(df, keys, text, pattern).select(*keys, "no", part(1).alias("var"), _HEX(part(3)).alias("value"), part(2).alias("_before"))
+    rows = rows.filter(is_peripheral(F.col("value")) & ~is_mask(F.col("value"), F.col("_before"), F.col("_before")))
+    return rows.groupBy(*keys, "var").agg(F.max_by("value", "no").alias("value"))
+
+
+def resolved_accesses(accesses: DataFrame, keys: Sequence[str], bases: DataFrame, symbols: DataFrame | None = None, symbol_keys: Sequence[str] = ()) -> DataFrame:
+    """Accesses with ``target_addr``: the number of constants and data labels; base + offset below 0x1000 where the base
+    variable was assigned an address (INTRA_RESOLVED); the address of a symbol (``symbols``: symbol_keys, symbol, address)
+    whose element or neighbourhood is accessed (GLOBAL_PTR). Elements of names that are no symbols are left out."""
+    b = bases.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.col("var").alias("_var"), F.col("value").alias("_value"))
+    same = F.col("base") == F.col("_var")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_b{i}"))
+    out = accesses.join(b, same, "left").drop("_var", *[f"_b{i}" for i in range(len(keys))])
+    intra = (F.col("shape") == "pointer") & F.col("_value").isNotNull() & F.col("number").between(0, 0xFFF)
+    known = F.col("base_provenance").isin("CONST", "GLOBAL_PTR")
+    if symbols is None:
+        address = F.lit(None).cast("bigint")
+    else:
+        names = symbols.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(symbol_keys)], F.col("symbol").alias("_symbol")).agg(F.min("address").alias("_address"))
+        named = F.col("base") == F.col("_symbol")
+        for i, k in enumerate(symbol_keys):
+            named = named & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+        out = out.join(names, named, "left").drop("_symbol", *[f"_s{i}" for i in range(len(symbol_keys))])
+        address = F.when(F.col("shape").isin("element", "pointer"), F.col("_address"))
+    target = F.when(known, F.col("number")).when(intra, F.col("_value") + F.col("number")).otherwise(address)
+    provenance = F.when(intra, "INTRA_RESOLVED").when(~known & address.isNotNull(), "GLOBAL_PTR").otherwise(F.col("base_provenance"))
+    out = out.withColumn("target_addr", target).withColumn("base_provenance", provenance)
+    return out.filter((F.col("shape") != "element") | F.col("target_addr").isNotNull()).drop("_value", "_address")
 
 
 def typed_bases(df: DataFrame, keys: Sequence[str], text: str, known: DataFrame) -> DataFrame:
@@ -58,9 +90,38 @@ def field_accesses(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return u.join(d, [*keys, "var"]).select(*keys, "var", "type", "field", "n")
 
 
+def field_uses(df: DataFrame, keys: Sequence[str], text: str, handles: DataFrame | None = None) -> DataFrame:
+    """Rows (keys, line_no, kind, var, type, field): loads and stores of ``var->field`` and, by way of a handle whose type
+    ``handles`` (handle_type, type) knows, of ``var->Instance->field``. Suffixes that tell conflicting copies of a type
+    apart are taken off."""
+
+    def rows(t: str) -> list[tuple]:
+        return ctext.field_uses(ctext.read(t)) if "->" in t else []
+
+    used = text_rows(df, keys, text, "line_no int, kind string, var string, type string, field string, by_handle boolean", rows)
+    used = used.withColumn("type", plain_type(F.col("type")))
+    if handles is None:
+        return used.filter("NOT by_handle").drop("by_handle")
+    known = handles.select(F.col("handle_type").alias("_h"), F.col("type").alias("_of")).distinct()
+    both = used.join(known, F.col("by_handle") & (F.col("type") == F.col("_h")), "left").filter("NOT by_handle OR _of IS NOT NULL")
+    return both.withColumn("type", F.coalesce("_of", "type")).drop("_h", "_of", "by_handle")
+
+
+def plain_type(name: Column) -> Column:
+    """A type's name without the suffix that tells conflicting copies apart."""
+    return F.regexp_replace(name, "_conflict[0-9]*$", "")
+
+
 def struct_targets(fields: DataFrame, bases: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Field uses with the address of every base of their type: type and field give the offset."""
-    return fields.join(bases, [*keys, "type"]).join(offsets.select("type", "field", "offset"), ["type", "field"]).withColumn("target", F.col("base") + F.col("offset"))
+    """Field uses with the address of every base of their type: type and field give the offset. ``offsets`` is a catalogue
+    (type, field, offset), unique by type and field."""
+    return fields.join(bases.select(*keys, "type", "base").distinct(), [*keys, "type"]).join(offsets.select("type", "field", "offset"), ["type", "field"]).withColumn("target", F.col("base") + F.col("offset"))
+
+
+def field_at(df: DataFrame, offsets: DataFrame, type_of: str, offset_of: str) -> DataFrame:
+    """``df`` with ``field``: the first field by name that a type has at an offset, null where it has none."""
+    names = offsets.groupBy(F.col("type").alias("_t"), F.col("offset").alias("_o")).agg(F.min("field").alias("field"))
+    return df.join(names, (F.col(type_of) == F.col("_t")) & (F.col(offset_of) == F.col("_o")), "left").drop("_t", "_o")
 
 
 def parameter_derefs(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
@@ -110,16 +171,16 @@ def bind_parameters(derefs: DataFrame, calls: DataFrame, keys: Sequence[str], wo
     return one.drop("_value", "arg").filter(is_peripheral(F.col("target"))).distinct()
 
 
-def forwarded_calls(calls: DataFrame, keys: Sequence[str], most: int = 20) -> DataFrame:
+def forwarded_calls(calls: DataFrame, keys: Sequence[str], most: int | None = None) -> DataFrame:
     """Calls as seen from one caller further up: an argument that is the caller's own parameter is replaced by what its
-    callers pass, for the first ``most`` callers by name."""
+    callers pass; of the callers all count, or the first ``most`` by name."""
     up = calls.select(*keys, F.col("caller").alias("_up"), F.col("callee").alias("caller"), F.col("args").alias("_up_args"))
     both = calls.join(up, [*keys, "caller"]).filter(F.exists("args", lambda a: argument_kind(a) == "parameter"))
     place = lambda a: F.regexp_extract(a, "param_([0-9]+)", 1)
     passed = F.transform("args", lambda a: F.when(argument_kind(a) == "parameter", F.get(F.col("_up_args"), F.coalesce(F.try_to_number(F.nullif(place(a), F.lit("")), F.lit("999")).cast("int"), F.lit(1)) - 1)).otherwise(a))
     from siltstone.operators.ranking import top_k
 
-    kept = top_k(both, [*keys, "caller", "callee"], ["_up"], most)
+    kept = both if most is None else top_k(both, [*keys, "caller", "callee"], ["_up"], most)
     return kept.select(*keys, F.col("_up").alias("caller"), "callee", passed.alias("args"))
 
 
@@ -140,16 +201,6 @@ def indirect_calls(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return out
 
 
-def clamps(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Rows (keys, var, bound): ``if (var > bound) { var = bound; }`` and ``var = min(var, bound)``."""
-    cond = r"if \(([A-Za-z_][A-Za-z0-9_]*) >=? ([^()\n]+)\) \{ ([A-Za-z_][A-Za-z0-9_]*) = ([^;\n]+); \}"
-    least = r"([A-Za-z_][A-Za-z0-9_]*) = (?:min|MIN)\(([A-Za-z_][A-Za-z0-9_]*), ([^;\n]+)\);"
-    g = lambda p, i: F.regexp_extract("m", p, i)
-    a = _matches(df, keys, text, cond).filter((g(cond, 1) == g(cond, 3)) & (g(cond, 2) == g(cond, 4))).select(*keys, g(cond, 1).alias("var"), g(cond, 2).alias("bound"))
-    b = _matches(df, keys, text, least).filter(g(least, 1) == g(least, 2)).select(*keys, g(least, 1).alias("var"), g(least, 3).alias("bound"))
-    return a.unionByName(b).distinct()
-
-
 def constant_formats(calls: DataFrame, formats: dict[str, int]) -> DataFrame:
     """Per caller and printing function whether every call passes a literal at the format's place."""
     at = F.coalesce(*[F.when(F.col("callee") == f, F.lit(i)) for f, i in formats.items()])

@@ -36,9 +36,9 @@ def access_kinds(df: DataFrame, keys: Sequence[str], is_load: Column) -> DataFra
     return df.groupBy(*keys).agg(some.alias("kind"))
 
 
-def histogram(df: DataFrame, column: str, unknown: str = "unknown") -> DataFrame:
+def histogram(df: DataFrame, column: str, unknown: str = "unknown", by: Sequence[str] = ()) -> DataFrame:
     """Counts per value as text, null counted as ``unknown``."""
-    return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(unknown)).alias("value")).agg(F.count("*").alias("n"))
+    return df.groupBy(*by, F.coalesce(F.col(column).cast("string"), F.lit(unknown)).alias("value")).agg(F.count("*").alias("n"))
 
 
 def micro_average(df: DataFrame, by: Sequence[str], tp: str, fp: str, fn: str) -> DataFrame:
@@ -66,3 +66,21 @@ def strongest(df: DataFrame, keys: Sequence[str], strength: str, order: Sequence
     rank = F.coalesce(*[F.when(F.col(strength) == v, F.lit(len(order) - i)) for i, v in enumerate(order)], F.lit(0))
     best = F.max(F.struct(rank.alias("r"), (-F.col(at)).alias("a"), F.col(strength).alias("v"), F.col(at).alias("t")))
     return df.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.v").alias(strength), F.col("b.t").alias(at))
+
+
+def share_gate(df: DataFrame, group: str, flag: Column, least: float) -> DataFrame:
+    """The flagged rows of groups in which at least the share ``least`` of all rows is flagged, with that ``ratio``; null is
+    a group."""
+    rows = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    share = rows.groupBy(F.col(group).alias("_g")).agg(F.avg(F.when(F.col("_flag"), 1.0).otherwise(0.0)).alias("ratio"))
+    return rows.filter("_flag").join(share, F.col(group).eqNullSafe(F.col("_g"))).filter(F.col("ratio") >= least).drop("_flag", "_g")
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str], versions: str) -> DataFrame:
+    """Keys that come with more than one different ``versions``; keys with a null last part don't count."""
+    return df.filter(F.col(keys[-1]).isNotNull()).select(*keys, versions).distinct().groupBy(*keys).count().filter("count > 1").select(*keys)
+
+
+def dangling(df: DataFrame, columns: Sequence[str], parents: DataFrame) -> DataFrame:
+    """Different rows of ``df`` whose ``columns`` no row of ``parents`` has."""
+    return df.distinct().join(parents.select(*columns).distinct(), list(columns), "left_anti")

@@ -11,6 +11,8 @@ from siltstone.functions import firmware as fw
 from siltstone.functions.words import stripped, word32
 from siltstone.operators import code, evaluation, graph, joins, merging, objects, ranking, resolve, summaries
 from siltstone.plans import mining
+from siltstone.session import materialize
+from siltstone.sources import files
 from siltstone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,9 +32,22 @@ def query(sql: str | None = None):
 # -- filters and cases ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, event_type, value FROM events WHERE event_type IN ('purchase', 'click', 'view') AND value IS NOT NULL")
+def _line_accesses(s: SparkSession, d: str) -> DataFrame:
+    """Line items in the shape of accesses: a supplier is a function, a part an address."""
+    q = F.col("l_quantity")
+    return table(s, d, "lineitem").select(
+        F.col("l_linestatus").alias("binary_id"), F.col("l_suppkey").cast("string").alias("function_name"), F.when(F.col("l_returnflag") == "N", "load").otherwise("store").alias("kind"),
+        (F.col("l_partkey") + 0x40000000).alias("target_addr"), F.when(q > 45, "CONST").when(q > 20, "ARG").otherwise("INTRA_RESOLVED").alias("base_provenance"), (F.col("l_discount") > 0.05).alias("in_isr"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+    )
+
+
+_LINE_ACCESSES = """
+SELECT l_linestatus binary_id, CAST(l_suppkey AS VARCHAR) function_name, CASE WHEN l_returnflag = 'N' THEN 'load' ELSE 'store' END kind, 1073741824 + l_partkey target_addr, CASE WHEN l_quantity > 45 THEN 'CONST' WHEN l_quantity > 20 THEN 'ARG' ELSE 'INTRA_RESOLVED' END base_provenance, l_discount > 0.05 in_isr, l_orderkey * 10 + l_linenumber seq FROM lineitem"""
+
+
+@query(f"SELECT binary_id, function_name, target_addr, seq FROM ({_LINE_ACCESSES}) WHERE kind = 'load' AND base_provenance IN ('CONST', 'GLOBAL_PTR', 'FLASH_CONST_PTR', 'INTRA_RESOLVED', 'STRUCT_RESOLVED') AND NOT in_isr")
 def filter_provenance(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").filter(F.col("event_type").isin("purchase", "click", "view") & F.col("value").isNotNull()).select("event_id", "event_type", "value")
+    return mining.known_reads(_line_accesses(s, d)).select("binary_id", "function_name", "target_addr", "seq")
 
 
 _WORD = "(address + 4294967296) % 4294967296"
@@ -93,10 +108,9 @@ def rmw_both(s: SparkSession, d: str) -> DataFrame:
     return summaries.access_kinds(table(s, d, "lineitem"), ["l_partkey"], F.col("l_returnflag") == "R")
 
 
-@query("SELECT l_suppkey, l_partkey & ~63 AS cluster, count(*) n, bool_or(l_quantity > 45) pointer_like FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2 HAVING count(*) >= 3")
+@query(f"SELECT binary_id, function_name, target_addr & ~4095 AS cluster, count(*) n, bool_or(base_provenance IN ('CONST', 'GLOBAL_PTR')) pointer_like FROM ({_LINE_ACCESSES}) WHERE kind = 'store' GROUP BY ALL HAVING count(*) >= 3")
 def config_sites_having(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "lineitem").filter("l_linestatus = 'O'")
-    return rows.groupBy("l_suppkey", F.col("l_partkey").bitwiseAND(F.lit(~63)).alias("cluster")).agg(F.count("*").alias("n"), F.bool_or(F.col("l_quantity") > 45).alias("pointer_like")).filter("n >= 3")
+    return mining.config_sites(_line_accesses(s, d))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'purchase') n_first, count(*) FILTER (event_type = 'error') n_second FROM events GROUP BY 1 HAVING n_first > 0 AND n_second > 0")
@@ -104,10 +118,10 @@ def shared_cluster(s: SparkSession, d: str) -> DataFrame:
     return joins.shared_clusters(table(s, d, "events"), ["user_id"], F.col("event_type") == "purchase", F.col("event_type") == "error")
 
 
-@query("SELECT coalesce(label, 'unknown') AS value, count(*) n FROM (SELECT label FROM normalized_gt_bundle UNION ALL SELECT label FROM normalized_gt_bundle_copy) GROUP BY 1")
+@query("SELECT gt_kind, coalesce(label, 'unknown') AS value, count(*) n FROM (SELECT 'first' gt_kind, label FROM normalized_gt_bundle UNION ALL SELECT 'second', label FROM normalized_gt_bundle_copy) GROUP BY ALL")
 def gt_bundle_union(s: SparkSession, d: str) -> DataFrame:
-    both = table(s, d, "normalized_gt_bundle").drop("address").unionByName(table(s, d, "normalized_gt_bundle_copy"), allowMissingColumns=True)
-    return summaries.histogram(both, "label")
+    both = merging.tagged_union({"first": table(s, d, "normalized_gt_bundle"), "second": table(s, d, "normalized_gt_bundle_copy")}, "gt_kind")
+    return summaries.histogram(both, "label", by=["gt_kind"])
 
 
 @query("""
@@ -216,10 +230,12 @@ def shard_split(s: SparkSession, d: str) -> DataFrame:
 # -- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, s_suppkey, p_size + s_nationkey AS target FROM part JOIN supplier ON p_size % 25 = s_nationkey")
+@query("SELECT p_partkey, s_suppkey, s_suppkey + s_nationkey AS target FROM part JOIN supplier ON p_size % 25 = s_nationkey")
 def struct_resolve_m2m(s: SparkSession, d: str) -> DataFrame:
-    parts = table(s, d, "part").withColumn("type_key", F.col("p_size") % 25)
-    return parts.join(table(s, d, "supplier"), F.col("type_key") == F.col("s_nationkey")).select("p_partkey", "s_suppkey", (F.col("p_size") + F.col("s_nationkey")).alias("target"))
+    uses = table(s, d, "part").select("p_partkey", (F.col("p_size") % 25).alias("type"), F.lit("f").alias("field"))
+    bases = table(s, d, "supplier").select(F.col("s_nationkey").alias("type"), F.col("s_suppkey").alias("base"))
+    offsets = table(s, d, "nation").select(F.col("n_nationkey").alias("type"), F.lit("f").alias("field"), F.col("n_nationkey").alias("offset"))
+    return resolve.struct_targets(uses, bases, offsets, []).select("p_partkey", F.col("base").alias("s_suppkey"), "target")
 
 
 @query("SELECT o_orderkey, CAST(coalesce(c_nationkey, o_custkey) AS BIGINT) o_custkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -229,13 +245,12 @@ def left_replace(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def semi_isr(s: SparkSession, d: str) -> DataFrame:
-    hot = table(s, d, "orders").filter("o_totalprice > 250000").select("o_custkey")
-    return table(s, d, "customer").join(hot, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    return joins.members(table(s, d, "customer"), "c_custkey", table(s, d, "orders").filter("o_totalprice > 250000"), "o_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000 AND o_custkey IS NOT NULL)")
 def anti_no_gt(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").join(table(s, d, "orders").filter("o_totalprice > 250000").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return joins.strangers(table(s, d, "customer"), "c_custkey", table(s, d, "orders").filter("o_totalprice > 250000"), "o_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey, count(*) n, min(value) lo, max(value) hi FROM events JOIN part ON value BETWEEN 10 * p_size AND 10 * p_size + 9 GROUP BY 1")
@@ -263,11 +278,11 @@ def near_match(s: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH x AS (SELECT DISTINCT binary_stem, function_name, (address + 4294967296) % 4294967296 a FROM normalized_gt_bundle WHERE address IS NOT NULL), e AS (SELECT a k, min(function_name) f FROM x GROUP BY 1), c AS (SELECT a & 4294966272 k, arg_min(function_name, a) f FROM (SELECT a, min(function_name) function_name FROM x GROUP BY 1) WHERE function_name IS NOT NULL GROUP BY 1),
-q AS (SELECT DISTINCT address a FROM gt_items WHERE address >= 0)
+q AS (SELECT DISTINCT (address + 4294967296) % 4294967296 a FROM gt_items WHERE address IS NOT NULL)
 SELECT q.a, coalesce(e.f, c.f) function_name, CASE WHEN e.f IS NOT NULL THEN 'exact' WHEN c.f IS NOT NULL THEN 'cluster' ELSE 'none' END "match" FROM q LEFT JOIN e ON q.a = e.k LEFT JOIN c ON q.a & 4294966272 = c.k""")
 def exact_else_cluster(s: SparkSession, d: str) -> DataFrame:
     known = table(s, d, "normalized_gt_bundle").select(word32(F.col("address").cast("string")).alias("k"), "function_name").filter("k IS NOT NULL").groupBy("k").agg(F.min("function_name").alias("function_name")).filter("function_name IS NOT NULL")
-    asked = table(s, d, "gt_items").filter("address >= 0").select(F.col("address").alias("a")).distinct()
+    asked = table(s, d, "gt_items").select(word32(F.col("address").cast("string")).alias("a")).filter("a IS NOT NULL").distinct()
     return joins.exact_else_cluster(asked, "a", known, "k", "function_name", 0xFFFFFC00)
 
 
@@ -294,17 +309,15 @@ def override_union(s: SparkSession, d: str) -> DataFrame:
 WITH s AS (SELECT binary_stem, chain_id, run_at, generate_subscripts(steps, 1) i, unnest(steps) st FROM chains), t AS (SELECT binary_stem, chain_id, run_at, i, st.from_function f FROM s)
 SELECT DISTINCT a.binary_stem, a.f AS caller, b.f AS callee FROM t a JOIN t b ON a.chain_id = b.chain_id AND a.run_at IS NOT DISTINCT FROM b.run_at AND a.binary_stem IS NOT DISTINCT FROM b.binary_stem AND b.i = a.i + 1 WHERE a.f IS NOT NULL AND b.f IS NOT NULL AND a.f <> b.f""")
 def chain_edges(s: SparkSession, d: str) -> DataFrame:
-    fn = F.transform("steps", lambda x: x["from_function"])
-    pairs = F.arrays_zip(F.slice(fn, 1, F.greatest(F.size(fn) - 1, F.lit(0))).alias("caller"), F.slice(fn, 2, F.greatest(F.size(fn) - 1, F.lit(0))).alias("callee"))
-    return table(s, d, "chains").select("binary_stem", F.explode(pairs).alias("p")).select("binary_stem", "p.caller", "p.callee").filter("caller IS NOT NULL AND callee IS NOT NULL AND caller <> callee").distinct()
+    return graph.step_edges(table(s, d, "chains"), ["binary_stem"], F.transform("steps", lambda x: x["from_function"]))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey a, l_suppkey b FROM lineitem), w AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part WHERE p_size = 1 UNION SELECT seed, b, depth + 1 FROM w JOIN e ON node = a WHERE depth < 3)
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey a, l_suppkey b FROM lineitem), w AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS depth FROM part UNION SELECT seed, b, depth + 1 FROM w JOIN e ON node = a WHERE depth < 3)
 SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2""")
 def caller_bfs(s: SparkSession, d: str) -> DataFrame:
     edges = table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    return graph.bounded_bfs(edges, "l_partkey", "l_suppkey", table(s, d, "part").filter("p_size = 1"), "p_partkey", 3)
+    return graph.bounded_bfs(edges, "l_partkey", "l_suppkey", table(s, d, "part"), "p_partkey", 3)
 
 
 @query("SELECT callee, min(caller) AS caller FROM (SELECT DISTINCT o_custkey AS callee, o_orderkey AS caller FROM orders) GROUP BY 1 HAVING count(*) = 1")
@@ -318,14 +331,12 @@ def fan_in(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_suppkey, l_returnflag producer, count(*) n FROM lineitem GROUP BY 1, 2), c AS (SELECT l_suppkey, l_linestatus consumer, count(*) m FROM lineitem GROUP BY 1, 2)
-SELECT l_suppkey, producer, consumer, least(n, m) AS weight, CAST(place AS INT) place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY least(n, m) DESC, producer, consumer) place FROM p JOIN c USING (l_suppkey)) WHERE place <= 3""")
+WITH o AS (SELECT l_suppkey, count(*) n FROM lineitem GROUP BY 1), p AS (SELECT DISTINCT l_suppkey, l_returnflag src FROM lineitem), c AS (SELECT DISTINCT l_suppkey, CASE WHEN l_linestatus = 'O' THEN 'A' ELSE 'F' END dst FROM lineitem)
+SELECT l_suppkey object_id, src src_context, dst dst_context, n score, CAST(place AS INT) place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY src, dst) place FROM p JOIN c USING (l_suppkey) JOIN o USING (l_suppkey) WHERE src <> dst) WHERE place <= 3""")
 def channel_edges(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "lineitem")
-    p = rows.groupBy("l_suppkey", F.col("l_returnflag").alias("producer")).agg(F.count("*").alias("n"))
-    c = rows.groupBy("l_suppkey", F.col("l_linestatus").alias("consumer")).agg(F.count("*").alias("m"))
-    both = p.join(c, "l_suppkey").select("l_suppkey", "producer", "consumer", F.least("n", "m").alias("weight"))
-    return ranking.top_k(both, ["l_suppkey"], [F.desc("weight"), "producer", "consumer"], 3)
+    to = F.when(F.col("l_linestatus") == "O", "A").otherwise("F")
+    found = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("object_id")).agg(F.collect_set("l_returnflag").alias("producer_contexts"), F.collect_set(to).alias("consumer_contexts"), F.count("*").alias("n"))
+    return objects.context_edges(found.withColumn("binary_id", F.lit("b")), F.col("n"), 3).drop("binary_id")
 
 
 @query()
@@ -382,9 +393,9 @@ def ordered_status(s: SparkSession, d: str) -> DataFrame:
 # -- text and code ---------------------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT name, count(*) n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS name FROM documents) GROUP BY 1")
+@query(r"SELECT name, count(*) n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b([A-Za-z_][A-Za-z0-9_]*)\(', 1))) AS name FROM documents) WHERE name NOT IN ('if', 'while', 'for', 'switch', 'return', 'sizeof', 'else', 'do') GROUP BY 1")
 def regex_extract(s: SparkSession, d: str) -> DataFrame:
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:^|[^A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\("), 1))
+    names = code.names_before_parenthesis(F.col("text"))
     return table(s, d, "documents").select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
@@ -400,7 +411,14 @@ def map_symbols(s: SparkSession, d: str) -> DataFrame:
 WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, 'for \([^;\n]*;[^;\n]*;[^\n{]*\) \{[^}\n]*\}')) AS l FROM documents), b AS (SELECT doc_id, trim(regexp_extract(l, '\{([^}]*)\}', 1)) body, regexp_extract(l, '^for \(([^{]*)\) \{', 1) header, trim(regexp_extract(string_split(l, ';')[2], '(?:<=?|!=|>=?)[ \t]*([^;&|)]+)', 1)) b FROM l)
 SELECT doc_id, header, nullif(b, '') bound, coalesce(regexp_matches(nullif(b, ''), '^(0x[0-9a-fA-F]+|[0-9]+)$'), false) bound_is_constant, body FROM b""")
 def loop_headers(s: SparkSession, d: str) -> DataFrame:
-    return code.loop_headers(table(s, d, "documents"), "doc_id", "text")
+    found = code.loops(table(s, d, "documents"), ["doc_id"], "text").filter("loop_kind = 'for' AND braced AND last_line = line_no")
+    return found.select("doc_id", "header", "bound", "bound_is_constant", "body")
+
+
+@query()
+def loops(s: SparkSession, d: str) -> DataFrame:
+    # The SQL of loop_headers defines those on one line; here all come, with their stores and copies.
+    return code.loops(table(s, d, "documents"), ["doc_id"], "text")
 
 
 @query(r"""
@@ -427,14 +445,25 @@ def sram_clusters(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.explode(found).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\*\((?:uint8_t|uint16_t|uint32_t) \*\)\([^()]*\)')) m FROM documents), b AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\*\((?:uint8_t|uint16_t|uint32_t) \*\)\([^()]*\)', '', 'g'), '\b_?DAT_([0-9a-fA-F]{8})\b', 1)) m FROM documents),
+r AS (
+  SELECT doc_id, CASE WHEN m LIKE '%param_%' THEN 'ARG' ELSE 'CONST' END base_provenance, CASE WHEN m LIKE '%uint8_t%' THEN 1 WHEN m LIKE '%uint16_t%' THEN 2 ELSE 4 END width, regexp_extract(m, '(param_[0-9]+)', 1) base, CAST(regexp_extract(m, '(0x[0-9a-f]+)\)$', 1) AS BIGINT) number FROM a
+  UNION ALL SELECT doc_id, 'CONST', 4, '', CAST(concat('0x', m) AS BIGINT) FROM b)
+SELECT doc_id, base_provenance, width, base, number, count(*) n FROM r GROUP BY ALL""")
 def memory_accesses(s: SparkSession, d: str) -> DataFrame:
-    return code.memory_accesses(table(s, d, "documents"), "doc_id", "text")
+    found = code.memory_accesses(table(s, d, "documents"), ["doc_id"], "text").filter("shape <> 'element'")
+    return found.groupBy("doc_id", "base_provenance", "width", F.coalesce("base", F.lit("")).alias("base"), "number").agg(F.count("*").alias("n"))
+
+
+@query()
+def memory_access_kinds(s: SparkSession, d: str) -> DataFrame:
+    return code.memory_accesses(table(s, d, "documents"), ["doc_id"], "text")
 
 
 @query()
 def call_arguments(s: SparkSession, d: str) -> DataFrame:
-    return code.call_arguments(table(s, d, "documents"), "doc_id", "text").withColumn("args", F.array_join("args", " | "))
+    return code.call_arguments(table(s, d, "documents"), ["doc_id"], "text").withColumn("args", F.array_join("args", " | "))
 
 
 @query("SELECT doc_id, substr(sha256(concat_ws('|', CAST(doc_id AS VARCHAR), source, text)), 1, 6) AS pack_id, substr(md5(coalesce(text, '')), 1, 8) variant_id FROM documents")
@@ -454,7 +483,7 @@ def tokenize(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) k FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) >= 2")
 def json_facts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")).filter("k >= 2")
+    return files.parsed(table(s, d, "events"), "props", "k int").select("event_id", "k").filter("k >= 2")
 
 
 @query("SELECT DISTINCT CAST(l_quantity AS INT) q, CAST(CASE WHEN l_quantity <= 1 THEN 1 ELSE pow(2, ceil(log2(l_quantity))) END AS BIGINT) p2, concat(CASE WHEN CAST(l_quantity AS INT) & 4 <> 0 THEN 'r' ELSE '-' END, CASE WHEN CAST(l_quantity AS INT) & 2 <> 0 THEN 'w' ELSE '-' END, CASE WHEN CAST(l_quantity AS INT) & 1 <> 0 THEN 'x' ELSE '-' END) perm FROM lineitem")
@@ -465,8 +494,7 @@ def scalar_bits(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT function_name, arg_min(binary_stem, (address, binary_stem)) binary_stem, min(address) address FROM gt_items WHERE function_name IS NOT NULL AND address IS NOT NULL AND binary_stem IS NOT NULL GROUP BY 1")
 def best_symbol(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "gt_items").select("function_name", "binary_stem", "address").dropna()
-    return rows.groupBy("function_name").agg(F.min(F.struct("address", "binary_stem")).alias("b")).select("function_name", "b.binary_stem", "b.address")
+    return mining.best_symbols(table(s, d, "gt_items").select("function_name", "binary_stem", "address").dropna(), "function_name")
 
 
 @query("""
@@ -474,22 +502,19 @@ SELECT 'recorded_again' AS error, concat(binary_stem, '|', item_kind, '|', item_
 UNION ALL SELECT 'root_without_sink', concat(binary_stem, '|', item_id) FROM (SELECT DISTINCT binary_stem, item_id, sink_id FROM gt_items r WHERE item_kind = 'root' AND NOT EXISTS (SELECT 1 FROM gt_items k WHERE k.item_kind = 'sink' AND k.binary_stem = r.binary_stem AND k.item_id = r.sink_id))""")
 def constraint_report(s: SparkSession, d: str) -> DataFrame:
     items = table(s, d, "gt_items")
-    twice = items.filter("item_id IS NOT NULL").select("binary_stem", "item_kind", "item_id", "recorded_at").distinct().groupBy("binary_stem", "item_kind", "item_id").count().filter("count > 1").select(F.lit("recorded_again").alias("error"), F.concat_ws("|", "binary_stem", "item_kind", "item_id").alias("key"))
-    sinks = items.filter("item_kind = 'sink'").select("binary_stem", F.col("item_id").alias("sink_id")).distinct()
-    lone = items.filter("item_kind = 'root'").select("binary_stem", "item_id", "sink_id").distinct().join(sinks, ["binary_stem", "sink_id"], "left_anti")
+    twice = summaries.repeated_keys(items, ["binary_stem", "item_kind", "item_id"], "recorded_at").select(F.lit("recorded_again").alias("error"), F.concat_ws("|", "binary_stem", "item_kind", "item_id").alias("key"))
+    sinks = items.filter("item_kind = 'sink'").select("binary_stem", F.col("item_id").alias("sink_id"))
+    lone = summaries.dangling(items.filter("item_kind = 'root'").select("binary_stem", "item_id", "sink_id"), ["binary_stem", "sink_id"], sinks)
     return twice.unionByName(lone.select(F.lit("root_without_sink").alias("error"), F.concat_ws("|", "binary_stem", "item_id").alias("key")))
 
 
 @query(r"""
-WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\*\(([A-Za-z0-9_]+) \*\)\(param_([0-9]+) \+ (0x[0-9a-fA-F]+|[0-9]+)\)')) AS m FROM documents), n AS (SELECT doc_id, regexp_extract(m, '\*\(([A-Za-z0-9_]+) \*\)', 1) AS type, CAST(regexp_extract(m, 'param_([0-9]+)', 1) AS INT) param, regexp_extract(m, '\+ (0x[0-9a-fA-F]+|[0-9]+)\)$', 1) o FROM m)
-SELECT doc_id, type, param, CASE WHEN o LIKE '0x%' THEN CAST(o AS BIGINT) ELSE CAST(o AS BIGINT) END AS "offset", count(*) n FROM n GROUP BY ALL""")
+WITH x AS (SELECT doc_id, text, '\*\(([A-Za-z0-9_]+) \*\)\(\*\([A-Za-z0-9_]+ \*\)\(param_([0-9]+) \+ (0x[0-9a-fA-F]+|[0-9]+)\) \+ (0x[0-9a-fA-F]+|[0-9]+)\)' p, '\*\(([A-Za-z0-9_]+) \*\)\(param_([0-9]+) \+ (0x[0-9a-fA-F]+|[0-9]+)\)' q FROM documents),
+two AS (SELECT doc_id, p, unnest(regexp_extract_all(text, p)) m FROM x), one AS (SELECT doc_id, q, unnest(regexp_extract_all(regexp_replace(text, p, '_', 'g'), q)) m FROM x),
+r AS (SELECT doc_id, regexp_extract(m, p, 1) "type", CAST(regexp_extract(m, p, 2) AS INT) param, CAST(regexp_extract(m, p, 3) AS BIGINT) struct_offset, CAST(regexp_extract(m, p, 4) AS BIGINT) "offset" FROM two
+  UNION ALL SELECT doc_id, regexp_extract(m, q, 1), CAST(regexp_extract(m, q, 2) AS INT), NULL, CAST(regexp_extract(m, q, 3) AS BIGINT) FROM one)
+SELECT doc_id, "type", param, struct_offset, "offset", count(*) n FROM r GROUP BY ALL""")
 def parameter_derefs(s: SparkSession, d: str) -> DataFrame:
-    return resolve.parameter_derefs(table(s, d, "documents"), ["doc_id"], "text").filter("struct_offset IS NULL").groupBy("doc_id", "type", "param", "offset").agg(F.count("*").alias("n"))
-
-
-@query()
-def parameter_derefs_all(s: SparkSession, d: str) -> DataFrame:
-    # The SQL of parameter_derefs defines single dereferences; here double ones come too, with their struct_offset.
     return resolve.parameter_derefs(table(s, d, "documents"), ["doc_id"], "text").groupBy("doc_id", "type", "param", "struct_offset", "offset").agg(F.count("*").alias("n"))
 
 
@@ -507,25 +532,56 @@ def field_accesses(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def call_argument_kinds(s: SparkSession, d: str) -> DataFrame:
-    calls = code.call_arguments(table(s, d, "documents"), "doc_id", "text")
+    calls = code.call_arguments(table(s, d, "documents"), ["doc_id"], "text")
     return calls.select(F.explode("args").alias("a")).groupBy(resolve.argument_kind(F.col("a")).alias("kind")).agg(F.count("*").alias("n"), F.count(resolve.argument_value(F.col("a"))).alias("with_value"))
 
 
+def _functions(s: SparkSession, d: str) -> DataFrame:
+    """The documents as functions: each whole text is one, so that code between definitions counts too."""
+    return table(s, d, "documents").select(F.coalesce("binary_stem", F.lit("")).alias("binary_id"), F.col("doc_id").cast("string").alias("function_name"), F.col("doc_id").alias("function_address"), F.coalesce("text", F.lit("")).alias("code"))
+
+
 def _accesses(s: SparkSession, d: str) -> DataFrame:
-    """Accesses read from the documents' code in the shape the mining plans take; a document stands for a function."""
-    a = code.memory_accesses(table(s, d, "documents"), "doc_id", "text").join(table(s, d, "documents").select("doc_id", "binary_stem"), "doc_id")
-    known = F.when(F.col("shape") == "pointer", "ARG").otherwise("CONST")
-    return a.select(F.coalesce("binary_stem", F.lit("")).alias("binary_id"), (F.col("doc_id") * 100000 + F.col("line_no")).alias("seq"), F.col("line_no").cast("bigint").alias("address"), "kind", "width", F.when(F.col("shape") != "pointer", F.col("target")).alias("target_addr"), known.alias("base_provenance"), F.lit(False).alias("in_isr"), F.col("doc_id").cast("string").alias("function_name"))
+    return mining.access_index(_functions(s, d))
 
 
 @query()
 def register_reads(s: SparkSession, d: str) -> DataFrame:
-    return mining.packs(mining.register_reads(_accesses(s, d)))
+    accesses = materialize(_accesses(s, d), "accesses")
+    return mining.packs(mining.register_reads(accesses, polls=mining.polled(accesses, _functions(s, d))))
 
 
 @query()
 def store_sinks(s: SparkSession, d: str) -> DataFrame:
-    return mining.packs(mining.store_sinks(_accesses(s, d)))
+    return mining.packs(mining.store_sinks(_accesses(s, d), _functions(s, d)))
+
+
+@query()
+def parameter_store_sinks(s: SparkSession, d: str) -> DataFrame:
+    return mining.parameter_store_sinks(_functions(s, d), mining.store_sinks(_accesses(s, d), _functions(s, d)))
+
+
+@query()
+def loop_sinks(s: SparkSession, d: str) -> DataFrame:
+    return mining.packs(mining.loop_sinks(_functions(s, d)))
+
+
+@query()
+def call_sinks(s: SparkSession, d: str) -> DataFrame:
+    calls = materialize(mining.call_sites(_functions(s, d), [*mining.COPY_LENGTH, *mining.FILL_LENGTH, *mining.FORMAT_PLACE]), "calls")
+    parts = [mining.copy_sinks(calls), mining.fill_sinks(calls), mining.format_sinks(calls)]
+    own = ["binary_id", "label", "function_name", "address", "confidence", "callee"]
+    return parts[0].select(*own).unionByName(parts[1].select(*own)).unionByName(parts[2].select(*own))
+
+
+@query()
+def pointer_call_sinks(s: SparkSession, d: str) -> DataFrame:
+    return mining.pointer_call_sinks(_functions(s, d))
+
+
+@query()
+def function_definitions(s: SparkSession, d: str) -> DataFrame:
+    return code.definitions(table(s, d, "documents"), ["doc_id"], "text")
 
 
 @query()
@@ -561,6 +617,4 @@ WITH r AS (SELECT DISTINCT chain_id, binary_stem, sink.sink_id sink_id, coalesce
 SELECT chain_id, binary_stem, sink_id, s, round(ratio, 6) ratio FROM q WHERE s AND ratio >= 0.2""")
 def ratio_gate(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "chains").select("chain_id", "binary_stem", F.col("sink.sink_id").alias("sink_id"), F.coalesce(F.col("verdict") == "SUSPICIOUS", F.lit(False)).alias("s")).distinct()
-    share = rows.groupBy("binary_stem").agg(F.avg(F.when(F.col("s"), 1.0).otherwise(0.0)).alias("ratio"))
-    hit = rows.filter("s").alias("r").join(share.alias("q"), F.col("r.binary_stem").eqNullSafe(F.col("q.binary_stem")))
-    return hit.filter("ratio >= 0.2").select("chain_id", "r.binary_stem", "sink_id", "s", F.round("ratio", 6).alias("ratio"))
+    return summaries.share_gate(rows, "binary_stem", F.col("s"), 0.2).withColumn("ratio", F.round("ratio", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,9 +13,20 @@ MANIFEST = "binary_path string, dataset string, sample_id string, gt_stem string
 FIELD_SIZES = {"uint8_t": 1, "int8_t": 1, "uint16_t": 2, "int16_t": 2, "uint32_t": 4, "int32_t": 4}
 
 
+def parsed(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """``df`` with the fields of ``schema`` read from a column of JSON objects, ``_extra``, a map of all other fields as
+    text, and ``_refused``, true where the text is no JSON object; such rows stay, their fields null."""
+    known = [c.strip().split()[0].strip("`") for c in re.split(r",(?![^<(]*[>)])", schema)]
+    rows = df.withColumn("_all", F.from_json(column, "map<string,string>")).withColumn("_own", F.from_json(column, schema))
+    extra = F.map_filter("_all", lambda k, _: ~k.isin(known))
+    return rows.select(*[F.col(c) for c in df.columns if c not in known], *[F.col(f"_own.{k}").alias(k) for k in known], extra.alias("_extra"), F.col("_all").isNull().alias("_refused"))
+
+
 def read_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """A facts bundle: one JSON object per line; fields beyond the schema are left out, damaged lines dropped."""
-    return spark.read.schema(FACTS).option("mode", "DROPMALFORMED").json(f"{folder}/facts")
+    """A facts bundle: one JSON object per line. Fields beyond the schema are in ``_extra``; lines that are no object stay
+    as rows marked ``_refused``, with their text in ``_line``."""
+    rows = parsed(spark.read.text(f"{folder}/facts").withColumn("_line", F.col("value")), "value", FACTS)
+    return rows.drop("value").withColumn("_line", F.when(F.col("_refused"), F.col("_line")))
 
 
 def write_facts(df: DataFrame, folder: str) -> None:
@@ -50,11 +63,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("sample_id", F.coalesce("sample_id", stem)).withColumn("gt_stem", F.coalesce("gt_stem", "sample_id")).withColumn("output_stem", F.coalesce("output_stem", stem)).withColumn("eval_scope", F.coalesce("eval_scope", F.lit("auto")))
 
 
+# The columns of the two layouts of register tables.
+REGISTER_TEST = ["Base address", "Reg address", "Reg name", "Reg cat", "Model Cat", "Read", "Write", "Correct cat", "Comments GT"]
+REGISTER_LIST = ["adress", "name", "category", "Comments", "peripheral"]
+
+
 def read_registers(spark: SparkSession, path: str) -> DataFrame:
-    """A register table in CSV with hexadecimal addresses; rows whose addresses don't parse are dropped."""
-    raw = spark.read.option("header", "true").option("mode", "DROPMALFORMED").schema("base_addr string, reg_addr string, reg_name string, category string, peripheral string").csv(path)
-    number = lambda c: F.conv(F.regexp_extract(c, "^(?:0[xX])?([0-9a-fA-F]{1,8})$", 1), 16, 10).cast("bigint")
-    return raw.withColumn("base_addr", number("base_addr")).withColumn("reg_addr", number("reg_addr")).dropna(subset=["base_addr", "reg_addr"])
+    """A register table in CSV of either layout: base_addr, reg_addr, reg_name, category, read, write, peripheral. A layout
+    without access flags says that both happen. Rows whose addresses aren't hexadecimal stay, marked ``_refused`` and with
+    their text in ``_line``; lines of column names are no rows."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).filter(F.trim("value") != "")
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(len(REGISTER_TEST))))
+    rows = lines.select("value", cells.alias("c")).select("value", "c.*").filter(~F.lower(F.trim("c0")).isin("address", "base_addr", *[x[0].lower() for x in (REGISTER_TEST, REGISTER_LIST)]))
+    number = lambda c: F.conv(F.nullif(F.regexp_extract(c, r"^\s*(?:0[xX])?([0-9a-fA-F]{1,8})\s*$", 1), F.lit("")), 16, 10).cast("bigint")
+    long = F.col("c6").isNotNull()
+    text = lambda a, b: F.coalesce(F.trim(F.when(long, a).otherwise(b)), F.lit(""))
+    base, address = number(F.col("c0")), F.when(long, number(F.col("c1"))).otherwise(number(F.col("c0")))
+    refused = base.isNull() | address.isNull()
+    flag = lambda c: F.when(long, F.trim(c) == "1").otherwise(F.lit(True))
+    return rows.select(base.alias("base_addr"), address.alias("reg_addr"), text(F.col("c2"), F.col("c1")).alias("reg_name"), text(F.col("c3"), F.col("c2")).alias("category"), flag("c5").alias("read"), flag("c6").alias("write"), text(F.lit(""), F.col("c4")).alias("peripheral"), refused.alias("_refused"), F.when(refused, F.col("value")).alias("_line"))
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
@@ -77,13 +104,25 @@ def struct_offsets(headers: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def base_addresses(headers: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, name, address): ``#define`` constants, plain or as another constant plus an offset (one step)."""
-    lines = headers.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^#define\s+\w+\s+[^\n]+"), 0)).alias("line"))
-    plain = F.regexp_extract("line", r"^#define\s+(\w+)\s+\(?(?:\(uint32_t\)\s*)?0x([0-9a-fA-F]+)[UL]*\)?\s*(?:/\*.*)?$", 2)
-    number = lambda c: F.conv(c, 16, 10).cast("bigint")
-    name: Column = F.regexp_extract("line", r"^#define\s+(\w+)", 1)
-    direct = lines.filter(plain != "").select(key, name.alias("name"), number(plain).alias("address"))
-    total = lambda i: F.regexp_extract("line", r"^#define\s+\w+\s+\(\s*(\w+)\s*\+\s*0x([0-9a-fA-F]+)[UL]*\s*\)", i)
-    sums = lines.filter(total(1) != "").select(key, name.alias("name"), total(1).alias("_of"), number(total(2)).alias("_plus"))
-    known = direct.select(key, F.col("name").alias("_of"), "address")
-    return direct.unionByName(sums.join(known, [key, "_of"]).select(key, "name", (F.col("address") + F.col("_plus")).alias("address")))
+    """Rows (key, name, address, type): ``#define`` constants, plain, as another constant plus an offset (one step), or as a
+    typed pointer to either, ``#define X ((T *)0x…)`` and ``#define X ((T *)X_BASE)``, which have a type."""
+    word = r"0[xX]([0-9a-fA-F]+)[uUlL]*"
+    lines = headers.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^[ \t]*#[ \t]*define[ \t]+\w+[ \t]+[^\n]+"), 0)).alias("line"))
+    name: Column = F.regexp_extract("line", r"define\s+(\w+)", 1)
+    value = F.trim(F.regexp_replace(F.regexp_extract("line", r"define\s+\w+\s+(.*)$", 1), r"/\*.*|//.*", ""))
+    bare = F.regexp_replace(value, r"\(\s*u?int32_t\s*\)\s*", "")
+    typed = r"^\(*\s*\(\s*(?:volatile\s+)?(\w+)\s*\*\s*\)\s*(\(?.*?\)?)\s*\)*$"
+    kind = F.regexp_extract(bare, typed, 1)
+    inner = F.when(kind != "", F.regexp_extract(bare, typed, 2)).otherwise(bare)
+    rows = lines.select(key, name.alias("name"), F.nullif(kind, F.lit("")).alias("type"), F.regexp_replace(inner, "[()\\s]", "").alias("v"))
+    number = lambda p: F.conv(F.regexp_extract("v", p, 1), 16, 10).cast("bigint")
+    of = F.regexp_extract("v", rf"^([A-Za-z_]\w*)(?:\+{word})?$", 1)
+    plus = F.coalesce(F.conv(F.nullif(F.regexp_extract("v", rf"^[A-Za-z_]\w*\+{word}$", 1), F.lit("")), 16, 10).cast("bigint"), F.lit(0))
+    direct = rows.filter(F.col("v").rlike(f"^{word}$")).select(key, "name", number(f"^{word}$").alias("address"), "type")
+    known = direct.select(key, F.col("name").alias("_of"), F.col("address").alias("_base"))
+    sums = rows.withColumn("_of", of).withColumn("_plus", plus).filter("_of <> ''").join(known, [key, "_of"])
+    one = sums.select(key, "name", (F.col("_base") + F.col("_plus")).alias("address"), "type", "v")
+    # A typed pointer may stand on a sum: one step more.
+    second = one.filter("type IS NULL").select(key, F.col("name").alias("_of"), F.col("address").alias("_base"))
+    two = rows.withColumn("_of", of).withColumn("_plus", plus).filter("_of <> ''").join(second, [key, "_of"]).select(key, "name", (F.col("_base") + F.col("_plus")).alias("address"), "type")
+    return direct.unionByName(one.drop("v")).unionByName(two).distinct()

@@ -14,7 +14,7 @@ FIXED = [
     ("for (i = f(0); i <= g(n); i++) {", [("for", "i", "<=", "g(n)")]),
     ("if (a < b && (c == d || !(e > f->g)))", [("if", "a", "<", "b"), ("if", "c", "==", "d"), ("if", "e", "<=", "f->g")]),
     ("while (n = f(), n < g[k] - 1)", [("while", "n", "<", "g[k] - 1")]), ("if (a < b] c) d;", [("if", "a", "<", "b] c")]),
-    ("if (x) y = a < b;", []), ("if (p->q << 3)", []), ("if (a < f(b\n)) c;", []), ("notif (a < b)", []), ("if (a < b", []), ("for (;;)", []),
+    ("if (x) y = a < b;", []), ("if (p->q << 3)", []), ("if (a < f(b\n)) c;", [("if", "a", "<", "f(b\n)")]), ("if (a < f(b; c)) d;", []), ("notif (a < b)", []), ("if (a < b", []), ("for (;;)", []),
 ]
 
 

@@ -14,7 +14,12 @@ def test_bases_and_offsets(spark):
     df = spark.createDataFrame([("f", text), ("g", "*(uint *)(base + 0x14) = v;"), ("n", None)], "k string, t string")
     b = resolve.base_assignments(df, ["k"], "t")
     assert rows(b) == [("f", "base", 0x40020000)]
-    assert rows(resolve.offset_accesses(code.memory_accesses(df, "k", "t"), b, ["k"]).select("k", "target", "kind")) == [("f", 0x40020014, "store")]
+    symbols = spark.createDataFrame([("other", 0x20000100)], "symbol string, address bigint")
+    found = resolve.resolved_accesses(code.memory_accesses(df, ["k"], "t"), ["k"], b, symbols)
+    got = rows(found.select("k", "line_no", "kind", "base_provenance", "target_addr").fillna(0))
+    assert got == [("f", 3, "store", "INTRA_RESOLVED", 0x40020014), ("f", 4, "store", "GLOBAL_PTR", 0x20000100), ("g", 0, "store", "UNKNOWN", 0)]
+    masks = spark.createDataFrame([("f", "a = x & 0xfffffff0;\nb = (y & 3) + 0xe000e100;\nc == 0x40000000;")], "k string, t string")
+    assert rows(resolve.base_assignments(masks, ["k"], "t")) == [("f", "b", 0xE000E100)]
 
 
 def test_types_and_fields(spark):
@@ -49,7 +54,7 @@ def test_signatures_calls_clamps(spark):
     t = "void f(uint8_t *dst, int n, char **s)\n{ if (n > 64) { n = 64; } m = min(m, cap); if (n > 64) { n = 65; } (*cb)(x); (*t->fn)(y); (*tab[i])(z); (**(code **)(p + 4))(q); }"
     df = spark.createDataFrame([("k", t)], "k string, t string")
     assert rows(resolve.pointer_parameters(df, ["k"], "t")) == [("k", "f", "dst"), ("k", "f", "s")]
-    assert rows(resolve.clamps(df, ["k"], "t")) == [("k", "m", "cap"), ("k", "n", "64")]
+    assert rows(code.clamps(df, ["k"], "t").select("variable", "clamp")) == [("m", "m = min(m, cap)"), ("n", "if (n > 64) { n = 64"), ("n", "if (n > 64) { n = 65")]
     assert sorted(r.shape for r in resolve.indirect_calls(df, ["k"], "t").collect()) == ["cast", "field", "name", "table"]
 
 

@@ -42,6 +42,11 @@ def test_facts_round_trip(spark, tmp_path):
     assert sorted(r.pack_id for r in back.collect()) == ["p1", "p2", "p3"]
     assert [r.pack_id for r in files.select_facts(back, labels=["MMIO_READ"], function="g", verdict="VERIFIED").collect()] == ["p3"]
     assert files.select_facts(back, address=16).count() == 1
+    with open(f"{tmp_path}/x/facts/extra.json", "w") as f:
+        f.write('{"pack_id": "p4", "later": {"a": 1}}\nnot json\n')
+    odd = files.read_facts(spark, f"{tmp_path}/x")
+    assert [(r._extra, r._refused) for r in odd.filter("pack_id = 'p4'").collect()] == [({"later": '{"a":1}'}, False)]
+    assert [r._line for r in odd.filter("_refused").collect()] == ["not json"]
     hints = files.with_source_hints(back.filter("label = 'COPY_SINK'"), back.filter("label = 'MMIO_READ'"))
     assert hints.first().source_hints == ["MMIO_READ"]
     assert {(r.label, r.verdict, r.n) for r in spark.read.json(f"{tmp_path}/x/index").collect()} == {("COPY_SINK", "VERIFIED", 1), ("MMIO_READ", "PARTIAL", 1), ("MMIO_READ", "VERIFIED", 1)}
@@ -54,8 +59,11 @@ def test_manifests_and_csv(spark, tmp_path):
     assert [(r.sample_id, r.gt_stem, r.output_stem, r.eval_scope) for r in one] == [("x", "x", "x", "auto")]
     two = files.read_manifest(spark, f"{tmp_path}/map.json").collect()
     assert [(r.sample_id, r.gt_stem, r.output_stem) for r in two] == [("s", "g", "y")]
-    (tmp_path / "r.csv").write_text("base_addr,reg_addr,reg_name,category,peripheral\n0x40000000,0x40000004,CR,CR,TIM\nzz,1,bad,CR,TIM\n")
-    assert [(r.base_addr, r.reg_addr) for r in files.read_registers(spark, f"{tmp_path}/r.csv").collect()] == [(0x40000000, 0x40000004)]
+    (tmp_path / "r.csv").write_text("\ufeffBase address,Reg address,Reg name,Reg cat,Model Cat,Read,Write,Correct cat,Comments GT\n0x40000000,0x40000004,CR,CR,CR,1,0,,\"a, b\"\nzz,1,bad,CR,CR,1,1,,\n")
+    got = sorted(files.read_registers(spark, f"{tmp_path}/r.csv").collect(), key=lambda r: r._refused)
+    assert [tuple(r)[:7] for r in got[:1]] == [(0x40000000, 0x40000004, "CR", "CR", True, False, "")] and [(r._refused, r._line[:3]) for r in got[1:]] == [(True, "zz,")]
+    (tmp_path / "g.csv").write_text("adress,name,category,Comments,peripheral\n40011004,DR,DR,,USART1\n")
+    assert [tuple(r)[:7] for r in files.read_registers(spark, f"{tmp_path}/g.csv").collect()] == [(0x40011004, 0x40011004, "DR", "DR", True, True, "USART1")]
     files.write_csv(spark.createDataFrame([(1, "a")], "n int, s string"), f"{tmp_path}/out", ["s", "n"])
     assert spark.read.option("header", "true").csv(f"{tmp_path}/out").columns == ["s", "n"]
 
@@ -66,6 +74,9 @@ def test_headers(spark):
     got = {r.field: r.offset for r in files.struct_offsets(h, "f", "t").collect()}
     assert got == {"CR": 0, "SR": 4, "PAD": 6, "DR": 16, "X": 12}
     assert {(r.name, r.address) for r in files.base_addresses(h, "f", "t").collect()} == {("A_BASE", 0x40000000), ("B", 0x40000400)}
+    more = "#define P_BASE 0x40000000U /* bus */\n#define T2 ((TIM_TypeDef *)0x40000400UL)\n#define U1_BASE (P_BASE + 0x1000U)\n#define U1 ((USART_TypeDef *) U1_BASE)\n#define U2 ((USART_TypeDef *)(P_BASE + 0x2000))\n#define N 5\n#define LOOP LOOP\n"
+    got = {(r.name, r.address, r.type) for r in files.base_addresses(spark.createDataFrame([("h", more), ("n", None)], "f string, t string"), "f", "t").collect()}
+    assert got == {("P_BASE", 0x40000000, None), ("T2", 0x40000400, "TIM_TypeDef"), ("U1_BASE", 0x40001000, None), ("U1", 0x40001000, "USART_TypeDef"), ("U2", 0x40002000, "USART_TypeDef")}
 
 
 def test_streams(spark, tmp_path):
