@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import firmware as fw
 from siltstone.functions.words import stripped, word32
-from siltstone.operators import code, evaluation, graph, joins, merging, objects, ranking, resolve, summaries
-from siltstone.plans import mining
+from siltstone.operators import checks, code, evaluation, graph, joins, merging, objects, ranking, resolve, roots, summaries
+from siltstone.plans import mining, obligations
 from siltstone.session import materialize
 from siltstone.sources import files
 from siltstone.sources.tables import table
@@ -618,3 +618,78 @@ SELECT chain_id, binary_stem, sink_id, s, round(ratio, 6) ratio FROM q WHERE s A
 def ratio_gate(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "chains").select("chain_id", "binary_stem", F.col("sink.sink_id").alias("sink_id"), F.coalesce(F.col("verdict") == "SUSPICIOUS", F.lit(False)).alias("s")).distinct()
     return summaries.share_gate(rows, "binary_stem", F.col("s"), 0.2).withColumn("ratio", F.round("ratio", 6))
+
+
+# -- roots, checks, obligations, detailed matching ------------------------------------------------------------------------
+
+
+_CAST = r"\(\s*(?:const\s+[^()]*|(?:unsigned\s+|struct\s+)?\w+\s*\*+|u?int(?:8|16|32|64)?(?:_t)?|size_t|u?long|byte|u?char)\s*\)\s*"
+
+
+@query(rf"""
+WITH e AS (SELECT DISTINCT u.expr expr, u.kind kind FROM (SELECT unnest(sink_roots) u FROM sink_roots) WHERE u.expr IS NOT NULL),
+c AS (SELECT expr, kind, nullif(lower(regexp_replace(regexp_replace(regexp_replace(replace(expr, '->', '.'), '{_CAST}', '', 'g'), '^\((.*)\)$', '\1'), '\s+', '', 'g')), '') canonical FROM e)
+SELECT expr, kind, canonical, CASE WHEN lower(kind) IN ('length', 'index_or_bound') THEN 'length' WHEN lower(kind) IN ('src_ptr', 'src_data', 'dst_ptr', 'target_addr') THEN 'pointer' ELSE coalesce(nullif(lower(kind), ''), 'unknown') END family,
+  CASE WHEN regexp_matches(canonical, '^0x[0-9a-f]+$') THEN 'literal_addr' WHEN expr LIKE '%(%' AND expr LIKE '%)%' THEN 'call_or_cast' WHEN expr LIKE '%[%' AND expr LIKE '%]%' THEN 'indexed_path' WHEN canonical LIKE '%.%' THEN 'member_path' WHEN regexp_matches(canonical, '[A-Za-z_]') THEN 'symbol' ELSE 'expr' END path_kind
+FROM c""")
+def root_paths(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "sink_roots").select(F.explode("sink_roots").alias("u")).filter("u.expr IS NOT NULL").select("u.expr", "u.kind").distinct()
+    return rows.select("expr", "kind", roots.canonical(F.col("expr")).alias("canonical"), roots.family(F.col("kind")).alias("family"), roots.path_of(F.col("expr"))["path_kind"].alias("path_kind"))
+
+
+@query()
+def text_finds(s: SparkSession, d: str) -> DataFrame:
+    return roots.finds(_functions(s, d), ["binary_id", "function_name"])
+
+
+def _text_sinks(s: SparkSession, d: str) -> DataFrame:
+    """Loops that store, as sinks with the facts their miner found."""
+    facts = F.map_filter(F.create_map(*[x for k in ("store_expr", "index_expr") for x in (F.lit(k), F.col(k))], F.lit("loop_bound"), F.col("bound"), F.lit("bound_is_constant"), F.col("bound_is_constant").cast("string"), F.lit("in_loop"), F.lit("true")), lambda _, v: v.isNotNull())
+    found = mining.packs(mining.loop_sinks(_functions(s, d)))
+    return materialize(found.select("binary_id", "function_name", "pack_id", "label", "address", facts.alias("facts"), F.array().cast("array<string>").alias("args")), "sinks")
+
+
+@query()
+def sink_roots(s: SparkSession, d: str) -> DataFrame:
+    return roots.sink_roots(_text_sinks(s, d), _functions(s, d))
+
+
+@query()
+def sink_checks(s: SparkSession, d: str) -> DataFrame:
+    sinks = _text_sinks(s, d)
+    first = roots.sink_roots(sinks, _functions(s, d)).filter("place = 0").select("pack_id", F.col("expr").alias("root"), "kind")
+    found = checks.all_checks(materialize(sinks.join(first, "pack_id"), "roots"), _functions(s, d))
+    return found.join(checks.strength(found).withColumnRenamed("strength", "overall"), "pack_id")
+
+
+@query(r"""
+WITH q AS (SELECT DISTINCT row_id, proposed_label AS label, CASE WHEN triage_rank >= 3 THEN triage_rank ELSE 0 END n, coalesce(nullif(trim(function_name), ''), '') f, decision, CASE WHEN regexp_matches(trim(lower(site)), '^0x[0-9a-f]+$') THEN CAST(trim(lower(site)) AS BIGINT) % 4294967296 END a FROM supervision_queue),
+r AS (SELECT *, coalesce(lower(f) NOT IN ('', 'false', '0', '[]', 'none', 'null'), false) has_f, coalesce(a BETWEEN 1073741824 AND 1610612735 OR a BETWEEN 3758096384 AND 4294967295, false) peri FROM q)
+SELECT row_id, label, CASE
+  WHEN label = 'MMIO_READ' THEN CASE WHEN peri THEN 'VERIFIED' ELSE 'REJECTED' END
+  WHEN label = 'ISR_MMIO_READ' THEN 'REJECTED'
+  WHEN label = 'DMA_BACKED_BUFFER' THEN 'REJECTED'
+  WHEN label = 'ISR_FILLED_BUFFER' THEN 'REJECTED'
+  WHEN label IN ('COPY_SINK', 'MEMSET_SINK') THEN CASE WHEN has_f THEN 'VERIFIED' ELSE 'REJECTED' END
+  WHEN label = 'STORE_SINK' THEN CASE WHEN coalesce(decision IN ('ARG', 'accept'), false) THEN 'VERIFIED' ELSE 'REJECTED' END
+  WHEN label IN ('LOOP_WRITE_SINK', 'FORMAT_STRING_SINK', 'FUNC_PTR_SINK') THEN 'REJECTED' ELSE 'UNKNOWN' END verdict FROM r""")
+def obligation_verdicts(s: SparkSession, d: str) -> DataFrame:
+    facts = F.create_map(F.lit("callee"), F.coalesce(F.trim("function_name"), F.lit("")), F.lit("config_write_count"), F.coalesce(F.col("triage_rank").cast("string"), F.lit("0")), F.lit("provenance"), F.when(F.col("decision") == "accept", "ARG").otherwise(F.coalesce("decision", F.lit(""))))
+    rows = table(s, d, "supervision_queue").select("row_id", F.col("proposed_label").alias("label"), word32(F.col("site")).alias("address"), facts.alias("facts"))
+    return obligations.verdicts(rows, ["row_id"]).select("row_id", "label", "verdict")
+
+
+def _bundle_side(s: SparkSession, d: str, name: str, row: str) -> DataFrame:
+    t = table(s, d, name).select("binary_stem", "label", word32(F.col("address").cast("string")).alias("address"), stripped(F.col("function_name")).alias("function_name"), F.coalesce("gt_source_id", "gt_sink_id").alias("id")).distinct()
+    return ranking.place_in_group(t, ["binary_stem"], ["label", "id", "address", "function_name"], row)
+
+
+@query()
+def detailed_match(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.detailed_match(_bundle_side(s, d, "normalized_gt_bundle", "gt_id"), _bundle_side(s, d, "normalized_gt_bundle_copy", "pred_id"), ["binary_stem"])
+
+
+@query()
+def match_scores(s: SparkSession, d: str) -> DataFrame:
+    g, p = materialize(_bundle_side(s, d, "normalized_gt_bundle", "gt_id"), "gt"), materialize(_bundle_side(s, d, "normalized_gt_bundle_copy", "pred_id"), "pred")
+    return evaluation.match_scores(g, p, evaluation.detailed_match(g, p, ["binary_stem"]), ["binary_stem"])
