@@ -446,7 +446,7 @@ def sram_clusters(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\*\((?:uint8_t|uint16_t|uint32_t) \*\)\([^()]*\)')) m FROM documents), b AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\*\((?:uint8_t|uint16_t|uint32_t) \*\)\([^()]*\)', '', 'g'), '\b_?DAT_([0-9a-fA-F]{8})\b', 1)) m FROM documents),
+WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\*\([A-Za-z_][A-Za-z0-9_]* \*\)\([^()]*\)')) m FROM documents), b AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\*\([A-Za-z_][A-Za-z0-9_]* \*\)\([^()]*\)', '', 'g'), '\b_?DAT_([0-9a-fA-F]{8})\b', 1)) m FROM documents),
 r AS (
   SELECT doc_id, CASE WHEN m LIKE '%param_%' THEN 'ARG' ELSE 'CONST' END base_provenance, CASE WHEN m LIKE '%uint8_t%' THEN 1 WHEN m LIKE '%uint16_t%' THEN 2 ELSE 4 END width, regexp_extract(m, '(param_[0-9]+)', 1) base, CAST(regexp_extract(m, '(0x[0-9a-f]+)\)$', 1) AS BIGINT) number FROM a
   UNION ALL SELECT doc_id, 'CONST', 4, '', CAST(concat('0x', m) AS BIGINT) FROM b)
