@@ -145,12 +145,15 @@ def object_of(raw: Column) -> Column:
     """
     mark, own = "\\u0001end", "\\u0001own"
     framed = F.try_parse_json(F.concat(F.lit(f'{{"{own}":'), raw, F.lit(f',"{mark}":0}}')))
-    whole = F.try_variant_get(framed, "$['\u0001end']", "int") == 0
-    inner = F.try_variant_get(F.when(whole, framed), "$['\u0001own']", "variant")
-    return F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner)
+    whole = (F.try_variant_get(framed, "$['\u0001end']", "int") == 0) & opens_object(raw)
+    return F.try_variant_get(F.when(whole, framed), "$['\u0001own']", "variant")
+
+
+def opens_object(raw: Column) -> Column:
+    return raw.rlike(r"^[ \t\r\n]*\{")
 
 
 def mended(raw: Column, found: Column) -> Column:
     """Text that the engine's parser refuses although it is a JSON object, put so that it takes it: of repeated names
     the last counts, and what lies below ``LEVELS`` levels is a digest. Null where ``found`` isn't or text is no object."""
-    return _mended(F.when(found.isNull() & F.ltrim(raw).startswith("{"), raw))
+    return _mended(F.when(found.isNull() & opens_object(raw), raw))

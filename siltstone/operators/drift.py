@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.jsontext import mended, object_of
+from siltstone.functions.jsontext import mended, object_of, opens_object
 from siltstone.operators.merging import distinct_rows
 from siltstone.operators.shred import Shape, shred
 from siltstone.session import broadcast_if_small, materialize
@@ -40,9 +40,8 @@ def records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     found = distinct_rows(df).withColumn("_v", object_of(F.col(raw)))
     # Parsed once and written as variants; only text that the engine's parser refuses is kept beside them.
-    found = found.filter(F.col("_v").isNotNull() | F.ltrim(F.col(raw)).startswith("{")).withColumn(raw, F.when(F.col("_v").isNull(), F.col(raw)))
-    found = materialize(found, "records")
-    odd = found.filter(F.col("_v").isNull()).withColumn("_v", F.try_parse_json(mended(F.col(raw), F.col("_v")))).filter(F.col("_v").isNotNull())
+    found = materialize(found.withColumn(raw, F.when(F.col("_v").isNull() & opens_object(F.col(raw)), F.col(raw))), "records")
+    odd = found.filter(F.col("_v").isNull() & F.col(raw).isNotNull()).withColumn("_v", F.try_parse_json(mended(F.col(raw), F.col("_v")))).filter(F.col("_v").isNotNull())
     odd = materialize(odd, "odd")
     good = found.filter(F.col("_v").isNotNull())
     return (good if odd.isEmpty() else good.unionByName(odd)).drop(raw)
@@ -89,7 +88,7 @@ def shape_counts(recs: DataFrame, by: Sequence[str]) -> DataFrame:
 def path_counts(df: DataFrame, by: Sequence[str], raw: str = "raw") -> DataFrame:
     """Rows (by, path, tag, n): the non-null values of each type at every path below the record, labels joined by
     ``/``, ``*`` for an element of a list. Rows left out are those that ``records`` leaves out."""
-    text = F.when(F.ltrim(F.col(raw)).startswith("{"), F.col(raw))
+    text = F.when(opens_object(F.col(raw)), F.col(raw))
     own = distinct_rows(df).select(*by, text.alias(raw), F.to_json(F.struct(*by)).alias("_by")).filter(F.col(raw).isNotNull())
     places = own.select("_by", *by).distinct()
     nodes = shred(own, "_by", {raw: Shape()}).filter((F.col("path") != raw) & (F.col("kind") != "null"))
