@@ -1,6 +1,6 @@
 """References to records that do not exist.
 
-Keys are encoded as integers whose upper bits number a key range. References become compressed bitmaps per key range
+Keys are encoded as integers, a run of which is a key range. References become compressed bitmaps per key range
 and month, parents bitmaps of the months they hold in full, kept by where they begin and how far they reach. Reference
 AND-NOT parent leaves the few references that no parent covers for the whole month, those without any parent among
 them; their bits are decoded and checked exactly against the parents' times.
@@ -28,15 +28,13 @@ _CONTAINER = "range bigint, period int, kind int, places binary, tills binary"
 def encode_keys(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """A dictionary of all keys in ``frames``: the key columns and ``code``, a bigint.
 
-    Keys are range-partitioned and numbered within their range from 0, the range's number in the bits above 33, so
-    no step sees all keys at once and near keys get near codes. Written out, since a second run could cut the
-    ranges elsewhere.
+    The keys of each partition are numbered from 0 on, the partition's number in the bits above 33, so that codes lie
+    close together and no step sees all keys at once. Written out, since a second run could number otherwise.
     """
-    distinct = frames[0].select(*keys)
+    every = frames[0].select(*keys)
     for f in frames[1:]:
-        distinct = distinct.unionByName(f.select(*keys))
-    distinct = distinct.distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return materialize(distinct.withColumn("code", F.monotonically_increasing_id()), "dictionary")
+        every = every.unionByName(f.select(*keys))
+    return materialize(every.distinct().withColumn("code", F.monotonically_increasing_id()), "dictionary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
