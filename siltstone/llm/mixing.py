@@ -125,3 +125,17 @@ def mix_shares(mixed: DataFrame, targets: Sequence[Target]) -> DataFrame:
     both = want.join(got, "source", "left")
     both = both.withColumn("_all", F.sum("tokens").over(Window.partitionBy()))  # as many rows as there are targets
     return both.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
+
+
+def mix_violations(mixed: DataFrame, sizes: DataFrame, targets: Sequence[Target], item: str, size: str, block: int = 512) -> DataFrame:
+    """Rows (source, problem) of everything a mix must not do: a block used more often than its source may be (``capped``),
+    a slot that holds two blocks (``slot``), a block longer than ``block`` (``long``), a part beyond its item's end
+    (``beyond``), a source without target (``unwanted``)."""
+    caps = F.coalesce(*[F.when(F.col("source") == t.source, F.lit(t.max_repeats)) for t in targets], F.lit(0))
+    used = mixed.select("shard", "slot", "source", "block_no").distinct()
+    say = lambda df, problem: df.select("source", F.lit(problem).alias("problem")).distinct()
+    capped = used.groupBy("source", "block_no").count().filter(F.col("count") > caps)
+    slots = used.groupBy("shard", "slot").agg(F.count("*").alias("count"), F.min("source").alias("source")).filter("count > 1")
+    long = mixed.groupBy("shard", "slot", "source", "block_no").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+    ends = mixed.groupBy("source", item).agg(F.max(F.col("item_from") + F.col("n")).alias("end")).join(sizes.groupBy(item).agg(F.max(size).alias("_size")), item).filter("end > _size")
+    return say(capped, "capped").unionByName(say(slots, "slot")).unionByName(say(long, "long")).unionByName(say(ends, "beyond")).unionByName(say(mixed.filter(caps == 0), "unwanted"))

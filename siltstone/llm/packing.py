@@ -117,3 +117,21 @@ def pack_tokens(counted: DataFrame, capacities: dict[str, int], item: str = "doc
     """:func:`pack` over token counts, which are written out since two branches read them."""
     counted = materialize(counted.distinct(), "tokens")
     return pack(counted, item, "n_tokens", capacities, max(64, counted.count() // SLICE))
+
+
+def pack_violations(packed: DataFrame, counted: DataFrame, capacities: dict[str, int], item: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """Rows (container, id, problem) of everything a packing must not do: a container filled beyond its capacity
+    (``overfull``), an item not covered by its pieces exactly once (``lost`` or ``covered_twice``), one cut though it fits
+    (``cut``), one without any place (``missing``)."""
+    full = packed.groupBy("container", "capacity", F.col("container_id").alias("id")).agg(F.sum("piece_size").alias("n")).filter("n > capacity").select("container", "id", F.lit("overfull").alias("problem"))
+    ends = packed.groupBy("container", "capacity", item).agg(F.sum("piece_size").alias("n"), F.count("*").alias("pieces"), F.countDistinct("piece_no").alias("numbers"), F.max(F.col("piece_from") + F.col("piece_size")).alias("end"))
+    sizes = counted.select(item, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size")).distinct()
+    # A row per item and container kind; the kinds are a parameter.
+    kinds = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(c).cast("bigint").alias("capacity")) for n, c in capacities.items()])
+    every = sizes.select(item, "_size", F.explode(kinds).alias("k")).select(item, "_size", "k.*")
+    both = every.join(ends, ["container", "capacity", item], "left")
+    problem = (
+        F.when(F.col("n").isNull(), "missing").when(F.col("n") < F.col("_size"), "lost").when((F.col("n") > F.col("_size")) | (F.col("pieces") > F.col("numbers")) | (F.col("end") > F.col("_size")), "covered_twice")
+        .when((F.col("_size") <= F.col("capacity")) & (F.col("pieces") > 1), "cut")
+    )
+    return full.unionByName(both.select("container", F.col(item).cast("string").alias("id"), problem.alias("problem")).filter("problem IS NOT NULL"))

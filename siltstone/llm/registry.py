@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.words import stripped, word32
-from siltstone.llm.mixing import Target, mix, mix_shares
-from siltstone.llm.packing import pack_tokens
+from siltstone.llm.mixing import Target, mix, mix_shares, mix_violations
+from siltstone.llm.packing import pack_tokens, pack_violations
 from siltstone.llm.spans import shared_share, shared_span_classes, shared_span_pairs
 from siltstone.llm.survivors import DATE, Field, latest_by_currency, sources_of
 from siltstone.llm.tokens import token_counts
@@ -157,6 +157,13 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return ids.groupBy("container", "capacity").agg(F.count("*").alias("containers"), F.ceil(F.sum("n") / F.col("capacity")).alias("least"), F.sum("n").alias("tokens"))
 
 
+def p7_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing does wrong: no row, if every text has its place, none is cut without need and no container is overfull."""
+    counted = materialize(token_counts(table(spark, d, "documents"), ["doc_id"]), "counted")
+    capacities = _capacities(spark, d)
+    return pack_violations(materialize(pack_tokens(counted, capacities), "packed"), counted, capacities)
+
+
 def _targets(spark: SparkSession, d: str) -> list[Target]:
     """The target shares, a parameter table of a few rows."""
     return [Target(*r) for r in table(spark, d, "mix_targets").select("source", "target_share", "max_repeats").dropna().collect()]
@@ -174,6 +181,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(materialize(p8_mix(spark, d), "mix"), _targets(spark, d))
 
 
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix does wrong: no row, if caps, slots, blocks and items are kept to."""
+    counted = materialize(token_counts(table(spark, d, "documents"), ["doc_id"]), "counted")
+    return mix_violations(materialize(p8_mix(spark, d), "mix"), counted, _targets(spark, d), "doc_id", "n_tokens")
+
+
+#: Nothing may be found.
+P7_VIOLATIONS_SQL = "SELECT container, CAST(NULL AS VARCHAR) id, CAST(NULL AS VARCHAR) problem FROM pack_capacities WHERE false"
+P8_VIOLATIONS_SQL = "SELECT source, CAST(NULL AS VARCHAR) problem FROM mix_targets WHERE false"
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that share 200 or more consecutive code points."""
     return shared_span_pairs(table(spark, d, "documents"))
@@ -209,8 +227,8 @@ SELECT doc_id, class_id, copies, coalesce(links, 0) links FROM k LEFT JOIN n ON
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_merged, p5_currency, p6_found, p7_pack, p7_fill, p8_mix, p8_shares, p9_found, p9_shared, p9_classes)}
+    return {f.__name__: f for f in (p5_found, p5_merged, p5_currency, p6_found, p7_pack, p7_fill, p7_violations, p8_mix, p8_shares, p8_violations, p9_found, p9_shared, p9_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p5_currency": P5_CURRENCY_SQL, "p6_found": P6_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL, "p9_classes": P9_CLASSES_SQL}
+    return {"p5_found": P5_SQL, "p5_merged": P5_MERGED_SQL, "p5_currency": P5_CURRENCY_SQL, "p6_found": P6_SQL, "p7_violations": P7_VIOLATIONS_SQL, "p8_violations": P8_VIOLATIONS_SQL, "p9_found": P9_SQL, "p9_shared": P9_SHARED_SQL, "p9_classes": P9_CLASSES_SQL}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from siltstone.llm.mixing import Target, mix, mix_shares, permuted, token_blocks
+from siltstone.llm.mixing import mix_violations, Target, mix, mix_shares, permuted, token_blocks
 
 SCHEMA = "doc_id bigint, source string, n_tokens bigint, block_no string, _start int"
 
@@ -72,3 +72,11 @@ def test_nothing_to_mix(spark):
 def test_repeated_rows_count_once(spark):
     one = mix(frame(spark, [(1, "a", 200)] * 5 + [(2, "a", 100)]), "source", "doc_id", "n_tokens", [Target("a", 1.0, 1)], block=50)
     assert sum(r.n for r in one.collect()) == 300
+
+
+def test_violations_are_seen(spark):
+    counted = spark.createDataFrame([(1, 100), (2, 30)], "doc_id bigint, n_tokens bigint")
+    rows = [(0, 0, "a", 0, 0, 1, 0, 50), (0, 1, "a", 0, 1, 1, 0, 50), (0, 2, "a", 1, 0, 1, 60, 50), (0, 2, "b", 0, 0, 2, 0, 10), (0, 3, "c", 0, 0, 2, 0, 10), (0, 4, "b", 1, 0, 2, 0, 30), (0, 4, "b", 1, 0, 2, 0, 30)]
+    mixed = spark.createDataFrame(rows, "shard bigint, slot bigint, source string, block_no bigint, repeat_no bigint, doc_id bigint, item_from bigint, n bigint")
+    got = {tuple(r) for r in mix_violations(mixed, counted, [Target("a", 0.5, 1), Target("b", 0.5, 2)], "doc_id", "n_tokens", 50).collect()}
+    assert got == {("a", "capped"), ("a", "slot"), ("a", "beyond"), ("b", "long"), ("c", "unwanted"), ("c", "capped")}

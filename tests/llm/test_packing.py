@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm.packing import best_fit_runs, pack
+from siltstone.llm.packing import pack_violations, best_fit_runs, pack
 from siltstone.llm.tokens import RANKS, token_counts
 from siltstone.operators.ranking import running_total
 
@@ -103,3 +103,13 @@ def test_running_total(spark):
     for r in sorted(out, key=lambda r: (r.g, r.slice, r.i)):
         assert r.before == groups.get(r.g, 0)
         groups[r.g] = r.before + r.n
+
+
+def test_violations_are_seen(spark):
+    counted = spark.createDataFrame([(1, 5), (2, 25), (3, 4), (4, 0), (5, None), (6, 3)], "doc_id bigint, n_tokens bigint")
+    good = pack(counted, "doc_id", "n_tokens", {"c": 10})
+    assert pack_violations(good, counted, {"c": 10}).count() == 0
+    bad = [("c", 10, "x", 1, 0, 0, 5), ("c", 10, "x", 2, 0, 0, 25), ("c", 10, "y", 3, 0, 0, 2), ("c", 10, "y", 3, 1, 2, 2), ("c", 10, "z", 4, 0, 0, 0), ("c", 10, "z", 5, 0, 0, 0), ("c", 10, "z", 6, 0, 0, 2)]
+    packed = spark.createDataFrame(bad[:6] + bad[6:], "container string, capacity bigint, container_id string, doc_id bigint, piece_no bigint, piece_from bigint, piece_size bigint")
+    assert sorted((r.id, r.problem) for r in pack_violations(packed, counted, {"c": 10}).collect()) == [("3", "cut"), ("6", "lost"), ("x", "overfull")]
+    assert {(r.id, r.problem) for r in pack_violations(packed.filter("doc_id < 3"), counted, {"c": 10}).collect()} == {("x", "overfull"), ("3", "missing"), ("4", "missing"), ("5", "missing"), ("6", "missing")}
