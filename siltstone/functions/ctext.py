@@ -499,3 +499,44 @@ def definitions(c: Code) -> list[tuple[int, str, str]]:
             end = c.partner[k + 1] if c.partner[k + 1] > 0 else len(c.word) - 1
             out.append((c.line[i - 1], c.word[i - 1], c.source[c.at[i - 1] : c.end[end]]))
     return out
+
+
+_EXITS = ("return", "goto", "break", "continue")
+
+
+def guard_lines(c: Code) -> set[int]:
+    """Lines on which something keeps a value in bounds: an ``if`` that compares by size with a number or leads to an exit, a
+    call that takes the least or clamps, a choice between a number and something else."""
+    out = set()
+    w = c.word
+    for i in range(len(w)):
+        if w[i] == "if" and i + 1 < len(w) and w[i + 1] == "(" and c.partner[i + 1] > 0:
+            end = c.partner[i + 1]
+            sized = [j for j in range(i + 2, end) if c.kind[j] == "sign" and w[j] in ("<", "<=", ">", ">=")]
+            then = end + 1 + (end + 1 < len(w) and w[end + 1] == "{")
+            if any(c.kind[j + 1] == "number" for j in sized) or (sized and then < len(w) and w[then] in _EXITS):
+                out.add(c.line[i])
+        elif c.kind[i] == "name" and i + 1 < len(w) and w[i + 1] == "(" and (w[i].lower() in ("min", "fmin") or w[i].lower().startswith("clamp")):
+            out.add(c.line[i])
+        elif w[i] == "?" and i + 2 < len(w) and c.kind[i + 1] == "number" and w[i + 2] == ":":
+            out.add(c.line[i])
+    return out
+
+
+def guarded_calls(c: Code, names: frozenset[str] | None = None, before: int = 10) -> list[tuple[int, int, str, list[str], bool]]:
+    """:func:`calls`, and whether one of the ``before`` lines in front of each keeps a value in bounds."""
+    lines = sorted(guard_lines(c))
+    return [(*r, bisect_right(lines, r[1] - 1) > bisect_right(lines, r[1] - before - 1)) for r in calls(c, names)]
+
+
+def reads_bounded_string(c: Code) -> bool:
+    """Whether a text reads a string into a buffer with care: it loops up to a length less one, and ends the string with a
+    zero at a place less one."""
+    less_one = lambda x: x is not None and x.replace(" ", "").endswith(("-1", "+-1"))
+    if not any(less_one(x.bound) for x in loops(c)):
+        return False
+    for lo, hi, assign in statements(c):
+        if assign > lo and c.word[assign - 1] == "]" and c.partner[assign - 1] > lo and c.text(assign + 1, hi) in ("0", "0x0", "0x00", "'\\0'"):
+            if less_one(c.text(c.partner[assign - 1] + 1, assign - 1)):
+                return True
+    return False

@@ -230,3 +230,15 @@ def call_arguments(df: DataFrame, keys: Sequence[str], text: str, callees: Seque
 def definitions(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Rows (keys, line_no, function_name, code): the functions a text defines, each with its own text."""
     return text_rows(df, keys, text, "line_no int, function_name string, code string", lambda t: ctext.definitions(ctext.read(t)) if "{" in t else [])
+
+
+def guarded_calls(df: DataFrame, keys: Sequence[str], text: str, callees: Sequence[str] = (), before: int = 10) -> DataFrame:
+    """:func:`call_arguments` with ``has_guard``: whether one of the ``before`` lines in front keeps a value in bounds."""
+    names = frozenset(callees) or None
+    return text_rows(df, keys, text, "at int, line_no int, callee string, args array<string>, has_guard boolean", lambda t: ctext.guarded_calls(ctext.read(t), names, before) if "(" in t else [])
+
+
+def bounded_readers(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """The ``keys`` of texts that read a string into a buffer with care, see
+    :func:`siltstone.functions.ctext.reads_bounded_string`."""
+    return text_rows(df, keys, text, "careful boolean", lambda t: [(True,)] if "1" in t and ctext.reads_bounded_string(ctext.read(t)) else []).drop("careful")

@@ -102,13 +102,6 @@ def polled(accesses: DataFrame, functions: DataFrame) -> DataFrame:
     return both.groupBy("binary_id", "function_name", "target_addr").agg(F.bool_or("direct").alias("direct"))
 
 
-def guarded(lines: Column, at: Column, before: int = 10) -> Column:
-    """Whether one of the ``before`` lines in front of line ``at`` (from 0) holds what keeps a length in bounds: a
-    comparison with a number, an early exit, a minimum or a ternary."""
-    near = F.array_join(F.slice(lines, F.greatest(at - before, F.lit(0)) + 1, F.least(at, F.lit(before))), "\n")
-    return near.rlike(r"if\s*\([^)]*[<>]=?\s*(?:0x)?[0-9]") | near.rlike(r"if\s*\([^)]*[<>][^)]*\)\s*\{?\s*(?:return|goto|break)") | near.rlike(r"(?i)\b(?:f?min|clamp)\b") | near.rlike(r"\?\s*[0-9]+\s*:")
-
-
 def copying_functions(functions: DataFrame) -> DataFrame:
     """Rows (binary_id, function_name, acts_as): functions of at most 80 lines that copy or fill byte by byte under another
     name, told by their loops: a copy with a test for zero or with two parameters is a strcpy, with three a memcpy, a store
@@ -222,17 +215,12 @@ def parameter_store_sinks(functions: DataFrame, found: DataFrame) -> DataFrame:
     return _out(rows, "STORE_SINK", F.coalesce("function_address", function_address(F.col("function_name"))), F.lit(0.45), "base")
 
 
-def bounded_reader(code: Column) -> Column:
-    """Whether text has the form of a bounded string reader: a loop up to a length less one, a zero written there, and a
-    stop at the end of the string."""
-    return code.rlike(r"\b(?:for|while)\s*\([^;]*;[^;]*<=?[^;]*(?:-\s*1|\+\s*-1)[^;]*;") & code.rlike(r"\[[^\]]*(?:-\s*1|\+\s*-1)[^\]]*\]\s*=\s*(?:'\\0'|0x0+|0)\s*;") & code.rlike(r"==\s*(?:'\\0'|0)")
-
-
 def loop_sinks(functions: DataFrame) -> DataFrame:
     """The first loop of each function that stores to a computed place; a loop that moves elements is a copy. Runtime code
     and bounded string readers are left out."""
     keys = ["binary_id", "function_name"]
-    rows = text.loops(functions.filter(~is_library(F.col("function_name")) & ~bounded_reader(F.col("code"))), [*keys, "function_address"], "code").filter("store_expr IS NOT NULL")
+    own = functions.filter(~is_library(F.col("function_name")))
+    rows = text.loops(own, [*keys, "function_address"], "code").filter("store_expr IS NOT NULL").join(text.bounded_readers(own, keys, "code"), keys, "left_anti")
     first = first_wins(rows, keys, ["line_no", "header"])
     copies = F.col("copy_src").isNotNull()
     base = score(0.3, [(F.col("bound").isNotNull() & ~F.col("bound_is_constant"), 0.2), (F.col("index_expr") != "", 0.05)], 0.0, 0.8)
@@ -243,10 +231,7 @@ def loop_sinks(functions: DataFrame) -> DataFrame:
 def call_sites(functions: DataFrame, callees: Sequence[str]) -> DataFrame:
     """Calls of ``callees`` in functions that aren't those themselves: binary_id, function_name, at, line_no, callee, args,
     has_guard."""
-    keys = ["binary_id", "function_name"]
-    calls = text.call_arguments(functions, keys, "code", callees).filter("function_name <> callee")
-    both = calls.join(functions.select(*keys, F.split("code", "\n").alias("_lines")), keys)
-    return both.withColumn("has_guard", guarded(F.col("_lines"), F.col("line_no"))).drop("_lines")
+    return text.guarded_calls(functions, ["binary_id", "function_name"], "code", callees).filter("function_name <> callee")
 
 
 def _length(callees: dict[str, int]) -> tuple[Column, Column]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from siltstone.functions.ctext import accesses, arrays, calls, clamps, definitions, field_uses, loops, pointer_parameters, pointer_stores, read
+from siltstone.functions.ctext import accesses, arrays, calls, clamps, definitions, field_uses, guarded_calls, loops, pointer_parameters, pointer_stores, read, reads_bounded_string
 from siltstone.operators import code
 
 
@@ -82,3 +82,14 @@ def test_text_rows_with_nulls_and_clashing_names(spark):
     assert [(r.doc_id, r.kind2, r.kind, r.number) for r in got] == [(3, None, "store", 0x40011000)]
     assert code.loops(df.limit(0), ["doc_id"], "t").count() == 0
     assert code.call_arguments(df.withColumn("t", F.lit("memcpy(a, b, n);")), ["doc_id"], "t", ["memcpy"]).select("args").first()[0] == ["a", "b", "n"]
+
+
+def test_guards_before_calls_and_bounded_readers():
+    guards = lambda t: [g for *_, g in guarded_calls(read(t), frozenset(["memcpy"]))]
+    assert guards("if (n > 64) { n = 64; }\nmemcpy(d, s, n);") == [True]
+    assert guards("if (n > max)\n  return;\nmemcpy(d, s, n);") == [True] and guards("if (n > max) { x(); }\nmemcpy(d, s, n);") == [False]
+    assert guards("n = MIN(n, k);\nmemcpy(d, s, n);") == [True] and guards("n = a ? 3 : b;\nmemcpy(d, s, n);") == [True]
+    assert guards("memcpy(d, s, n);\nif (n > 64) return;") == [False] and guards("if (n > 64) return;" + "\n" * 11 + "memcpy(d, s, n);") == [False]
+    assert guards("if (p == 0) return;\nmemcpy(d, s, n);") == [False]
+    careful = "for (i = 0; i < n - 1; i++) { c = get(); if (c == 0) break; b[i] = c; } b[n - 1] = '\\0';"
+    assert reads_bounded_string(read(careful)) and not reads_bounded_string(read(careful.replace("n - 1", "n"))) and not reads_bounded_string(read(careful.replace("'\\0'", "c")))

@@ -167,6 +167,19 @@ def test_mining(spark):
     calls = spark.createDataFrame([("b", "f", "memcpy", 5, ["d", "s", "n"]), ("b", "f", "memcpy", 3, ["d", "s", "16"]), ("b", "g", "memcpy", 1, ["d", "s", "len"]), ("b", "memcpy", "memcpy", 0, [])], "binary_id string, function_name string, callee string, at int, args array<string>")
     got = {r.function_name: (r.address, round(r.confidence, 3)) for r in mining.copy_sinks(calls, {"memcpy": 2}).collect()}
     assert got == {"f": (3, 0.55), "g": (1, 0.7)}
+    f = spark.createDataFrame([
+        ("b", "fill", 64, "void fill(char *d, int n) { for (i = 0; i < n; i++) { d[i] = 0; } }"), ("b", "mv", 65, "void mv(void) { while (n--) { *p++ = *q++; } }"), ("b", "gets_n", 66, "for (i = 0; i < n - 1; i++) { b[i] = c; } b[n - 1] = 0;"),
+        ("b", "par", 67, "void par(T *t) { t->x = 1; }"), ("b", "say", 68, "void say(char *m) { printf(m); printf(\"ok\"); memset(b, 0, n); }"), ("b", "hop", 69, "void hop(int i) { (*tab[i])(1); }"), ("b", "cpy", 70, "void cpy(void) { do { *param_1 = *param_2; param_1++; param_3--; } while (param_3 != 0); }"), ("b", "__lib", 71, "for (i = 0; i < n; i++) { d[i] = 0; }"),
+    ], "binary_id string, function_name string, function_address bigint, code string")
+    assert rows(mining.loop_sinks(f).select("function_name", "label", "bound")) == [("cpy", "COPY_SINK", "0"), ("fill", "LOOP_WRITE_SINK", "n"), ("mv", "COPY_SINK", "n")]
+    index = mining.access_index(f)
+    assert rows(mining.parameter_store_sinks(f, mining.store_sinks(index, f)).select("function_name", "base")) == [("cpy", "param_1"), ("par", "t")]
+    sites = mining.call_sites(f, ["printf", "memset"])
+    assert rows(mining.format_sinks(sites).select("function_name", "format_arg")) == [("say", "m")] and rows(mining.fill_sinks(sites).select("function_name", "length_expr")) == [("say", "n")]
+    assert rows(mining.pointer_call_sinks(f).select("function_name", "shape")) == [("hop", "table")]
+    assert rows(mining.copying_functions(f).select("function_name", "acts_as")) == [("cpy", "strcpy")]
+    waits = spark.createDataFrame([("b", "w", 1, "while ((*(uint *)0x40011000 & 8) == 0) { } x = *(uint *)0x40011004;"), ("b", "v", 2, "while (w() & 1) { } y = *(uint *)0x40011008;")], f.schema)
+    assert rows(mining.polled(mining.access_index(waits), waits).select("function_name", "target_addr", "direct")) == [("v", 0x40011008, False), ("w", 0x40011000, True)]
     p = mining.packs(mining.dma_buffers(a)).first().pack_id
     assert p.startswith("DMA_BACKED_BUFFER@dma_init-0x40026000-") and len(p.rsplit("-", 1)[1]) == 6
 
