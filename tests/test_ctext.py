@@ -93,3 +93,15 @@ def test_guards_before_calls_and_bounded_readers():
     assert guards("if (p == 0) return;\nmemcpy(d, s, n);") == [False]
     careful = "for (i = 0; i < n - 1; i++) { c = get(); if (c == 0) break; b[i] = c; } b[n - 1] = '\\0';"
     assert reads_bounded_string(read(careful)) and not reads_bounded_string(read(careful.replace("n - 1", "n"))) and not reads_bounded_string(read(careful.replace("'\\0'", "c")))
+
+
+def test_text_cut_off_behind_an_assignment():
+    cut = "for (i = 0; i < n; i++) { a[i] ="
+    (x,) = loops(read(cut))
+    assert (x.header, x.bound, x.store, x.index, x.copy_src) == ("i = 0; i < n; i++", "n", "a[i]", "i", None)
+    assert [x.bound for x in loops(read("while (p != 0) { *p ="))] == ["0"] and len(loops(read("do { } while (a[i] ="))) == 1
+    whole = "void f(char *p) { for (i = 0; i < n; i++) { a[i] = b[i]; } while (n--) { *p++ = *q++; } if (n > 4) { n = 4; } g(a, (int)p->len); }"
+    for end in range(len(whole) + 1):
+        c = read(whole[:end])
+        for reader in (loops, accesses, arrays, calls, clamps, definitions, field_uses, guarded_calls, pointer_parameters, pointer_stores, reads_bounded_string):
+            reader(c)
