@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.ranking import running, slices
+
 
 def point_in_range(points: DataFrame, at: Column, ranges: DataFrame, lo: Column, hi: Column, width: int, keys: Sequence[str] = ()) -> DataFrame:
     """Every point with every range that holds it, both ends included.
@@ -34,6 +36,52 @@ def range_overlap(a: DataFrame, a_lo: Column, a_hi: Column, b: DataFrame, b_lo:
     return both.filter(first & (F.col("_loa") <= F.col("_hib")) & (F.col("_lob") <= F.col("_hia"))).drop("_loa", "_hia", "_lob", "_hib", "_bucket")
 
 
+def _swept(points: DataFrame, counts: Sequence[str], ranges: DataFrame, lo: Column, hi: Column, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Ranges with their ends ``_lo`` and ``_hi``, and in slices all points (keys, _x, counts), ``_side`` 1, with the ends of
+    the different ranges: beginnings sort in front of the points they equal (0), ends behind them (2)."""
+    r = ranges.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi")
+    ends = F.explode(F.array(*[F.struct(F.lit(s).alias("_side"), F.col(c).alias("_x")) for s, c in ((0, "_lo"), (2, "_hi"))]))
+    marks = r.select(*keys, "_lo", "_hi").distinct().select(*keys, "_lo", "_hi", ends.alias("_e")).select(*keys, "_lo", "_hi", "_e.*")
+    rows = points.withColumn("_side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    return r, slices(rows.select(*keys, "_x", "_side", *counts, "_lo", "_hi"), keys, ["_x", "_side"])
+
+
+def range_summary(points: DataFrame, at: Column, ranges: DataFrame, lo: Column, hi: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Every range that holds a point, both ends included, with how many it holds (``n``), the least and the greatest.
+
+    What :func:`point_in_range` and a grouping by range would give, without the pairs: different points and ends are sorted
+    together once, and a range's count is what was counted at its end less what was at its start. ``at`` is a number.
+    """
+    p = points.select(*keys, at.alias("_x")).filter("_x IS NOT NULL").groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    r, rows = _swept(p, ["_n"], ranges, lo, hi, keys)
+    here = F.when(F.col("_side") == 1, F.col("_x"))
+    rows = running(rows, keys, ["_x", "_side"], F.col("_n"), "_count")
+    rows = running(rows, keys, ["_x", "_side"], here, "_last", "max")
+    back = rows.withColumn("_back", -F.col("_slice"))
+    rows = running(back, keys, [F.desc("_x"), F.desc("_side")], F.when(~F.isnan("_x"), -here), "_next", "max", slice_by="_back")  # NaN is the greatest with either sign
+    start, end = F.col("_side") == 0, F.col("_side") == 2
+    n = F.max(F.when(end, F.col("_count"))) - F.max(F.when(start, F.col("_count")))
+    greatest = F.max(F.when(end, F.col("_last")))
+    found = rows.filter("_side <> 1").groupBy(*keys, "_lo", "_hi").agg(n.alias("n"), F.coalesce(F.max(F.when(start, -F.col("_next"))), greatest).alias("least"), greatest.alias("greatest"))
+    return r.join(found.filter("n > 0"), [*keys, "_lo", "_hi"]).drop("_lo", "_hi")
+
+
+def overlap_counts(a: DataFrame, a_lo: Column, a_hi: Column, b: DataFrame, b_lo: Column, b_hi: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Every range of ``b`` that shares a point with one of ``a``, with how many of these there are (``n``).
+
+    What :func:`range_overlap` and a grouping by the ranges of ``b`` would give, without the pairs: of the ranges that begin
+    by the end of ``b`` those don't count that end before its start.
+    """
+    own = a.withColumn("_l", a_lo).withColumn("_h", a_hi).filter("_l <= _h")
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("_x"), F.lit(x).alias("_begun"), F.lit(1 - x).alias("_ended")) for c, x in (("_l", 1), ("_h", 0))]))
+    p = own.select(*keys, ends.alias("_e")).select(*keys, "_e.*").groupBy(*keys, "_x").agg(F.sum("_begun").alias("_begun"), F.sum("_ended").alias("_ended"))
+    r, rows = _swept(p, ["_begun", "_ended"], b, b_lo, b_hi, keys)
+    rows = running(running(rows, keys, ["_x", "_side"], F.col("_begun"), "_b"), keys, ["_x", "_side"], F.col("_ended"), "_e")
+    n = F.max(F.when(F.col("_side") == 2, F.col("_b"))) - F.max(F.when(F.col("_side") == 0, F.col("_e")))
+    found = rows.filter("_side <> 1").groupBy(*keys, "_lo", "_hi").agg(n.alias("n"))
+    return r.join(found.filter("n > 0"), [*keys, "_lo", "_hi"]).drop("_lo", "_hi")
+
+
 def near(a: DataFrame, a_at: Column, b: DataFrame, b_at: Column, tolerance: float, keys: Sequence[str] = ()) -> DataFrame:
     """Every pair whose values lie within ``tolerance``; one side is listed in its bucket and both neighbours."""
     left = a.withColumn("_a", a_at).filter("_a IS NOT NULL").withColumn("_bucket", F.floor(F.col("_a") / tolerance))
