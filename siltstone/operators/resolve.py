@@ -5,6 +5,7 @@ Extraction is built-in regular expressions over one text column; resolution is e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from siltstone.functions import ctext
 from siltstone.functions.firmware import is_peripheral
 from siltstone.operators.code import text_rows
 from siltstone.functions.ctext import WIDTHS
+from siltstone.session import broadcast_if_small, materialize
 
 _HEX = lambda c: F.conv(F.regexp_replace(c, "^0[xX]", ""), 16, 10).cast("bigint")
 
@@ -112,10 +114,20 @@ def plain_type(name: Column) -> Column:
     return F.regexp_replace(name, "_conflict[0-9]*$", "")
 
 
-def struct_targets(fields: DataFrame, bases: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+def struct_targets(fields: DataFrame, bases: DataFrame, offsets: DataFrame, keys: Sequence[str], rows_a_task: int = 5_000_000) -> DataFrame:
     """Field uses with the address of every base of their type: type and field give the offset. ``offsets`` is a catalogue
-    (type, field, offset), unique by type and field."""
-    return fields.join(bases.select(*keys, "type", "base").distinct(), [*keys, "type"]).join(offsets.select("type", "field", "offset"), ["type", "field"]).withColumn("target", F.col("base") + F.col("offset"))
+    (type, field, offset), unique by type and field.
+
+    Types are few, and each may have many uses and many bases, so a shuffle by type would leave the work to a few tasks.
+    Uses and bases are written first and counted by type; bases that are small are broadcast, and the uses are dealt out
+    to so many tasks that each gives about ``rows_a_task`` rows. Other bases meet their uses in a join that AQE splits.
+    """
+    known = materialize(fields.join(offsets.select("type", "field", "offset"), ["type", "field"]), "uses")
+    own = materialize(bases.select(*keys, "type", "base").distinct(), "bases")
+    sizes = [df.groupBy(*keys, "type").agg(F.count("*").cast("double").alias(n)) for df, n in ((known, "_uses"), (own, "_bases"))]
+    rows = sizes[0].join(sizes[1], [*keys, "type"]).agg(F.sum(F.col("_uses") * F.col("_bases"))).first()[0] or 0
+    dealt = known.repartition(math.ceil(rows / rows_a_task)) if rows > rows_a_task else known
+    return dealt.join(broadcast_if_small(own, 32 * (1 + len(keys))), [*keys, "type"]).withColumn("target", F.col("base") + F.col("offset"))
 
 
 def field_at(df: DataFrame, offsets: DataFrame, type_of: str, offset_of: str) -> DataFrame:

@@ -67,3 +67,13 @@ def test_formats_facts_decodings(spark):
     assert [r[0] for r in d.collect()] == [{"base64": "hello"}, {"hex": "hello"}, {"url": "a b"}, {}, {}]
     b = spark.createDataFrame([(bytearray(b"\x00\x01hello\x00ab\x00world!"),)], "b binary").select(resolve.printable(F.col("b")))
     assert b.first()[0] == ["hello", "world!"]
+
+
+def test_few_types_are_many_tasks_work(spark):
+    uses = spark.range(3000).selectExpr("id", "CAST(id % 2 AS INT) AS type", "'f' AS field")
+    bases = spark.range(100).selectExpr("CAST(id % 2 AS INT) AS type", "id * 16 AS base")
+    offsets = spark.createDataFrame([(0, "f", 1), (1, "f", 2), (2, "f", 3)], "type int, field string, offset int")
+    got = resolve.struct_targets(uses, bases.unionByName(bases), offsets, [], rows_a_task=10_000)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 15 and sum(sizes) == 3000 * 50 and max(sizes) < 12_000
+    assert got.filter("target <> base + 1 + type OR (base / 16) % 2 <> type").isEmpty()
