@@ -53,6 +53,7 @@ def text_checks(roots: DataFrame, functions: DataFrame, keys: Sequence[str] = ("
     the bound; it is effective where the other side tells a capacity, weak where it doesn't or the root is a pointer.
     """
     own = roots.filter(F.col("kind").isin(BOUND_KINDS) & F.col("root").isNotNull()).select(*keys, sink, "root", "kind", F.transform(aliases(F.col("root")), F.lower).alias("_names"))
+    functions = functions.join(own.select(*keys).distinct(), list(keys), "left_semi")  # no other text is read
     weak_pointer = lambda strong: F.when(F.col("kind") == "dst_ptr", "weak").when(strong, "effective").otherwise("weak")
 
     clamped = own.join(text.clamps(functions, keys, "code"), list(keys)).filter(F.array_contains("_names", F.lower("variable")) & holds_any(F.col("clamp"), CAPACITY))

@@ -153,8 +153,10 @@ def sink_roots(sinks: DataFrame, functions: DataFrame | None = None, keys: Seque
     given = given.join(pointed, sink, "left").filter(~((F.col("kind") == "target_addr") & F.coalesce("_p", F.lit(False)))).drop("_p")
     out = given.drop("find")
     if functions is not None:
-        shown = finds(functions, keys)
-        lacking = listed.filter("expr IS NULL AND find IS NOT NULL").drop("expr", "root_source").join(shown, [*keys, "find"])
+        lacking = listed.filter("expr IS NULL AND find IS NOT NULL").drop("expr", "root_source")
+        # Only the texts of functions whose sinks lack something are read.
+        shown = finds(functions.join(lacking.select(*keys).distinct(), list(keys), "left_semi"), keys)
+        lacking = lacking.join(shown, [*keys, "find"])
         any_root = given.select(sink).distinct().withColumn("_has", F.lit(True))
         primary = given.filter("role = 'primary'").select(sink, "kind").distinct().withColumn("_main", F.lit(True))
         added = lacking.join(any_root, sink, "left").join(primary, [sink, "kind"], "left").filter("_has IS NULL OR (role = 'primary' AND _main IS NULL)")

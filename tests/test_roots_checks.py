@@ -69,3 +69,24 @@ def test_obligations(spark):
     ob = {(r.id, r.obligation): (r.required, r.satisfied) for r in obligations.obligations(df, ["id"], assume_resolved=False).collect()}
     assert ob["a", "O_MMIO_1"] == (True, True) and ob["b", "O_MMIO_1"] == (True, False) and ob["f", "O_COPY_3"] == (False, False) and ("k", "x") not in ob
     assert len(obligations.rules()) == 25
+
+
+def test_only_texts_of_sinks_are_read(spark, monkeypatch):
+    """Loops cut off at the end of a text give their roots and checks; texts without a sink aren't handed to the readers."""
+    from siltstone.plans import mining
+
+    cut = "if (n < MAX_LEN) { } for (i = 0; i < n; i++) { a[i] ="
+    rows = [("b", "f", 1, cut), ("b", "g", 2, "x = 1;"), ("b", "h", 3, "memcpy(a, b, c);")]
+    funs = spark.createDataFrame(rows, "binary_id string, function_name string, function_address int, code string")
+    found = mining.packs(mining.loop_sinks(funs)).collect()
+    assert [(r.function_name, r.bound) for r in found] == [("f", "n")]
+    sinks = spark.createDataFrame([("b", "f", "p", "LOOP_WRITE_SINK", {}, [], 1)], SINK)
+    read = []
+    for name in ("loops", "pointer_stores", "call_arguments", "clamps", "array_extents"):
+        real = getattr(roots.text, name)
+        monkeypatch.setattr(roots.text, name, lambda df, *a, _real=real, **k: read.append(df.count()) or _real(df, *a, **k))
+    (root,) = roots.sink_roots(sinks, funs).filter("place = 0").collect()
+    assert (root.expr, root.root_source) == ("n", "text") and set(read) == {1}
+    read.clear()
+    own = sinks.withColumns({"root": F.lit("n"), "kind": F.lit("index_or_bound")})
+    assert [(r.expr, r.strength) for r in checks.text_checks(own, funs).collect()] == [("n < MAX_LEN", "effective")] and set(read) == {1}
