@@ -94,6 +94,8 @@ def text_rows(df: DataFrame, keys: Sequence[str], text: str, schema: str, rows:
 
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+# What may stand behind a loop's word: its bracket, or what the reader leaves out before it. Texts without are not read.
+_LOOP = re.compile(r"(?:for|while)\s*[(/#]|do\s*[{/#]")
 LOOP_SCHEMA = "line_no int, loop_kind string, header string, bound string, bound_is_constant boolean, store_expr string, index_expr string, copy_dst string, copy_src string, body string, last_line int, braced boolean"
 
 
@@ -102,7 +104,7 @@ def loops(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     constant, the operands of its first copy of element to element, and the body."""
 
     def rows(t: str) -> list[tuple]:
-        if "for" not in t and "while" not in t and "do" not in t:
+        if not _LOOP.search(t):
             return []
         return [(x.line, x.kind, x.header, x.bound, x.constant, x.store, x.index, x.copy_dst, x.copy_src, x.body, x.last_line, x.braced) for x in ctext.loops(ctext.read(t))]
 
