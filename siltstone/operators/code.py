@@ -96,6 +96,8 @@ def text_rows(df: DataFrame, keys: Sequence[str], text: str, schema: str, rows:
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 # What may stand behind a loop's word: its bracket, or what the reader leaves out before it. Texts without are not read.
 _LOOP = re.compile(r"(?:for|while)\s*[(/#]|do\s*[{/#]")
+# A bound less one.
+_LESS_ONE = re.compile(r"-[ \t\r\n\f\v]*1")
 LOOP_SCHEMA = "line_no int, loop_kind string, header string, bound string, bound_is_constant boolean, store_expr string, index_expr string, copy_dst string, copy_src string, body string, last_line int, braced boolean"
 
 
@@ -243,4 +245,4 @@ def guarded_calls(df: DataFrame, keys: Sequence[str], text: str, callees: Sequen
 def bounded_readers(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """The ``keys`` of texts that read a string into a buffer with care, see
     :func:`siltstone.functions.ctext.reads_bounded_string`."""
-    return text_rows(df, keys, text, "careful boolean", lambda t: [(True,)] if "1" in t and ctext.reads_bounded_string(ctext.read(t)) else []).drop("careful")
+    return text_rows(df, keys, text, "careful boolean", lambda t: [(True,)] if _LESS_ONE.search(t) and _LOOP.search(t) and ctext.reads_bounded_string(ctext.read(t)) else []).drop("careful")
