@@ -118,7 +118,7 @@ def pointer_stores(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     :func:`siltstone.functions.ctext.pointer_stores`; a parameter is one declared with a star in the text, or generated."""
 
     def rows(t: str) -> list[tuple]:
-        if "=" not in t:
+        if "=" not in t or not ("*" in t or "->" in t or "[" in t):
             return []
         c = ctext.read(t)
         known = {p for ps in ctext.pointer_parameters(c).values() for p in ps}
@@ -228,7 +228,7 @@ def call_arguments(df: DataFrame, keys: Sequence[str], text: str, callees: Seque
     """Rows (keys, at, line_no, callee, args): every call of ``callees``, or of any name but a keyword, whose parentheses
     balance, with its arguments. A definition's head reads as a call of its own name."""
     names = frozenset(callees) or None
-    return text_rows(df, keys, text, "at int, line_no int, callee string, args array<string>", lambda t: ctext.calls(ctext.read(t), names) if "(" in t else [])
+    return text_rows(df, keys, text, "at int, line_no int, callee string, args array<string>", lambda t: ctext.calls(ctext.read(t), names) if "(" in t and (names is None or any(n in t for n in names)) else [])
 
 
 def definitions(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

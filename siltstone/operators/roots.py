@@ -114,13 +114,13 @@ def finds(functions: DataFrame, keys: Sequence[str]) -> DataFrame:
         one("format", ~F.coalesce(F.trim(fmt).startswith('"'), F.lit(True)), fmt),
     ]
     from_calls = calls.select(*keys, F.col("at").alias("at"), F.explode(F.array(*listed)).alias("f")).select(*keys, "at", "f.*")
-    bounds = text.loops(functions, keys, "code").filter("bound IS NOT NULL").select(*keys, F.col("line_no").alias("at"), F.lit("loop_bound").alias("find"), F.col("bound").alias("expr"))
+    bounds = F.array(F.struct(F.col("line_no").alias("at"), F.lit("loop_bound").alias("find")), F.struct(F.when(F.col("copy_src").isNotNull(), F.col("line_no") + 10**6).alias("at"), F.lit("copy_length").alias("find")))
+    from_loops = text.loops(functions, keys, "code").filter("bound IS NOT NULL").select(*keys, F.explode(bounds).alias("f"), F.col("bound").alias("expr")).select(*keys, "f.*", "expr").filter("at IS NOT NULL")
     weight = F.when(F.col("form") == "field", 2).when(F.col("form") == "deref", 1).otherwise(0)
     stores = text.pointer_stores(functions, keys, "code").groupBy(*keys, "base").agg(F.sum(weight).alias("w")).filter("w > 0")
     store = stores.groupBy(*keys).agg(F.min_by("base", F.struct(-F.col("w"), F.col("base"))).alias("expr")).select(*keys, F.lit(0).alias("at"), F.lit("store_base").alias("find"), "expr")
     called = resolve.indirect_calls(functions, keys, "code").select(*keys, F.lit(0).alias("at"), F.lit("called_pointer").alias("find"), pointer_index(F.col("m")).alias("expr"))
-    copied = text.loops(functions, keys, "code").filter("copy_src IS NOT NULL AND bound IS NOT NULL").select(*keys, (F.col("line_no") + 10**6).alias("at"), F.lit("copy_length").alias("find"), F.col("bound").alias("expr"))
-    every = reduce(DataFrame.unionByName, [from_calls, bounds, store, called, copied]).withColumn("expr", clean(F.col("expr"))).filter("expr IS NOT NULL")
+    every = reduce(DataFrame.unionByName, [from_calls, from_loops, store, called]).withColumn("expr", clean(F.col("expr"))).filter("expr IS NOT NULL")
     return every.groupBy(*keys, "find").agg(F.min_by("expr", F.struct("at", "expr")).alias("expr"))
 
 
